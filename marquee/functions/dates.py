@@ -4,6 +4,7 @@ import datetime as dt
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
+from .binding import let
 from .text import extract, fold_accents, strip
 
 
@@ -49,16 +50,17 @@ def iso_date(c: Column) -> Column:
 
 def date_fr(c: Column, run_date) -> Column:
     """``12/03/2025``, ``12 mars [2025]`` or ``... mercredi 12 mars [2025]``; the year defaults to the run year."""
-    s = F.lower(strip(c))
     run_year = F.year(as_date(run_date))
 
-    def worded(pattern):
+    def worded(s, pattern):
         day, month = extract(s, pattern, 1), month_number(extract(s, pattern, 2))
         return ymd(F.coalesce(extract(s, pattern, 3).cast("int"), run_year), month, day.cast("int"))
 
-    numeric = ymd(extract(s, K.NUMERIC_DATE, 3).cast("int"), extract(s, K.NUMERIC_DATE, 2).cast("int"),
-                  extract(s, K.NUMERIC_DATE, 1).cast("int"))
-    return F.coalesce(numeric, worded(K.WORD_DATE), worded(K.WEEKDAY_DATE))
+    def numeric(s):
+        return ymd(extract(s, K.NUMERIC_DATE, 3).cast("int"), extract(s, K.NUMERIC_DATE, 2).cast("int"),
+                   extract(s, K.NUMERIC_DATE, 1).cast("int"))
+
+    return let(F.lower(strip(c)), lambda s: F.coalesce(numeric(s), worded(s, K.WORD_DATE), worded(s, K.WEEKDAY_DATE)))
 
 
 def clock(hour: Column, minute: Column) -> Column:
@@ -136,23 +138,32 @@ def period_start(c: Column, pattern: str = K.WEEK_PERIOD_LIVE, faithful: bool =
     One month is named, that of the last day: a first day number above the last one lies in the month before.
     ``faithful`` keeps the named month for both.
     """
-    first, last = extract(c, pattern, 1).try_cast("int"), extract(c, pattern, 2).try_cast("int")
-    month, year = month_number(extract(c, pattern, 3)), extract(c, pattern, 4).cast("int")
-    if faithful:
-        return ymd(year, month, first)
-    back = first > last
-    return ymd(F.when(back & (month == 1), year - 1).otherwise(year),
-               F.when(back, F.when(month == 1, 12).otherwise(month - 1)).otherwise(month), first)
+    # one short match instead of four searches through a whole document
+    said = F.regexp_extract(c, pattern, 0)
+
+    def start(s):
+        first, last = extract(s, pattern, 1).try_cast("int"), extract(s, pattern, 2).try_cast("int")
+        month, year = month_number(extract(s, pattern, 3)), extract(s, pattern, 4).cast("int")
+        if faithful:
+            return ymd(year, month, first)
+        back = first > last
+        return ymd(F.when(back & (month == 1), year - 1).otherwise(year),
+                   F.when(back, F.when(month == 1, 12).otherwise(month - 1)).otherwise(month), first)
+
+    return let(said, start)
 
 
 def week_map(c: Column, faithful: bool = False) -> Column:
     """ISO weekday -> date for the announced week, at most seven days, closed by the named last day."""
-    first = period_start(c, K.WEEK_PERIOD, faithful)
     last = extract(c, K.WEEK_PERIOD, 2).try_cast("int")
-    days = F.transform(F.array(*[F.lit(i) for i in range(7)]), lambda i: F.date_add(first, i))
-    stop = F.array_position(F.transform(days, F.dayofmonth), last).cast("int")
-    kept = F.slice(days, F.lit(1), F.when(stop > 0, stop).otherwise(7))
-    return F.when(first.isNotNull(), F.map_from_entries(F.transform(kept, lambda d: F.struct(iso_weekday(d), d))))
+
+    def days(first):
+        week = F.sequence(first, F.date_add(first, 6))
+        stop = F.array_position(F.transform(week, F.dayofmonth), last).cast("int")
+        return F.slice(week, F.lit(1), F.when(stop > 0, stop).otherwise(7))
+
+    kept = let(period_start(c, K.WEEK_PERIOD, faithful), days)
+    return F.map_from_entries(F.transform(kept, lambda d: F.struct(iso_weekday(d), d)))
 
 
 def weekly_url(week_start: Column, site: str, stem: str = K.WEEKLY_FILE_STEM) -> Column:
@@ -168,16 +179,22 @@ def weekly_url(week_start: Column, site: str, stem: str = K.WEEKLY_FILE_STEM) ->
 
 def slug_week(url: Column) -> Column:
     """(start, end) read from a weekly file name; NULL when it names no valid week."""
-    slug = fold_accents(F.lower(F.regexp_extract(url, K.WEEK_SLUG, 1)))
-    one = lambda i: extract(slug, K.WEEK_SLUG_ONE_MONTH, i)
-    two = lambda i: extract(slug, K.WEEK_SLUG_TWO_MONTHS, i)
     num = lambda c: c.try_cast("int")
     month = lambda c: _number_of(c, K.MONTH_SLUGS)
-    m1, m2 = F.coalesce(month(one(3)), month(two(2))), F.coalesce(month(one(3)), month(two(4)))
-    year = num(F.coalesce(one(4), two(5)))
-    start = ymd(F.when(m1 > m2, year - 1).otherwise(year), m1, num(F.coalesce(one(1), two(1))))
-    end = ymd(year, m2, num(F.coalesce(one(2), two(3))))
-    return F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+    def numbers(slug):
+        one = lambda i: extract(slug, K.WEEK_SLUG_ONE_MONTH, i)
+        two = lambda i: extract(slug, K.WEEK_SLUG_TWO_MONTHS, i)
+        return F.struct(num(F.coalesce(one(1), two(1))).alias("d1"), month(F.coalesce(one(3), two(2))).alias("m1"),
+                        num(F.coalesce(one(2), two(3))).alias("d2"), month(F.coalesce(one(3), two(4))).alias("m2"),
+                        num(F.coalesce(one(4), two(5))).alias("y"))
+
+    def days(n):
+        first_year = F.when(n["m1"] > n["m2"], n["y"] - 1).otherwise(n["y"])
+        return F.struct(ymd(first_year, n["m1"], n["d1"]).alias("start"), ymd(n["y"], n["m2"], n["d2"]).alias("end"))
+
+    week = let(let(fold_accents(F.lower(F.regexp_extract(url, K.WEEK_SLUG, 1))), numbers), days)
+    return let(week, lambda w: F.when(w["start"].isNotNull() & w["end"].isNotNull(), w))
 
 
 def recent_weeks(run_date, n: int = 3) -> Column:

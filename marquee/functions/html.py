@@ -1,6 +1,6 @@
 """Page markup as a node array, and selection over it as Column expressions.
 
-``html_nodes`` parses each page once, in Arrow batches, into nodes listed in document order; a subtree is then the
+``parse_pages`` parses each page once, in Arrow batches, into nodes listed in document order; a subtree is then the
 contiguous run ``node_id .. subtree_end``. Everything after that is array expressions on the page's own row, so no
 operator on nodes shuffles and page text never leaves its task.
 """
@@ -8,13 +8,15 @@ import sys
 from html import unescape
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as K
 from ..schema import NODE
-from .text import collapse, extract, strip
+from .binding import let
+from .text import collapse, strip
 
 _ARROW_NODES = pa.list_(pa.struct([
     ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("subtree_end", pa.int32()),
@@ -62,16 +64,30 @@ class _Outline(HTMLParser):
         return self.nodes
 
 
-@F.arrow_udf(T.ArrayType(NODE))
-def html_nodes(markup: pa.Array) -> pa.Array:
-    """Nodes of a page in document order; node 0 is the page itself."""
-    return pa.array([None if m is None else _Outline().outline(m) for m in markup.to_pylist()], type=_ARROW_NODES)
+def parse_pages(pages: DataFrame, html: str = "html", rows_per_batch: int = 64) -> DataFrame:
+    """Pages with ``nodes`` in place of their markup: the page itself as node 0, then its nodes in document order.
+
+    An Arrow map over partitions, so every page is parsed exactly once whatever is built on top; small output batches
+    keep memory level. Select the columns to keep before calling.
+    """
+    kept = [c for c in pages.columns if c != html]
+
+    def parse(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows_per_batch):
+                part = batch.slice(start, rows_per_batch)
+                outlines = [None if m is None else _Outline().outline(m) for m in part.column(html).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(outlines, type=_ARROW_NODES)],
+                                                 names=[*kept, "nodes"])
+
+    out = T.StructType([pages.schema[c] for c in kept] + [T.StructField("nodes", T.ArrayType(NODE))])
+    return pages.mapInArrow(parse, out)
 
 
-@F.arrow_udf(T.StringType())
-def unescape_all(text: pa.Array) -> pa.Array:
+@F.pandas_udf(T.StringType())
+def unescape_all(text: pd.Series) -> pd.Series:
     """Any HTML entity; ``unescape_common`` covers the frequent ones without leaving the JVM."""
-    return pa.array([None if t is None else unescape(t) for t in text.to_pylist()], type=pa.string())
+    return text.map(lambda t: None if t is None else unescape(t))
 
 
 # --- nodes ------------------------------------------------------------------------------------------------------
@@ -107,8 +123,8 @@ def find_nodes(nodes: Column, within: Column | None = None, tag: str | None = No
 
 def first_found(nodes: Column, within: Column | None, *selectors: dict) -> Column:
     """Node list of the first selector that finds any; empty when none does."""
-    lists = [find_nodes(nodes, within, **s) for s in selectors]
-    return F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists[:-1]], lists[-1])
+    lists = F.array(*[find_nodes(nodes, within, **s) for s in selectors])
+    return F.coalesce(F.get(F.filter(lists, lambda x: F.size(x) > 0), F.lit(0)), F.slice(nodes, 1, 0))
 
 
 def first(found: Column) -> Column:
@@ -155,14 +171,13 @@ def unescape_common(c: Column) -> Column:
 def strip_tags(c: Column, unescaper=unescape_common) -> Column:
     """Plain text of a fragment on one line."""
     plain = unescaper(F.regexp_replace(c, "<[^>]+>", " "))
-    return strip(collapse(F.translate(plain, " ", " ")))
+    return strip(collapse(F.translate(plain, "\u00a0", " ")))
 
 
 def heading_blocks(c: Column, heading: str = K.HEADING_BLOCK) -> Column:
     """Array of (pos, titre, content): every heading with the markup up to the next one."""
     cut = F.regexp_replace(F.translate(c, "\u0001", " "), heading, "\u0001$0\u0002")
-    pieces = F.slice(F.split(cut, "\u0001"), F.lit(2), F.lit(2147483647))
-    blocks = F.transform(pieces, lambda p, i: F.struct(
+    blocks = F.transform(let(F.split(cut, "\u0001"), lambda x: F.slice(x, F.lit(2), F.size(x))), lambda p, i: F.struct(
         i.alias("pos"), strip(collapse(F.regexp_extract(p, heading, 1))).alias("titre"),
         F.substring_index(p, "\u0002", -1).alias("content")))
     return F.filter(blocks, lambda b: b["titre"] != "")
@@ -183,7 +198,7 @@ def links(c: Column, site: str | Column, pattern: str = K.FILE_LINK) -> Column:
 def block_bounds(c: Column, opening: str) -> Column:
     """Array of (pos, start, end) of blocks that run from one opening to the next (0-based offsets, end excluded)."""
     pieces = F.split(F.regexp_replace(F.translate(c, "\u0001", " "), opening, "\u0001$0"), "\u0001")
-    ends = F.transform(pieces, lambda p, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0),
-                                                        lambda acc, x: acc + F.length(x)))
-    return F.transform(F.slice(ends, F.lit(2), F.size(ends) - 1), lambda e, i: F.struct(
-        i.alias("pos"), F.element_at(ends, i + 1).alias("start"), e.alias("end")))
+    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda acc, p: F.array_append(
+        acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p)))
+    return let(ends, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x)), lambda e, i: F.struct(
+        i.alias("pos"), F.element_at(x, i + 1).alias("start"), e.alias("end"))))

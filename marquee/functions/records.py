@@ -3,6 +3,7 @@ from pyspark.sql import Column, functions as F
 
 from .. import constants as K
 from . import dates as D, html as H, text as X
+from .binding import let
 from .calendar import by_time, calendar_slots, screenings
 from .missing import first_present, present
 
@@ -29,14 +30,17 @@ def first_text(nodes: Column, within: Column | None, *rules: dict) -> Column:
 
 def film_block(titre: Column, content: Column, week: Column, run_date) -> Column:
     """Record of a heading block: prose sentences give director, length, year, version, synopsis and screenings."""
-    plain = H.strip_tags(content)
-    version = X.version_from_prose(plain)
     sentence = F.regexp_extract(content, K.SCREENINGS_PROSE, 0)
-    return F.struct(
-        H.unescape_common(titre).alias("titre"), X.director_prose(plain).alias("realisateur"),
-        D.duration_prose(plain).alias("duree"), D.year_in(plain, K.YEAR_PROSE).alias("annee"),
-        version.alias("version"), X.synopsis_prose(plain).alias("synopsis"),
-        screenings(calendar_slots(sentence, week, run_date), version).alias("seances"))
+
+    def record(plain):
+        version = X.version_from_prose(plain)
+        return F.struct(
+            H.unescape_common(titre).alias("titre"), X.director_prose(plain).alias("realisateur"),
+            D.duration_prose(plain).alias("duree"), D.year_in(plain, K.YEAR_PROSE).alias("annee"),
+            version.alias("version"), X.synopsis_prose(plain).alias("synopsis"),
+            let(version, lambda v: screenings(calendar_slots(sentence, week, run_date), v)).alias("seances"))
+
+    return let(H.strip_tags(content), record)
 
 
 def meta_fields(texts: Column) -> Column:
@@ -49,31 +53,46 @@ def meta_fields(texts: Column) -> Column:
 
 def screening_node(nodes: Column, node: Column, default_version: Column, run_date) -> Column:
     """(date, heure, version) of one screening node, NULL without a time or a date."""
-    whole = H.text_of(nodes, node)
-    first_value = lambda found, f: F.get(F.filter(F.transform(found, f), lambda x: x.isNotNull()), F.lit(0))
-    at = first_value(H.first_found(nodes, node, *TIME_RULES), lambda n: D.heure(H.text_of(nodes, n)))
-    day = first_value(H.first_found(nodes, node, *DAY_RULES), lambda n: F.coalesce(
+    def first_value(rules, f):
+        lists = F.array(*[H.find_nodes(nodes, node, **r) for r in rules], F.array(node))
+        tried = F.get(F.filter(lists, lambda x: F.size(x) > 0), F.lit(0))
+        return F.get(F.filter(F.transform(tried, f), lambda x: x.isNotNull()), F.lit(0))
+
+    at = first_value(TIME_RULES, lambda n: D.heure(H.text_of(nodes, n)))
+    day = first_value(DAY_RULES, lambda n: F.coalesce(
         D.iso_date(F.substring(H.attr(n, "datetime"), 1, 10)), D.date_fr(H.text_of(nodes, n), run_date)))
-    own_day = D.iso_date(F.substring(H.attr(node, "datetime"), 1, 10))
-    at, day = F.coalesce(at, D.heure(whole)), F.coalesce(day, own_day, D.date_fr(whole, run_date))
-    return F.when(at.isNotNull() & day.isNotNull(), F.struct(
-        day.alias("date"), at.alias("heure"), X.version_override(whole, default_version).alias("version")))
+    said = let(H.text_of(nodes, node), lambda whole: F.struct(
+        F.coalesce(day, D.date_fr(whole, run_date)).alias("date"), F.coalesce(at, D.heure(whole)).alias("heure"),
+        X.version_override(whole, default_version).alias("version")))
+    return let(said, lambda s: F.when(s["date"].isNotNull() & s["heure"].isNotNull(), s))
 
 
 def film_node(nodes: Column, node: Column, run_date) -> Column:
     """Record of a generic film node."""
-    title = first_text(nodes, node, *TITLE_RULES)
-    original = first_text(nodes, node, *ORIGINAL_RULES)
-    info = F.transform(F.slice(H.first_found(nodes, node, *INFO_RULES), 1, 3), lambda n: H.text_of(nodes, n))
-    meta = meta_fields(info)
-    version = X.version_from_node(first_text(nodes, node, *VERSION_RULES), H.text_of(nodes, node))
-    found = F.filter(F.transform(H.first_found(nodes, node, *SCREENING_RULES),
-                                 lambda n: screening_node(nodes, n, version, run_date)), lambda s: s.isNotNull())
-    return F.struct(
-        title.alias("titre"), F.when((original != "") & ~original.eqNullSafe(title), original).alias("titreOriginal"),
-        meta["annee"].alias("annee"), meta["realisateur"].alias("realisateur"), meta["duree"].alias("duree"),
-        first_text(nodes, node, *SYNOPSIS_RULES).alias("synopsis"), version.alias("version"),
-        by_time(F.array_distinct(found), ["date", "heure", "version"]).alias("seances"))
+    def version(own):
+        return let(first_text(own, None, *VERSION_RULES), lambda v: X.version_from_node(v, H.text_of(own, H.root(own))))
+
+    def seances(own, v):
+        found = F.transform(H.first_found(own, None, *SCREENING_RULES), lambda n: screening_node(own, n, v, run_date))
+        return by_time(F.array_distinct(F.filter(found, lambda s: s.isNotNull())), ["date", "heure", "version"])
+
+    def parts(own):
+        info = F.transform(F.slice(H.first_found(own, None, *INFO_RULES), 1, 3), lambda n: H.text_of(own, n))
+        return F.struct(
+            X.strip(first_text(own, None, *TITLE_RULES)).alias("titre"),
+            X.strip(first_text(own, None, *ORIGINAL_RULES)).alias("original"), let(info, meta_fields).alias("meta"),
+            first_text(own, None, *SYNOPSIS_RULES).alias("synopsis"), version(own).alias("version"),
+            let(version(own), lambda v: seances(own, v)).alias("seances"))
+
+    def record(p):
+        other = (p["original"] != "") & ~p["original"].eqNullSafe(p["titre"])
+        return F.struct(
+            p["titre"].alias("titre"), F.when(other, p["original"]).alias("titreOriginal"),
+            p["meta"]["annee"].alias("annee"), p["meta"]["realisateur"].alias("realisateur"),
+            p["meta"]["duree"].alias("duree"), p["synopsis"].alias("synopsis"), p["version"].alias("version"),
+            p["seances"].alias("seances"))
+
+    return let(let(H.subtree(nodes, node), parts), record)
 
 
 def detail_page(nodes: Column) -> Column:
@@ -121,11 +140,12 @@ def cell_screenings(nodes: Column, cell: Column) -> Column:
     is_booking = lambda u: F.exists(F.array(*map(F.lit, K.BOOKING_WORDS)), lambda w: F.lower(u).contains(w))
     booking = F.get(F.filter(hrefs, is_booking), F.lit(0))
 
-    def screening(node):
+    def screening(node, link):
         at = D.slice_timestamp(H.attr(node, "datetime"))
         version = X.version_code(F.coalesce(first_text(nodes, node, _sel("div", "version")), F.lit("")))
         return F.when(H.attr(node, "class").contains("session") & at.isNotNull(), F.struct(
             at["date"].alias("date"), at["heure"].alias("heure"), version.alias("version"),
-            booking.alias("resa_url")))
+            link.alias("resa_url")))
 
-    return F.filter(F.transform(H.find_nodes(nodes, cell, tag="time"), screening), lambda s: s.isNotNull())
+    return let(booking, lambda link: F.filter(F.transform(
+        H.find_nodes(nodes, cell, tag="time"), lambda n: screening(n, link)), lambda s: s.isNotNull()))

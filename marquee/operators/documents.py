@@ -2,7 +2,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.calendar import by_time
+from ..functions.binding import let
+from ..functions.calendar import by_time, screenings
 from ..functions import grid as G, html as H, records as R, text as X, dates as D
 
 FILM_COLUMNS = ["titre", "version", "seances"]
@@ -28,12 +29,11 @@ def grid_films(docs: DataFrame, run_date, week_start: Column | None = None) -> D
     """One row per film row of a grid: titre, version and its distinct screenings by date and time."""
     cols = grid_columns(docs, run_date, week_start)
     body = F.slice("grid", F.col("header_idx") + 2, F.size("grid"))
-    rows = cols.select("doc_id", "dates", F.posexplode(body).alias("row_no", "cells"))
+    rows = cols.select("doc_id", "dates", F.posexplode_outer(body).alias("row_no", "cells"))
     rows = rows.withColumn("film", G.title_cell(F.get("cells", F.lit(0)))).filter(F.col("film").isNotNull())
     rows = rows.withColumn("slots", G.row_slots(F.col("cells"), F.col("dates"))).filter(F.size("slots") > 0)
-    return rows.select("doc_id", "row_no", "film.titre", "film.version", F.array_sort(F.array_distinct(
-        F.transform("slots", lambda s: F.struct(s["date"].alias("date"), s["heure"].alias("heure"),
-                                                F.col("film.version").alias("version"))))).alias("seances"))
+    return rows.select("doc_id", "row_no", "film.titre", "film.version", let(F.col("film.version"), lambda v: screenings(
+        F.col("slots"), v)).alias("seances"))
 
 
 # --- text lines -------------------------------------------------------------------------------------------------
@@ -49,18 +49,23 @@ def line_blocks(text: Column, max_lines: int = K.BLOCK_LINES) -> Column:
         opens = ~(x.rlike(K.CLOCK_WORD) | x.rlike(K.VERSION_LINE) | (F.length(x) <= 3))
         return F.struct(i.alias("at"), opens.alias("opens"), (days >= K.MIN_HEADER_DAYS).alias("days"))
 
-    lines = F.filter(F.transform(F.split(text, r"\R"), X.strip), lambda x: x != "")
-    marks = F.filter(F.transform(lines, typed), lambda m: m["opens"] | m["days"])
+    def standing(marks):
+        def stands(m):
+            last = F.try_element_at(F.filter(marks, lambda o: o["opens"] & (o["at"] <= m["at"])), F.lit(-1))
+            return m["opens"] | last.isNull() | last["days"] | (m["at"] - last["at"] >= max_lines)
+        return F.filter(marks, stands)
 
-    def stands(m):
-        last = F.try_element_at(F.filter(marks, lambda o: o["opens"] & (o["at"] <= m["at"])), F.lit(-1))
-        return m["opens"] | last.isNull() | last["days"] | (m["at"] - last["at"] >= max_lines)
+    def cut(lines, heads):
+        return F.transform(heads, lambda m, i: F.struct(
+            F.get(lines, m["at"]).alias("head"),
+            F.slice(lines, m["at"] + 1, F.when(m["days"], F.lit(1)).otherwise(F.least(
+                F.coalesce(F.get(heads, i + 1)["at"], F.size(lines)) - m["at"], F.lit(max_lines)))).alias("lines")))
 
-    heads = F.filter(marks, stands)
-    return F.transform(heads, lambda m, i: F.struct(
-        F.get(lines, m["at"]).alias("head"),
-        F.slice(lines, m["at"] + 1, F.when(m["days"], F.lit(1)).otherwise(F.least(
-            F.coalesce(F.get(heads, i + 1)["at"], F.size(lines)) - m["at"], F.lit(max_lines)))).alias("lines")))
+    def blocks(lines):
+        marks = F.filter(F.transform(lines, typed), lambda m: m["opens"] | m["days"])
+        return let(let(marks, standing), lambda heads: cut(lines, heads))
+
+    return let(F.filter(F.transform(F.split(text, r"\R"), X.strip), lambda x: x != ""), blocks)
 
 
 # --- calendar pages ---------------------------------------------------------------------------------------------
@@ -85,7 +90,7 @@ def calendar_rows(pages: DataFrame) -> DataFrame:
     known = named.withColumn("_marks", F.filter(F.transform("_sections", lambda s, i: F.struct(i.alias("i"), s.alias("s"))),
                                                 lambda m: m["s"].isNotNull()))
     keep = [c for c in pages.columns if c != "nodes"]
-    opened = known.select(*keep, "_marks", F.posexplode("_rows").alias("row_no", "row"))
+    opened = known.select(*keep, "_marks", F.posexplode_outer("_rows").alias("row_no", "row"))
     before = F.filter("_marks", lambda m: m["i"] <= F.col("row_no"))
     return opened.select(*keep, "row_no", "row.kind", "row.nodes", F.coalesce(
         F.try_element_at(before, F.lit(-1))["s"], F.lit(K.DEFAULT_SECTION)).alias("cinema"))

@@ -2,6 +2,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
+from ..functions.binding import let
 from ..functions.text import collapse, strip
 
 
@@ -39,53 +40,57 @@ def pattern_profile(pages: DataFrame, text: str, patterns: list[str], keep: list
 
 def match_contexts(text: Column, pattern: str = K.CLOCK_ANY_CASE, limit: int = K.CONTEXTS_PER_PAGE) -> Column:
     """First matches of a text with what surrounds them, tags removed: array of (no, context)."""
-    marked = F.regexp_replace(F.translate(text, "\u0001", " "), pattern, "\u0001$0")
-    before = F.slice(F.split(marked, "\u0001", limit + 1), 1, limit)
-    hits = F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, limit)
-    starts = F.transform(hits, lambda h, i: F.aggregate(F.slice(before, F.lit(1), i + 1), F.lit(0),
-                                                        lambda a, x: a + F.length(x)))
-
-    def context(h, i):
-        at = F.get(starts, i)
-        begin = F.greatest(at - K.CONTEXT_CHARS, F.lit(0))
-        around = F.substr(text, begin + 1, at + F.length(h) + K.CONTEXT_CHARS - begin)
+    def located(t):
+        marked = F.regexp_replace(F.translate(t, "\u0001", " "), pattern, "\u0001$0")
+        gaps = F.transform(F.slice(F.split(marked, "\u0001", limit + 1), 1, limit), F.length)
+        hits = F.slice(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), 1, limit)
+        return let(gaps, lambda g: F.transform(hits, lambda h, i: F.struct(
+            (i + 1).alias("no"), F.length(h).alias("size"),
+            F.aggregate(F.slice(g, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x).alias("at"))))
+
+    def context(t, m):
+        begin = F.greatest(m["at"] - K.CONTEXT_CHARS, F.lit(0))
+        around = F.substr(t, begin + 1, m["at"] + m["size"] + K.CONTEXT_CHARS - begin)
         clean = collapse(strip(F.regexp_replace(around, "<[^>]+>", " ")))
-        return F.struct((i + 1).alias("no"), F.substring(clean, 1, K.CONTEXT_CUT).alias("context"))
+        return F.struct(m["no"].alias("no"), F.substring(clean, 1, K.CONTEXT_CUT).alias("context"))
 
-    return F.transform(hits, context)
+    return let(text, lambda t: F.transform(located(t), lambda m: context(t, m)))
 
 
-def tag_depths(text: Column) -> Column:
-    """Array of (tag, depth, pos) of the opening tags of a page.
+def tag_kinds(text: Column) -> Column:
+    """Array of (depth, tag) of the opening tags of a page, in page order; depths of 4 and more count as 4.
 
     Depth counts open tags, held between 0 and 8. The fold keeps one digit per tag, so its state stays small.
     """
     raw = F.regexp_extract_all(text, F.lit(K.ANY_TAG), F.lit(0))
-    tags = F.transform(raw, lambda t: F.struct(t.startswith("</").alias("closing"),
-                                               F.lower(F.regexp_extract(t, K.ANY_TAG, 2)).alias("tag")))
-    tags = F.filter(tags, lambda t: ~t["tag"].isin(K.STRUCTURE_SKIPPED_TAGS))
-    empty = F.struct(F.lit(0).alias("depth"), F.lit("").alias("trace"))
-    trace = F.aggregate(tags, empty, lambda a, t: F.struct(
-        F.when(t["closing"], F.greatest(a["depth"] - 1, F.lit(0))).otherwise(F.least(a["depth"] + 1, F.lit(8))).alias("depth"),
-        F.concat(a["trace"], a["depth"].cast("string")).alias("trace")))["trace"]
-    placed = F.transform(tags, lambda t, i: F.struct(t["closing"], t["tag"], i.alias("pos")))
-    return F.struct(trace.alias("trace"), F.filter(placed, lambda t: ~t["closing"]).alias("tags"))
+    named = F.transform(raw, lambda t: F.struct(t.startswith("</").alias("closing"),
+                                                F.lower(F.regexp_extract(t, K.ANY_TAG, 2)).alias("tag")))
+    kept = F.filter(named, lambda t: ~t["tag"].isin(K.STRUCTURE_SKIPPED_TAGS))
+
+    def step(a, t):
+        after = F.when(t["closing"], F.greatest(a["depth"] - 1, F.lit(0))).otherwise(F.least(a["depth"] + 1, F.lit(8)))
+        return F.struct(after.alias("depth"), F.concat(a["trace"], a["depth"].cast("string")).alias("trace"))
+
+    def kinds(tags):
+        trace = F.aggregate(tags, F.struct(F.lit(0).alias("depth"), F.lit("").alias("trace")), step)["trace"]
+        return let(trace, lambda d: F.filter(F.transform(tags, lambda t, i: F.struct(
+            F.least(F.substr(d, i + 1, F.lit(1)).cast("int"), F.lit(4)).alias("depth"), t["tag"].alias("tag"),
+            t["closing"].alias("closing"))), lambda t: ~t["closing"]))
+
+    return F.transform(let(kept, kinds), lambda t: F.struct(t["depth"].alias("depth"), t["tag"].alias("tag")))
 
 
 def tag_profile(pages: DataFrame, text: str = "html", key: str = "page_id", limit: int = K.PROFILE_KEYS) -> DataFrame:
-    """(key, rank, depth, tag, n): opening tags per depth (4 and more as one), first kinds of a page by appearance.
+    """(key, rank, depth, tag, n): opening tags per depth, first kinds of a page by appearance.
 
     Counted inside the row: a page has a handful of (depth, tag) kinds.
     """
-    found = pages.select(key, tag_depths(F.col(text)).alias("d"))
-    found = found.select(key, F.transform("d.tags", lambda t: F.struct(
-        F.least(F.substr(F.col("d.trace"), t["pos"] + 1, F.lit(1)).cast("int"), F.lit(4)).alias("depth"),
-        t["tag"].alias("tag"))).alias("tags"))
-    kinds = F.slice(F.array_distinct("tags"), 1, limit)
-    counted = F.transform(kinds, lambda k, i: F.struct(
-        (i + 1).alias("rank"), k["depth"].alias("depth"), k["tag"].alias("tag"),
-        F.size(F.filter("tags", lambda t: t == k)).alias("n")))
-    return found.select(key, F.explode(counted).alias("c")).select(key, "c.*")
+    def counted(tags):
+        return F.transform(F.slice(F.array_distinct(tags), 1, limit), lambda k, i: F.struct(
+            (i + 1).alias("rank"), k["depth"].alias("depth"), k["tag"].alias("tag"),
+            F.size(F.filter(tags, lambda t: t == k)).alias("n")))
+
+    return pages.select(key, F.explode(let(tag_kinds(F.col(text)), counted)).alias("c")).select(key, "c.*")
 
 
 def dq_failures(n_cinemas: Column, n_films: Column, n_joined: Column, n_groups: Column) -> Column:

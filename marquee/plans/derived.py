@@ -6,6 +6,7 @@ minute = quantity, version = return flag).
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D
+from ..functions.binding import let
 from ..operators.skew import spread_lookup
 from .registry import Tables
 
@@ -76,20 +77,23 @@ def grids(t: Tables) -> DataFrame:
     entry = F.struct("p_brand", "version", F.datediff("date", "week").alias("col"),
                      F.concat("printed", F.when(F.col("l_linenumber") == 7, "1").otherwise("")).alias("time"))
     docs = rows.groupBy("l_suppkey", "week").agg(F.array_sort(F.collect_set(entry)).alias("e"))
-    titles = F.array_distinct(F.transform("e", lambda x: F.struct(x["p_brand"], x["version"])))
 
-    def line(k):
-        mine = F.filter("e", lambda x: (x["p_brand"] == k["p_brand"]) & (x["version"] == k["version"]))
-        days = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: F.coalesce(F.nullif(F.array_join(F.transform(
-            F.filter(mine, lambda x: x["col"] == j), lambda x: x["time"]), " / "), F.lit("")), F.lit("-")))
+    def line(e, k):
+        mine = F.filter(e, lambda x: (x["p_brand"] == k["p_brand"]) & (x["version"] == k["version"]))
         head = F.concat(F.upper(k["p_brand"]), F.lit(" JP\n"), k["version"], F.lit(" / INT -12"))
+        days = let(mine, lambda m: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda j: F.coalesce(F.nullif(F.array_join(
+            F.transform(F.filter(m, lambda x: x["col"] == j), lambda x: x["time"]), " / "), F.lit("")), F.lit("-"))))
         return F.concat(F.array(head), days)
 
+    def lines(e):
+        titles = F.array_distinct(F.transform(e, lambda x: F.struct(x["p_brand"], x["version"])))
+        return F.transform(titles, lambda k: line(e, k))
+
     names = F.array(*map(F.lit, ["MERCREDI", "JEUDI", "VENDREDI", "SAMEDI", "DIMANCHE", "LUNDI", "MARDI"]))
     header = F.concat(F.array(F.lit("")), F.transform(names, lambda n, i: F.concat(
         n, F.lit(". "), F.dayofmonth(F.date_add("week", i)).cast("string"))))
     top = F.array(F.lit("PROGRAMME"), F.lit(None).cast("string"))
-    return docs.select("l_suppkey", "week", F.concat(F.array(top, header), F.transform(titles, line)).alias("grid"))
+    return docs.select("l_suppkey", "week", F.concat(F.array(top, header), let(F.col("e"), lines)).alias("grid"))
 
 
 def calendar_text(t: Tables) -> DataFrame:
@@ -131,26 +135,31 @@ def calendar_pages(t: Tables) -> DataFrame:
         return text('<time datetime="', x["date"].cast("string"), " ", x["heure"], ':00" class="session x">', x["printed"],
                     '<div class="dropdown"><div class="version">', x["version"], "</div></div></time>")
 
-    def cell(k, day):
-        mine = F.filter("e", lambda x: (x["section"] == k["section"]) & (x["p_brand"] == k["p_brand"]) & (x["date"] == day))
-        link = F.when(k["section"] == 2, '<a href="https://x.cotecine.example/1">resa</a>').otherwise("")
-        return text('<td class="schedule">', link, joined(F.transform(mine, time)), "</td>")
+    def cell(mine, day):
+        link = F.when(F.get(mine, F.lit(0))["section"] == 2, '<a href="https://x.cotecine.example/1">resa</a>').otherwise("")
+        return text('<td class="schedule">', link, joined(F.transform(F.filter(mine, lambda x: x["date"] == day), time)), "</td>")
+
+    def movie(mine):
+        brand = F.get(mine, F.lit(0))["p_brand"]
+        days = F.array_distinct(F.transform(mine, lambda x: x["date"]))
+        return text('<tr class="movie"><th class="movie-title"><a href="/film/', F.lower(F.replace(brand, F.lit("#"), F.lit("-"))),
+                    '.html?week=1">', brand, "</a></th>", joined(F.transform(days, lambda d: cell(mine, d))), "</tr>")
+
+    def section(e, number):
+        here = F.filter(e, lambda x: x["section"] == number)
+        brands = lambda h: F.array_distinct(F.transform(h, lambda x: x["p_brand"]))
+        return let(here, lambda h: joined(F.transform(brands(h), lambda b: let(
+            F.filter(h, lambda x: x["p_brand"] == b), movie))))
 
-    def movie(k):
-        days = F.array_distinct(F.transform(F.filter("e", lambda x: (x["section"] == k["section"]) & (x["p_brand"] == k["p_brand"])),
-                                            lambda x: x["date"]))
-        return text('<tr class="movie"><th class="movie-title"><a href="/film/', F.lower(F.replace(k["p_brand"], F.lit("#"), F.lit("-"))),
-                    '.html?week=1">', k["p_brand"], "</a></th>", joined(F.transform(days, lambda d: cell(k, d))), "</tr>")
+    def body(e):
+        return text(section(e, 0), '<tr class="cinema striped"><th><svg><use xlink:href="/i.svg#logo-fourmi"></use></svg></th></tr>',
+                    section(e, 1), '<tr class="cinema"><th>Salle BELLECOUR</th></tr>', section(e, 2),
+                    '<tr class="cinema"><th>Autre salle</th></tr>', section(e, 3))
 
-    titles = F.array_distinct(F.transform("e", lambda x: F.struct(x["section"], x["p_brand"])))
-    part = lambda s: joined(F.transform(F.filter(titles, lambda k: k["section"] == s), movie))
     days = joined(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: text(
         '<th class="day-title"><time datetime="', F.date_add("week", i).cast("string"), ' 00:00:00">j</time></th>')))
     html = text('<html><body><table class="small"><tr><td>x</td></tr></table><table class="schedule"><tr class="days"><td></td>',
-                days, "</tr>", part(0),
-                '<tr class="cinema striped"><th><svg><use xlink:href="/i.svg#logo-fourmi"></use></svg></th></tr>', part(1),
-                '<tr class="cinema"><th>Salle BELLECOUR</th></tr>', part(2),
-                '<tr class="cinema"><th>Autre salle</th></tr>', part(3), "</table></body></html>")
+                days, "</tr>", let(F.col("e"), body), "</table></body></html>")
     return docs.select("l_suppkey", "week", html.alias("html"))
 
 
@@ -237,7 +246,7 @@ def film_nodes(t: Tables) -> DataFrame:
         F.lit("<p class='film-info'>"), (F.col("p_size") + 1950).cast("string"), F.lit(" - 1 h "), F.lpad("p_size", 2, "0"), F.lit("</p>"),
         F.lit("<div class='synopsis'>Texte "), "p_brand", F.lit("</div><span class='version'>"), F.when(k % 2 == 0, "VOST").otherwise("VF"),
         F.lit("</span><ul><li class='seance'><span class='jour'>mercredi 4 mars 1998</span> <span class='heure'>20h"),
-        F.lpad("p_size", 2, "0"), F.lit("</span></li><li class='seance'><time datetime='1998-03-05T10:00'>jeudi</time> 9h VO</li>"),
+        F.lpad("p_size", 2, "0"), F.lit("</span></li><li class='seance'><time datetime='1998-03-05T10:00'>jeudi</time> 9h05 VO</li>"),
         F.lit("<li class='seance'>complet</li></ul></article>"))
     return t.part.select(k.alias("page_id"), html.alias("html"))
 

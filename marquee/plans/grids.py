@@ -64,13 +64,13 @@ def grid_programme(t):
 
 
 @query("line_blocks", r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]')) AS raw, generate_subscripts(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]'), 1) AS i FROM documents),
-    s AS (SELECT doc_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line, i FROM l), n AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS at FROM s WHERE line <> ''),
+    s AS (SELECT doc_id, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line, i FROM l), n AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ln FROM s WHERE line <> ''),
     k AS (SELECT *, NOT (regexp_matches(line, '(^|[^\p{L}\p{N}_])\d{1,2}[h:]\d{2}($|[^\p{L}\p{N}_])') OR regexp_matches(line, '(?i)^(VF|VO|VOSTFR?|VFST)$') OR length(line) <= 3) AS opens,
       list_sum(list_transform(['mer','jeu','ven','sam','dim','lun','mar'], lambda d: CAST(contains(lower(line), d) AS INTEGER))) >= 4 AS days FROM n),
-    b AS (SELECT *, max(at) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY at) AS head FROM k),
-    m AS (SELECT b.*, h.days AS head_days FROM b LEFT JOIN k h ON b.doc_id = h.doc_id AND b.head = h.at),
-    x AS (SELECT doc_id, CASE WHEN opens THEN at WHEN days AND (head IS NULL OR head_days OR at - head >= 12) THEN at WHEN head IS NULL OR head_days OR at - head >= 12 THEN NULL ELSE head END AS block, at, line FROM m)
-    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INTEGER) AS no, arg_min(line, at) AS head, CAST(count(*) AS INTEGER) AS n_lines FROM x WHERE block IS NOT NULL GROUP BY doc_id, block""")
+    b AS (SELECT *, max(ln) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY ln) AS head FROM k),
+    m AS (SELECT b.*, h.days AS head_days FROM b LEFT JOIN k h ON b.doc_id = h.doc_id AND b.head = h.ln),
+    x AS (SELECT doc_id, CASE WHEN opens THEN ln WHEN days AND (head IS NULL OR head_days OR ln - head >= 12) THEN ln WHEN head IS NULL OR head_days OR ln - head >= 12 THEN NULL ELSE head END AS block, ln, line FROM m)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INTEGER) AS no, arg_min(line, ln) AS head, CAST(count(*) AS INTEGER) AS n_lines FROM x WHERE block IS NOT NULL GROUP BY doc_id, block""")
 def line_blocks(t):
     found = t.documents.select("doc_id", F.posexplode(O.line_blocks(F.col("text"))).alias("no", "b"))
     return found.select("doc_id", "no", "b.head", F.size("b.lines").alias("n_lines"))

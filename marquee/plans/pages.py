@@ -2,9 +2,9 @@
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import dates as D, html as H, records as R
+from ..functions.binding import let
+from ..functions import html as H, records as R
 from ..operators import documents as O, profile as P
-from ..operators.calendar import timestamp_range  # noqa: F401
 from ..operators.dedup import distinct_in_order
 from ..sources.readers import decode, is_admissible
 from . import derived as DI
@@ -15,7 +15,7 @@ text = lambda c: c.cast("string")
 
 
 def parsed(t):
-    return t.pages.select("page_id", H.html_nodes("html").alias("nodes"))
+    return H.parse_pages(t.pages.select("page_id", "html"))
 
 
 @query("pages_scan", "SELECT page_id, url, length(html) AS n_chars, md5(html) AS digest FROM pages")
@@ -62,7 +62,7 @@ def child_counts(t):
     return kids.select("page_id", F.explode("tags").alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("attrs_contain", """SELECT page_id, regexp_matches(regexp_extract(html, '<nav>.*</nav>', 0), '="[^"]*/[Dd]e"') AS in_nav,
+@query("attrs_contain", """SELECT page_id, regexp_matches(regexp_extract(html, '<nav>.*</nav>', 0), '="[^"]*/[Dd]e') AS in_nav,
     regexp_matches(html, '<[a-z][^>]*="[^"]*ad[^"]*"') AS in_page FROM pages""")
 def attrs_contain(t):
     nav = H.first(H.find_nodes(N, tag="nav"))
@@ -79,8 +79,8 @@ def first_heading(t):
     SELECT page_id, arg_min(tag, (-n, tag)) AS tag, max(n) AS n FROM (SELECT page_id, tag, count(*) AS n FROM tags GROUP BY ALL) GROUP BY page_id""")
 def largest_block(t):
     tags = parsed(t).select("page_id", F.transform(F.slice(N, F.lit(2), F.size(N)), lambda n: n["tag"]).alias("tags"))
-    ranked = F.transform(F.array_distinct("tags"), lambda x: F.struct((-F.size(F.filter("tags", lambda y: y == x))).alias("n"), x.alias("tag")))
-    best = tags.select("page_id", F.array_min(ranked).alias("b"))
+    best = tags.select("page_id", let(F.col("tags"), lambda found: F.array_min(F.transform(F.array_distinct(found), lambda x: F.struct(
+        (-F.size(F.filter(found, lambda y: y == x))).alias("n"), x.alias("tag"))))).alias("b"))
     return best.select("page_id", "b.tag", (-F.col("b.n")).cast("bigint").alias("n"))
 
 
@@ -96,7 +96,7 @@ def page_detail(t):
     lambda w: upper(w[1]) || w[2:]), ' ') AS realisateur, CAST(CASE WHEN p_partkey % 3 > 0 THEN p_size + 1950 END AS INTEGER) AS annee, CAST(120 + p_size AS INTEGER) AS duree,
     'A, ' || p_brand AS actors, CASE WHEN length(trim(repeat(p_name || ' ', 60))) > 500 THEN left(trim(repeat(p_name || ' ', 60)), 500) || '…' ELSE trim(repeat(p_name || ' ', 60)) END AS synopsis FROM part""")
 def detail_page(t):
-    pages = DI.detail_pages(t).select("page_id", H.html_nodes("html").alias("nodes"))
+    pages = H.parse_pages(DI.detail_pages(t))
     return pages.select("page_id", R.detail_page(N).alias("d")).select("page_id", "d.poster", "d.realisateur", "d.annee", "d.duree",
                                                                        F.col("d.cast").alias("actors"), "d.synopsis")
 
@@ -126,11 +126,11 @@ def film_block(t):
 
 
 @query("film_record", """WITH p AS (SELECT *, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS cap FROM part)
-    SELECT p_partkey AS page_id, cap AS titre, upper(p_name) AS original, CAST(p_size + 1950 AS INTEGER) AS annee, CAST(60 + p_size AS INTEGER) AS duree, CAST(NULL AS VARCHAR) AS realisateur,
+    SELECT p_partkey AS page_id, cap AS titre, upper(p_name) AS original, CAST(p_size + 1950 AS INTEGER) AS annee, CAST(60 + p_size AS INTEGER) AS duree, 'De Jean Dupont' AS realisateur,
     'Texte ' || p_brand AS synopsis, '1998-03-04 20:' || lpad(CAST(p_size AS VARCHAR), 2, '0') || ' ' || CASE WHEN p_partkey % 2 = 0 THEN 'VOSTFR' ELSE 'VF' END
-    || CASE WHEN p_partkey < 0 THEN '' ELSE '' END AS slots FROM p""")
+    || ';1998-03-05 09:05 VO' AS slots FROM p""")
 def film_record(t):
-    pages = DI.film_nodes(t).select("page_id", H.html_nodes("html").alias("nodes"))
+    pages = H.parse_pages(DI.film_nodes(t))
     rec = pages.select("page_id", R.film_node(N, H.first(H.find_nodes(N, tag="article")), DI.RUN_DATE).alias("f"))
     return rec.select("page_id", "f.titre", F.col("f.titreOriginal").alias("original"), "f.annee", "f.duree", "f.realisateur", "f.synopsis",
                       F.array_join(F.transform("f.seances", lambda s: F.concat_ws(" ", text(s["date"]), s["heure"], s["version"])), ";").alias("slots"))
@@ -194,8 +194,8 @@ CONTEXT_WORD = r"(?U)\b[Ll]e\b"
 
 @query("match_context", r"""WITH d AS (SELECT doc_id, text, string_split_regex(text, '(^|[^\p{L}\p{N}_])[Ll]e($|[^\p{L}\p{N}_])')[1] AS before FROM documents
     WHERE regexp_matches(text, '(^|[^\p{L}\p{N}_])[Ll]e($|[^\p{L}\p{N}_])')),
-    m AS (SELECT doc_id, text, CAST(length(before) + CASE WHEN regexp_matches(left(text, length(before) + 2), '^[Ll]e$') AND length(before) = 0 THEN 0 ELSE 1 END AS BIGINT) AS at FROM d)
-    SELECT doc_id, CAST(1 AS INTEGER) AS no, left(regexp_replace(regexp_replace(regexp_replace(substr(text, greatest(at - 80, 0) + 1, at + 82 - greatest(at - 80, 0)), '<[^>]+>', ' ', 'g'),
+    m AS (SELECT doc_id, text, CAST(length(before) + CASE WHEN regexp_matches(left(text, length(before) + 2), '^[Ll]e$') AND length(before) = 0 THEN 0 ELSE 1 END AS BIGINT) AS hit FROM d)
+    SELECT doc_id, CAST(1 AS INTEGER) AS no, left(regexp_replace(regexp_replace(regexp_replace(substr(text, greatest(hit - 80, 0) + 1, hit + 82 - greatest(hit - 80, 0)), '<[^>]+>', ' ', 'g'),
     '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), 180) AS context FROM m""")
 def match_context(t):
     found = t.documents.select("doc_id", F.explode(P.match_contexts(F.col("text"), CONTEXT_WORD, 1)).alias("m"))
@@ -216,7 +216,7 @@ def tag_profile(t):
 # --- calendar tables --------------------------------------------------------------------------------------------
 
 def calendar_rows(t):
-    return O.calendar_rows(DI.calendar_pages(t).select("l_suppkey", text(F.col("week")).alias("week"), H.html_nodes("html").alias("nodes")))
+    return O.calendar_rows(H.parse_pages(DI.calendar_pages(t).select("l_suppkey", text(F.col("week")).alias("week"), "html")))
 
 
 WEEK_SQL = "CAST(CAST(l_shipdate AS DATE) - CAST((isodow(CAST(l_shipdate AS DATE)) + 4) % 7 AS INTEGER) AS DATE)"

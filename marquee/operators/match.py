@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions.missing import first_present, is_missing, or_default, present
 from .dedup import first_per_key
 from .skew import spread_lookup
+from .staging import staged
 
 
 def _keyed(kind: str, key: Column, *order: Column) -> Column:
@@ -24,9 +25,9 @@ def _title(title: Column) -> Column:
     return F.nullif(X.title_key(title), F.lit(""))
 
 
-def _entries(catalog: DataFrame, id_col: str, keys: list[tuple[str, Column]], order: list[Column]) -> DataFrame:
-    """Best catalog id per (kind, key)."""
-    rows = catalog.select(F.col(id_col).alias("hit"), F.struct(*order).alias("_order"),
+def _entries(catalog: DataFrame, keys: list[tuple[str, Column]], order: list[Column]) -> DataFrame:
+    """Best catalog row per (kind, key), as struct ``hit``."""
+    rows = catalog.select(F.struct(*catalog.columns).alias("hit"), F.struct(*order).alias("_order"),
                           F.explode(F.array(*[_keyed(k, c) for k, c in keys])).alias("k"))
     rows = rows.select("k.kind", "k.key", "hit", "_order").filter(F.col("key").isNotNull())
     return rows.groupBy("kind", "key").agg(F.min_by("hit", "_order").alias("hit"))
@@ -38,12 +39,11 @@ def _cascade(works: DataFrame, work_id: str, probes: list[tuple[int, str, Column
         _keyed(kind, key, F.lit(rank).alias("rank")) for rank, kind, key in probes])).alias("p"))
     asked = asked.select(work_id, "p.rank", "p.kind", "p.key").filter(F.col("key").isNotNull())
     return (spread_lookup(asked, entries, ["kind", "key"], "inner", spread_by=[work_id, "rank"]).groupBy(work_id)
-                 .agg(F.min(F.struct("rank", "hit")).alias("m"))
-                 .select(work_id, F.col("m.rank").alias("match_rank"), F.col("m.hit").alias("hit")))
+                .agg(F.min("rank").alias("match_rank"), F.min_by("hit", "rank").alias("hit")))
 
 
 def match_cascade(works: DataFrame, work_id: str, tmdb: DataFrame) -> DataFrame:
-    """First catalog: by imdb id (1); by title and year (2); title (3); French title and year (4); French title (5).
+    """(work_id, match_rank, hit) in the first catalog: by imdb id (1); by title and year (2); title (3); French title and year (4); French title (5).
 
     ``works`` has imdbId, titre, titreOriginal, annee. The best entry of a key has the highest vote, then the lowest id.
     """
@@ -54,11 +54,11 @@ def match_cascade(works: DataFrame, work_id: str, tmdb: DataFrame) -> DataFrame:
     keys = [("imdb", present(F.col("imdb_id"))), ("title_year", _title_year(F.col("title"), F.col("year"))),
             ("title", _title(F.col("title")))]
     order = [-F.coalesce(F.col("vote_average"), F.lit(-1.0)), F.col("id")]
-    return _cascade(works, work_id, probes, _entries(tmdb, "id", keys, order)).withColumnRenamed("hit", "tmdb_id")
+    return _cascade(works, work_id, probes, _entries(tmdb, keys, order))
 
 
 def match_fallback(works: DataFrame, work_id: str, omdb: DataFrame) -> DataFrame:
-    """Second catalog: a known imdb id only by id (1), others by title, with the year where known (2)."""
+    """(work_id, match_rank, hit) in the second catalog: a known imdb id only by id (1), others by title, with the year where known (2)."""
     known = ~is_missing(F.col("imdbId"))
     title, dated = or_default(F.col("titreOriginal"), F.col("titre")), ~is_missing(F.col("annee"), "number")
     probes = [(1, "imdb", F.when(known, F.col("imdbId"))),
@@ -66,25 +66,15 @@ def match_fallback(works: DataFrame, work_id: str, omdb: DataFrame) -> DataFrame
               (2, "title", F.when(~known & ~dated, _title(title)))]
     keys = [("imdb", present(F.col("imdbID"))), ("title_year", _title_year(F.col("Title"), X.year_number(F.col("Year")))),
             ("title", _title(F.col("Title")))]
-    return _cascade(works, work_id, probes, _entries(omdb, "imdbID", keys, [F.col("imdbID")])) \
-        .withColumnRenamed("hit", "omdb_id")
-
-
-def _attach(works: DataFrame, work_id: str, matches: DataFrame, hit: str, catalog: DataFrame, catalog_id: str,
-            name: str) -> DataFrame:
-    """Works with the matched catalog row as struct ``name``."""
-    rows = catalog.select(F.col(catalog_id).alias(hit), F.struct(*catalog.columns).alias(name))
-    matched = spread_lookup(matches.select(work_id, hit), rows, [hit], "inner").select(work_id, name)
-    return works.join(matched, work_id, "left")
+    return _cascade(works, work_id, probes, _entries(omdb, keys, [F.col("imdbID"), F.col("Title")]))
 
 
 def provider_merge(works: DataFrame, work_id: str, tmdb: DataFrame, omdb: DataFrame) -> DataFrame:
     """Own value, else first catalog, else second; a field list per provider, works without a title untouched."""
     kept = works.columns
     titled = X.work_key(F.col("titreOriginal"), F.col("titre")).isNotNull()
-    tmdb = first_per_key(tmdb, ["id"], [-F.coalesce(F.col("vote_average"), F.lit(-1.0)), F.col("title")])
-    omdb = first_per_key(omdb, ["imdbID"], [F.col("Title"), F.col("Year")])
-    one = _attach(works, work_id, match_cascade(works.filter(titled), work_id, tmdb), "tmdb_id", tmdb, "id", "t")
+    attach = lambda df, matches, name: df.join(matches.select(work_id, F.col("hit").alias(name)), work_id, "left")
+    one = attach(works, match_cascade(works.filter(titled), work_id, tmdb), "t")
     t = lambda c: F.col(f"t.{c}")
     overview = X.ellipsize(present(X.strip(t("overview"))))
     one = one.withColumns({
@@ -94,7 +84,8 @@ def provider_merge(works: DataFrame, work_id: str, tmdb: DataFrame, omdb: DataFr
         "imdbId": F.coalesce(present(F.col("imdbId")), present(t("imdb_id")), F.col("imdbId")),
         "cast": F.coalesce(present(F.col("cast")), X.top_names(t("cast")), F.col("cast")),
     }).drop("t")
-    two = _attach(one, work_id, match_fallback(one.filter(titled), work_id, omdb), "omdb_id", omdb, "imdbID", "o")
+    one = staged(one, "first-catalog")  # the second lookup depends on what the first one found
+    two = attach(one, match_fallback(one.filter(titled), work_id, omdb), "o")
     o = lambda c: X.na_to_null(F.col(f"o.{c}"))
     return two.withColumns({
         "imdbId": F.coalesce(present(F.col("imdbId")), F.col("o.imdbID"), F.col("imdbId")),

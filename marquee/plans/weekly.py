@@ -4,9 +4,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K, schema
 from ..functions import text as X
 from ..functions.dates import as_date, time_minutes, time_seconds
-from ..functions.missing import is_missing, or_default
-from ..operators import calendar as W, fill, grouping as G, match as M, upsert as U
+from ..functions.missing import first_present, is_missing, or_default, present
+from ..operators import calendar as W, grouping as G, match as M, upsert as U
 from ..operators.skew import spread_lookup
+from ..operators.staging import staged
 from ..sources.readers import film_screenings
 
 
@@ -31,20 +32,23 @@ def as_films(rows: DataFrame, keep: tuple = ("src_order", "row_order")) -> DataF
 def enrich(films: DataFrame, tmdb: DataFrame, omdb: DataFrame) -> DataFrame:
     """Look up one representative per work in the catalogs, then share the best known fields among all its copies.
 
-    ``films`` carry (src_order, row_order). A representative stands before its copies in the order of best values.
+    ``films`` carry (src_order, row_order); the representative is the first copy in that order, so what the catalogs
+    say of it comes first among the best values.
     """
-    keyed = films.withColumn("_work", X.work_key(F.col("titreOriginal"), F.col("titre")))
-    shared = [c for c in schema.SHARED_FIELDS]
-    base = M.representatives(keyed.select("_work", "src_order", "row_order", "titre", *shared), "_work", ["src_order", "row_order"])
-    known = M.provider_merge(base, "_work", tmdb, omdb).select("_work", *[F.col(c).alias(f"_new_{c}") for c in shared], "src_order", "row_order")
-    # The representative takes the catalog values, the copies see them through the fill.
-    head = known.select("_work", F.col("src_order").alias("_s"), F.col("row_order").alias("_r"), *[f"_new_{c}" for c in shared])
-    marked = spread_lookup(keyed, head, ["_work"], "left", spread_by=["src_order", "row_order"])
-    is_head = (F.col("src_order") == F.col("_s")) & (F.col("row_order") == F.col("_r"))
-    taken = marked.withColumns({c: F.when(is_head, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in shared})
-    taken = taken.select(*keyed.columns)
-    order = F.struct("src_order", "row_order")
-    return fill.propagate_fill(taken, "_work", schema.SHARED_FIELDS, order).drop("_work")
+    place = ["src_order", "row_order"]
+    fields = schema.SHARED_FIELDS
+    keyed = staged(films.withColumn("_work", X.work_key(F.col("titreOriginal"), F.col("titre"))), "films")
+    heads = M.representatives(keyed.select("_work", *place, "titre", *fields), "_work", place)
+    known = M.provider_merge(heads, "_work", tmdb, omdb)
+    known = known.select("_work", *[F.col(c).alias(f"_head_{c}") for c in [*place, *fields]])
+    best = G.best_fields(keyed.filter(F.col("_work").isNotNull()), "_work", fields, F.struct(*place)).join(known, "_work", "left")
+    best = best.select("_work", "n_rows", *[F.col(f"_head_{c}") for c in [*place, *fields]],
+                       *[first_present(kind, F.col(f"_head_{c}"), F.col(c)).alias(f"_best_{c}") for c, kind in fields.items()])
+    shared = spread_lookup(keyed, best, ["_work"], "left", right_weight="n_rows")
+    is_head = (F.col("src_order") == F.col("_head_src_order")) & (F.col("row_order") == F.col("_head_row_order"))
+    filled = {c: F.coalesce(present(F.col(c), kind), F.col(f"_best_{c}"), F.when(is_head, F.col(f"_head_{c}")), F.col(c))
+              for c, kind in fields.items()}
+    return shared.withColumns(filled).select(*films.columns)
 
 
 def film_key() -> list[Column]:
@@ -75,16 +79,15 @@ def star_rows(films: DataFrame, run_ts: str) -> tuple[DataFrame, DataFrame, Data
 def load(films: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame], run_ts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New state of (cinemas, films, screenings) after loading nested films; write with ``sources.writers.write_star``.
 
-    First row of a film wins inside a run, last screening of a slot wins; screenings without parents are dropped.
+    First row of a film wins inside a run, last screening of a slot wins. Ids come from keys, so every screening finds
+    the film and cinema loaded with it without a lookup; ``star_join`` drops stored ones that lost a parent.
     """
     cinemas, rows, seances = star_rows(films, run_ts)
     order = ["src_order", "row_order"]
     new_cinemas = U.upsert(stored[0], cinemas, ["name"], order, "first")
     new_films = U.upsert(stored[1], rows, ["titre", "annee", "realisateur"], order, "first")
     merged = U.upsert(stored[2], seances, ["film_id", "cinema_id", "date", "heure"], [*order, "pos"], "last")
-    kept = spread_lookup(merged, new_films.select(F.col("id").alias("film_id")), ["film_id"], "left_semi", spread_by=["id"])
-    kept = spread_lookup(kept, new_cinemas.select(F.col("id").alias("cinema_id")), ["cinema_id"], "left_semi", spread_by=["id"])
-    return new_cinemas, new_films, kept
+    return new_cinemas, new_films, merged
 
 
 def weekly_run(sources: list[tuple[str, DataFrame]], tmdb: DataFrame | None, omdb: DataFrame | None, run_date, filter_week: bool = True) -> DataFrame:

@@ -25,8 +25,9 @@ def read_drop(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(is_admissible(F.col("length"), F.col("content")))
 
 
-def read_programme(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.PROGRAMME).option("multiLine", True).json(path)
+def read_programme(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Programme files: one indented document per file, or one document per line."""
+    return spark.read.schema(schema.PROGRAMME).option("multiLine", one_per_file).json(path)
 
 
 def programme_films(programme: DataFrame) -> DataFrame:

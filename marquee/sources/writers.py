@@ -32,11 +32,14 @@ def write_programme(films: DataFrame, path: str | None, run_ts: str, sources: li
 
 
 def write_star(cinemas: DataFrame, films: DataFrame, seances: DataFrame, path: str) -> None:
-    """New snapshot of the three tables, parents before children; screenings are laid out by programme week."""
+    """New snapshot of the three tables, parents before children; screenings are laid out by programme week.
+
+    Rebalancing gives a week few files and still splits a week that is too large for one task.
+    """
     cinemas.write.mode("overwrite").parquet(f"{path}/cinemas")
     films.write.mode("overwrite").parquet(f"{path}/films")
     weeks = seances.withColumn("week", F.date_sub("date", F.pmod(F.weekday("date") - 2, F.lit(7))))
-    weeks.write.mode("overwrite").partitionBy("week").parquet(f"{path}/seances")
+    weeks.hint("rebalance", "week").write.mode("overwrite").partitionBy("week").parquet(f"{path}/seances")
 
 
 def append_state(urls: DataFrame, path: str) -> None:

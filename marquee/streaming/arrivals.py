@@ -4,22 +4,12 @@ Every increment writes its own ``batch=<n>`` folder in overwrite mode, so a repl
 increment costs what it brings, not what is stored. The current table is the first or last row per key over all
 batches, a map-side combined aggregate.
 """
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.dedup import first_per_key, last_per_key
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """New folder in the place the cluster shares between executors (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir is not set")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def arrivals(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
              files_per_batch: int | None = None) -> DataFrame:
     """Stream of the files under ``path`` (a folder or a glob)."""

@@ -7,6 +7,7 @@ operator on nodes shuffles and page text never leaves its task.
 import sys
 from html import unescape
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -18,9 +19,6 @@ from ..schema import NODE
 from .binding import let
 from .text import collapse, strip
 
-_ARROW_NODES = pa.list_(pa.struct([
-    ("node_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("subtree_end", pa.int32()),
-    ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("own_text", pa.string())]))
 _VOID = frozenset(K.VOID_TAGS)
 
 # Ship the parser itself with the tasks, so executors need no copy of this package.
@@ -64,6 +62,23 @@ class _Outline(HTMLParser):
         return self.nodes
 
 
+def _offsets(sizes) -> pa.Array:
+    return pa.array([0, *accumulate(sizes)], type=pa.int32())
+
+
+def _node_lists(outlines: list[list[dict]]) -> pa.ListArray:
+    """Node lists of several pages as one Arrow array, column by column."""
+    nodes = [n for outline in outlines for n in outline]
+    column = lambda name, kind: pa.array([n[name] for n in nodes], type=kind)
+    pairs = [p for n in nodes for p in n["attrs"]]
+    attrs = pa.MapArray.from_arrays(_offsets(len(n["attrs"]) for n in nodes), pa.array([k for k, _ in pairs], type=pa.string()),
+                                    pa.array([v for _, v in pairs], type=pa.string()))
+    numbers = [column(name, pa.int32()) for name in ("node_id", "parent_id", "depth", "subtree_end")]
+    fields = ["node_id", "parent_id", "depth", "subtree_end", "tag", "attrs", "own_text"]
+    rows = pa.StructArray.from_arrays([*numbers, column("tag", pa.string()), attrs, column("own_text", pa.string())], names=fields)
+    return pa.ListArray.from_arrays(_offsets(map(len, outlines)), rows)
+
+
 def parse_pages(pages: DataFrame, html: str = "html", rows_per_batch: int = 64) -> DataFrame:
     """Pages with ``nodes`` in place of their markup: the page itself as node 0, then its nodes in document order.
 
@@ -76,8 +91,8 @@ def parse_pages(pages: DataFrame, html: str = "html", rows_per_batch: int = 64)
         for batch in batches:
             for start in range(0, batch.num_rows, rows_per_batch):
                 part = batch.slice(start, rows_per_batch)
-                outlines = [None if m is None else _Outline().outline(m) for m in part.column(html).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(outlines, type=_ARROW_NODES)],
+                outlines = [[] if m is None else _Outline().outline(m) for m in part.column(html).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [_node_lists(outlines)],
                                                  names=[*kept, "nodes"])
 
     out = T.StructType([pages.schema[c] for c in kept] + [T.StructField("nodes", T.ArrayType(NODE))])

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import constants as K
 from ..functions.binding import let
 from ..functions.calendar import by_time, screenings
-from ..functions import grid as G, html as H, records as R, text as X, dates as D
+from ..functions import dates as D, grid as G, html as H, records as R, text as X
 
 FILM_COLUMNS = ["titre", "version", "seances"]
 
@@ -18,22 +18,19 @@ def collect_grid(rows: DataFrame) -> DataFrame:
 
 
 def grid_columns(docs: DataFrame, run_date, week_start: Column | None = None) -> DataFrame:
-    """Documents with ``header_idx`` and ``dates`` (col -> date); those without header row are dropped."""
+    """Documents with ``dates``, an array of (col, date) of their day columns; NULL without a header row."""
     start = F.lit(None).cast("date") if week_start is None else week_start
-    found = docs.withColumn("header_idx", G.header_row(F.col("grid"))).filter(F.col("header_idx").isNotNull())
-    return (found.withColumn("_header", F.get("grid", F.col("header_idx")))
-                 .withColumn("dates", G.col_dates(F.col("_header"), start, run_date)).drop("_header"))
+    dates = let(F.get("grid", G.header_row(F.col("grid"))), lambda header: F.when(
+        header.isNotNull(), G.col_dates(header, start, run_date)))
+    return docs.withColumn("dates", dates)
 
 
 def grid_films(docs: DataFrame, run_date, week_start: Column | None = None) -> DataFrame:
     """One row per film row of a grid: titre, version and its distinct screenings by date and time."""
-    cols = grid_columns(docs, run_date, week_start)
-    body = F.slice("grid", F.col("header_idx") + 2, F.size("grid"))
-    rows = cols.select("doc_id", "dates", F.posexplode_outer(body).alias("row_no", "cells"))
-    rows = rows.withColumn("film", G.title_cell(F.get("cells", F.lit(0)))).filter(F.col("film").isNotNull())
-    rows = rows.withColumn("slots", G.row_slots(F.col("cells"), F.col("dates"))).filter(F.size("slots") > 0)
-    return rows.select("doc_id", "row_no", "film.titre", "film.version", let(F.col("film.version"), lambda v: screenings(
-        F.col("slots"), v)).alias("seances"))
+    start = F.lit(None).cast("date") if week_start is None else week_start
+    opened = docs.select("doc_id", F.explode_outer(G.grid_rows(F.col("grid"), start, run_date)).alias("f"))
+    return opened.filter(F.col("f").isNotNull()).select(
+        "doc_id", "f.row_no", "f.titre", "f.version", screenings(F.col("f.slots"), F.col("f.version")).alias("seances"))
 
 
 # --- text lines -------------------------------------------------------------------------------------------------
@@ -82,18 +79,28 @@ def calendar_rows(pages: DataFrame) -> DataFrame:
 
     The section is carried forward inside the page's own array, so rows of a page never need a shuffle to meet.
     """
-    table = pages.withColumn("_table", largest_table(F.col("nodes"))).filter(F.col("_table").isNotNull())
-    rows = F.transform(H.find_nodes(F.col("nodes"), F.col("_table"), tag="tr"), lambda r: F.struct(
-        R.row_kind(r).alias("kind"), H.subtree(F.col("nodes"), r).alias("nodes")))
-    named = table.withColumn("_rows", rows).drop("nodes", "_table").withColumn("_sections", F.transform(
-        "_rows", lambda r: F.when(r["kind"] == "cinema", R.section_name(r["nodes"], H.root(r["nodes"])))))
-    known = named.withColumn("_marks", F.filter(F.transform("_sections", lambda s, i: F.struct(i.alias("i"), s.alias("s"))),
-                                                lambda m: m["s"].isNotNull()))
+    nodes = F.col("nodes")
+
+    def sections(rows):
+        """(index, venue) of the section rows that name one."""
+        named = F.transform(rows, lambda r, i: F.when(r["kind"] == "cinema", let(
+            H.subtree(nodes, r["node"]), lambda own: F.struct(i.alias("at"), R.section_name(own, H.root(own)).alias("venue")))))
+        return F.filter(named, lambda m: m["venue"].isNotNull())
+
+    def carried(rows, marks):
+        return F.transform(rows, lambda r, i: F.struct(
+            i.alias("row_no"), r["kind"].alias("kind"), H.subtree(nodes, r["node"]).alias("nodes"),
+            F.coalesce(F.try_element_at(F.filter(marks, lambda m: m["at"] <= i), F.lit(-1))["venue"],
+                       F.lit(K.DEFAULT_SECTION)).alias("cinema")))
+
+    def rows_of(table):
+        kinds = F.transform(H.find_nodes(nodes, table, tag="tr"), lambda r: F.struct(R.row_kind(r).alias("kind"), r.alias("node")))
+        return let(kinds, lambda rows: let(sections(rows), lambda marks: carried(rows, marks)))
+
+    rows = let(largest_table(nodes), lambda table: F.when(table.isNotNull(), rows_of(table)))
     keep = [c for c in pages.columns if c != "nodes"]
-    opened = known.select(*keep, "_marks", F.posexplode_outer("_rows").alias("row_no", "row"))
-    before = F.filter("_marks", lambda m: m["i"] <= F.col("row_no"))
-    return opened.select(*keep, "row_no", "row.kind", "row.nodes", F.coalesce(
-        F.try_element_at(before, F.lit(-1))["s"], F.lit(K.DEFAULT_SECTION)).alias("cinema"))
+    opened = pages.select(*keep, F.explode_outer(rows).alias("row")).filter(F.col("row").isNotNull())
+    return opened.select(*keep, "row.row_no", "row.kind", "row.nodes", "row.cinema")
 
 
 def calendar_films(rows: DataFrame) -> DataFrame:
@@ -101,21 +108,26 @@ def calendar_films(rows: DataFrame) -> DataFrame:
 
     Dropped when the title has fewer than two characters besides spaces or nothing is shown.
     """
-    movie = rows.filter(F.col("kind") == "movie")
-    nodes = F.col("nodes")
-    movie = movie.withColumn("_title", F.get(H.children(nodes, H.root(nodes), "th"), F.lit(0))) \
-                 .filter(F.col("_title").isNotNull())
-    movie = movie.withColumn("_link", H.first(H.find_nodes(nodes, F.col("_title"), tag="a")))
-    cells = F.filter(H.children(nodes, H.root(nodes), "td"), lambda td: H.attr(td, "class").contains("schedule"))
-    movie = movie.withColumns({
-        "titre": F.coalesce(F.nullif(X.strip(H.text_of(nodes, F.col("_link"))), F.lit("")),
-                            X.strip(H.text_of(nodes, F.col("_title")))),
-        "slug": X.href_slug(H.attr(F.col("_link"), "href")),
-        "seances": F.flatten(F.transform(cells, lambda td: R.cell_screenings(nodes, td)))})
     kept = [c for c in rows.columns if c not in ("kind", "nodes")]
-    movie = movie.filter((F.length(F.replace("titre", F.lit(" "), F.lit(""))) >= 2) & (F.size("seances") > 0))
-    return movie.select(*kept, "titre", "slug", by_time(F.col("seances"), ["date", "heure", "version", "resa_url"])
-                        .alias("seances"))
+
+    def seances(own):
+        cells = F.filter(H.children(own, H.root(own), "td"), lambda td: H.attr(td, "class").contains("schedule"))
+        return F.flatten(F.transform(cells, lambda td: let(H.subtree(own, td), lambda cell: R.cell_screenings(cell, H.root(cell)))))
+
+    def titled(own, title, link):
+        said = F.nullif(X.strip(H.text_of(own, link)), F.lit(""))
+        return F.struct(F.coalesce(said, X.strip(H.text_of(own, title))).alias("titre"),
+                        X.href_slug(H.attr(link, "href")).alias("slug"))
+
+    def film(own):
+        name = let(F.get(H.children(own, H.root(own), "th"), F.lit(0)), lambda title: F.when(title.isNotNull(), let(
+            H.first(H.find_nodes(own, title, tag="a")), lambda link: titled(own, title, link))))
+        return F.struct(name.alias("name"), by_time(seances(own), ["date", "heure", "version", "resa_url"]).alias("seances"))
+
+    movie = rows.filter(F.col("kind") == "movie").select(*kept, F.explode_outer(F.array(let(F.col("nodes"), film))).alias("f"))
+    titre = F.col("f.name.titre")
+    shown = movie.filter((F.length(F.replace(titre, F.lit(" "), F.lit(""))) >= 2) & (F.size("f.seances") > 0))
+    return shown.select(*kept, titre.alias("titre"), F.col("f.name.slug").alias("slug"), F.col("f.seances").alias("seances"))
 
 
 def heading_films(pages: DataFrame, run_date) -> DataFrame:

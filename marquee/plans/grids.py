@@ -37,20 +37,20 @@ def grid_col_dates(t):
         r, lambda c: F.regexp_replace(c, r"\. \d+$", "")))).otherwise(F.col("grid")))
     mixed = mixed.withColumn("seen", F.when(level == 2, F.date_add("week", 3)).otherwise(F.col("seen")))
     cols = O.grid_columns(mixed, F.col("seen"), F.when(level == 0, F.col("week")))
-    return cols.select("l_suppkey", F.col("week_text").alias("week"), F.inline("dates")).select("l_suppkey", "week", "col", text(F.col("date")).alias("day"))
+    return cols.select("l_suppkey", F.col("week_text").alias("week"), F.inline_outer("dates")).select("l_suppkey", "week", "col", text(F.col("date")).alias("day"))
 
 
 @query("grid_title", f"WITH {GRID} SELECT DISTINCT l_suppkey, CAST(w AS VARCHAR) AS week, upper(p_brand) AS titre, version FROM g")
 def grid_title(t):
     cells = docs(t).select("l_suppkey", F.col("week_text").alias("week"), F.explode(F.slice("grid", F.lit(3), F.size("grid"))).alias("cells"))
-    return cells.select("l_suppkey", "week", F.inline(F.array(G.title_cell(F.get("cells", F.lit(0))))))
+    return cells.select("l_suppkey", "week", F.inline_outer(F.array(G.title_cell(F.get("cells", F.lit(0))))))
 
 
 @query("grid_unpivot", f"WITH {GRID} SELECT l_suppkey, CAST(w AS VARCHAR) AS week, day, heure, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY ALL")
 def grid_unpivot(t):
-    cols = O.grid_columns(near_week(t), F.col("seen"))
-    rows = cols.select("l_suppkey", F.col("week_text").alias("week"), "dates", F.explode(F.slice("grid", F.lit(3), F.size("grid"))).alias("cells"))
-    slots = rows.select("l_suppkey", "week", F.inline(G.row_slots(F.col("cells"), F.col("dates"))))
+    rows = near_week(t).select("l_suppkey", F.col("week_text").alias("week"), F.explode_outer(
+        G.grid_rows(F.col("grid"), F.lit(None).cast("date"), F.col("seen"))).alias("f"))
+    slots = rows.select("l_suppkey", "week", F.inline("f.slots"))
     return slots.groupBy("l_suppkey", "week", text(F.col("date")).alias("day"), "heure").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,8 +10,8 @@ from ..sources.readers import decode, is_admissible
 from . import derived as DI
 from .registry import query
 
-N = F.col("nodes")
 text = lambda c: c.cast("string")
+nodes = lambda: F.col("nodes")
 
 
 def parsed(t):
@@ -41,7 +41,7 @@ def html_nodes(t):
 
 @query("find_nodes", """SELECT page_id, CAST(len(regexp_extract_all(lower(html), '<div[^>]*class="[^"]*ad[^"]*"')) AS INTEGER) AS n FROM pages""")
 def find_nodes(t):
-    return parsed(t).select("page_id", F.size(H.find_nodes(N, tag="div", cls="AD")).alias("n"))
+    return parsed(t).select("page_id", F.size(H.find_nodes(nodes(), tag="div", cls="AD")).alias("n"))
 
 
 UNESCAPE_SQL = "replace(replace(replace(replace({c}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
@@ -51,34 +51,34 @@ UNESCAPE_SQL = "replace(replace(replace(replace({c}, '&quot;', '\"'), '&middot;'
     f"trim({UNESCAPE_SQL.format(c=f'''regexp_extract(html, '<{tag}>([^<]*)</{tag}>', 1)''')}) AS {name}" for tag, name in
     (("title", "title"), ("h1", "heading"))) + " FROM pages")
 def text_of_title(t):
-    of = lambda tag: F.coalesce(H.text_of(N, H.first(H.find_nodes(N, tag=tag))), F.lit(""))
+    of = lambda tag: F.coalesce(H.text_of(nodes(), H.first(H.find_nodes(nodes(), tag=tag))), F.lit(""))
     return parsed(t).select("page_id", of("title").alias("title"), of("h1").alias("heading"))
 
 
 @query("child_counts")
 def child_counts(t):
-    body = H.first(H.find_nodes(N, tag="body"))
-    kids = parsed(t).select("page_id", F.transform(H.children(N, body), lambda n: n["tag"]).alias("tags"))
+    body = H.first(H.find_nodes(nodes(), tag="body"))
+    kids = parsed(t).select("page_id", F.transform(H.children(nodes(), body), lambda n: n["tag"]).alias("tags"))
     return kids.select("page_id", F.explode("tags").alias("tag")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("attrs_contain", """SELECT page_id, regexp_matches(regexp_extract(html, '<nav>.*</nav>', 0), '="[^"]*/[Dd]e') AS in_nav,
     regexp_matches(html, '<[a-z][^>]*="[^"]*ad[^"]*"') AS in_page FROM pages""")
 def attrs_contain(t):
-    nav = H.first(H.find_nodes(N, tag="nav"))
-    return parsed(t).select("page_id", F.coalesce(H.attrs_contain(N, nav, "/de") | H.attrs_contain(N, nav, "/De"), F.lit(False)).alias("in_nav"),
-                            H.attrs_contain(N, H.root(N), "ad").alias("in_page"))
+    nav = H.first(H.find_nodes(nodes(), tag="nav"))
+    return parsed(t).select("page_id", F.coalesce(H.attrs_contain(nodes(), nav, "/de") | H.attrs_contain(nodes(), nav, "/De"), F.lit(False)).alias("in_nav"),
+                            H.attrs_contain(nodes(), H.root(nodes()), "ad").alias("in_page"))
 
 
 @query("first_heading", f"""SELECT page_id, trim({UNESCAPE_SQL.format(c="regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}) AS heading FROM pages""")
 def first_heading(t):
-    return parsed(t).select("page_id", F.coalesce(R.first_text(N, None, *R.TITLE_RULES), F.lit("")).alias("heading"))
+    return parsed(t).select("page_id", F.coalesce(R.first_text(nodes(), None, *R.TITLE_RULES), F.lit("")).alias("heading"))
 
 
 @query("largest_block", """WITH tags AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'g'), '<script>.*?</script>', '<script>', 'g'), '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages)
     SELECT page_id, arg_min(tag, (-n, tag)) AS tag, max(n) AS n FROM (SELECT page_id, tag, count(*) AS n FROM tags GROUP BY ALL) GROUP BY page_id""")
 def largest_block(t):
-    tags = parsed(t).select("page_id", F.transform(F.slice(N, F.lit(2), F.size(N)), lambda n: n["tag"]).alias("tags"))
+    tags = parsed(t).select("page_id", F.transform(F.slice(nodes(), F.lit(2), F.size(nodes())), lambda n: n["tag"]).alias("tags"))
     best = tags.select("page_id", let(F.col("tags"), lambda found: F.array_min(F.transform(F.array_distinct(found), lambda x: F.struct(
         (-F.size(F.filter(found, lambda y: y == x))).alias("n"), x.alias("tag"))))).alias("b"))
     return best.select("page_id", "b.tag", (-F.col("b.n")).cast("bigint").alias("n"))
@@ -87,9 +87,9 @@ def largest_block(t):
 @query("page_detail", f"""SELECT page_id, trim({UNESCAPE_SQL.format(c="regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title,
     trim({UNESCAPE_SQL.format(c="regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}) AS heading, regexp_extract(html, '<a href="([^"]*)"', 1) AS first_link FROM pages""")
 def page_detail(t):
-    return parsed(t).select("page_id", F.coalesce(R.first_text(N, None, {"tag": "title"}), F.lit("")).alias("title"),
-                            F.coalesce(R.first_text(N, None, {"tag": "h1"}), F.lit("")).alias("heading"),
-                            H.attr(H.first(H.find_nodes(N, tag="a")), "href").alias("first_link"))
+    return parsed(t).select("page_id", F.coalesce(R.first_text(nodes(), None, {"tag": "title"}), F.lit("")).alias("title"),
+                            F.coalesce(R.first_text(nodes(), None, {"tag": "h1"}), F.lit("")).alias("heading"),
+                            H.attr(H.first(H.find_nodes(nodes(), tag="a")), "href").alias("first_link"))
 
 
 @query("detail_page", """SELECT p_partkey AS page_id, 'https://p.example/' || p_partkey || '.jpg' AS poster, 'Ana ' || array_to_string(list_transform(string_split(p_name, ' '),
@@ -97,7 +97,7 @@ def page_detail(t):
     'A, ' || p_brand AS actors, CASE WHEN length(trim(repeat(p_name || ' ', 60))) > 500 THEN left(trim(repeat(p_name || ' ', 60)), 500) || '…' ELSE trim(repeat(p_name || ' ', 60)) END AS synopsis FROM part""")
 def detail_page(t):
     pages = H.parse_pages(DI.detail_pages(t))
-    return pages.select("page_id", R.detail_page(N).alias("d")).select("page_id", "d.poster", "d.realisateur", "d.annee", "d.duree",
+    return pages.select("page_id", R.detail_page(nodes()).alias("d")).select("page_id", "d.poster", "d.realisateur", "d.annee", "d.duree",
                                                                        F.col("d.cast").alias("actors"), "d.synopsis")
 
 
@@ -131,7 +131,7 @@ def film_block(t):
     || ';1998-03-05 09:05 VO' AS slots FROM p""")
 def film_record(t):
     pages = H.parse_pages(DI.film_nodes(t))
-    rec = pages.select("page_id", R.film_node(N, H.first(H.find_nodes(N, tag="article")), DI.RUN_DATE).alias("f"))
+    rec = pages.select("page_id", R.film_node(nodes(), H.first(H.find_nodes(nodes(), tag="article")), DI.RUN_DATE).alias("f"))
     return rec.select("page_id", "f.titre", F.col("f.titreOriginal").alias("original"), "f.annee", "f.duree", "f.realisateur", "f.synopsis",
                       F.array_join(F.transform("f.seances", lambda s: F.concat_ws(" ", text(s["date"]), s["heure"], s["version"])), ";").alias("slots"))
 
@@ -235,14 +235,14 @@ def row_kind(t):
 @query("section_name", f"""WITH {SHOWN_SQL} SELECT l_suppkey, week, unnest([1, 2, 3]) AS no, unnest(['Lumière Fourmi', 'Lumière Bellecour', NULL]) AS cinema
     FROM (SELECT DISTINCT l_suppkey, week FROM shown)""")
 def section_name(t):
-    rows = calendar_rows(t).filter("kind = 'cinema'").select("l_suppkey", "week", R.section_name(N, H.root(N)).alias("cinema"), H.text_of(N, H.root(N)).alias("said"))
+    rows = calendar_rows(t).filter("kind = 'cinema'").select("l_suppkey", "week", R.section_name(nodes(), H.root(nodes())).alias("cinema"), H.text_of(nodes(), H.root(nodes())).alias("said"))
     return rows.select("l_suppkey", "week", F.when(F.col("said") == "", 1).when(F.col("said") == "Autre salle", 3).otherwise(2).alias("no"), "cinema")
 
 
 @query("header_dates", f"""WITH {SHOWN_SQL} SELECT l_suppkey, week, CAST(i + 1 AS INTEGER) AS col, CAST(CAST(CAST(week AS DATE) + CAST(i AS INTEGER) AS DATE) AS VARCHAR) AS day
     FROM (SELECT DISTINCT l_suppkey, week FROM shown), generate_series(0, 6) AS g(i)""")
 def header_dates(t):
-    rows = calendar_rows(t).filter("kind = 'days'").select("l_suppkey", "week", F.inline(R.header_dates(N, H.root(N))))
+    rows = calendar_rows(t).filter("kind = 'days'").select("l_suppkey", "week", F.inline(R.header_dates(nodes(), H.root(nodes()))))
     return rows.select("l_suppkey", "week", "col", text(F.col("date")).alias("day"))
 
 

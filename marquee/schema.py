@@ -1,39 +1,36 @@
 """Explicit schemas of every source, table and nested record; nothing is inferred."""
 from pyspark.sql import types as T
 
-
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-SEANCE_DDL = "date date, heure string, version string, resa_url string"
-FILM_DDL = ("titre string, titreOriginal string, annee int, realisateur string, duree int, genres array<string>, "
-            "synopsis string, imdbId string, poster string, imdbRating double, cast string, slug string, "
-            f"source string, cinema string, seances array<struct<{SEANCE_DDL.replace(' ', ':').replace(',:', ',')}>>")
-
-SEANCE = _struct(SEANCE_DDL)
-FILM = _struct(FILM_DDL)
-PROGRAMME = T.StructType([
-    T.StructField("generated_at", T.StringType()),
-    T.StructField("sources", T.ArrayType(T.StringType())),
-    T.StructField("films", T.ArrayType(FILM)),
-])
-
-CINEMAS = _struct("id string, name string, slug string, created_at timestamp")
-FILMS = _struct("id string, titre string, titre_original string, annee int, realisateur string, duree int, "
-                "genres array<string>, synopsis string, imdb_id string, poster string, imdb_rating decimal(3,1), "
-                "cast string, source string, created_at timestamp")
-SEANCES = _struct("id string, film_id string, cinema_id string, date date, heure string, version string, "
-                  "resa_url string, created_at timestamp")
-
-GRID_ROW = _struct("doc_id string, row_no int, cells array<string>")
-NODE = _struct("node_id int, parent_id int, depth int, subtree_end int, tag string, attrs map<string,string>, "
-               "own_text string")
-URL_STATE = _struct("url string")
-TMDB = _struct("id long, imdb_id string, title string, year int, poster_path string, overview string, "
-               "vote_average double, cast array<struct<name:string>>")
-OMDB = _struct("imdbID string, Title string, Year string, Poster string, Plot string, Director string, Genre string, "
-               "imdbRating string, Actors string")
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(),
+          "date": T.DateType(), "timestamp": T.TimestampType(), "rating": T.DecimalType(3, 1),
+          "strings": T.ArrayType(T.StringType()), "texts": T.MapType(T.StringType(), T.StringType())}
+
+
+def _struct(**fields) -> T.StructType:
+    return T.StructType([T.StructField(n, _TYPES[t] if isinstance(t, str) else t) for n, t in fields.items()])
+
+
+SEANCE = _struct(date="date", heure="string", version="string", resa_url="string")
+FILM = _struct(titre="string", titreOriginal="string", annee="int", realisateur="string", duree="int", genres="strings",
+               synopsis="string", imdbId="string", poster="string", imdbRating="double", cast="string", slug="string",
+               source="string", cinema="string", seances=T.ArrayType(SEANCE))
+PROGRAMME = _struct(generated_at="string", sources="strings", films=T.ArrayType(FILM))
+
+CINEMAS = _struct(id="string", name="string", slug="string", created_at="timestamp")
+FILMS = _struct(id="string", titre="string", titre_original="string", annee="int", realisateur="string", duree="int",
+                genres="strings", synopsis="string", imdb_id="string", poster="string", imdb_rating="rating",
+                cast="string", source="string", created_at="timestamp")
+SEANCES = _struct(id="string", film_id="string", cinema_id="string", date="date", heure="string", version="string",
+                  resa_url="string", created_at="timestamp")
+
+GRID_ROW = _struct(doc_id="string", row_no="int", cells="strings")
+NODE = _struct(node_id="int", parent_id="int", depth="int", subtree_end="int", tag="string", attrs="texts",
+               own_text="string")
+URL_STATE = _struct(url="string")
+TMDB = _struct(id="long", imdb_id="string", title="string", year="int", poster_path="string", overview="string",
+               vote_average="double", cast=T.ArrayType(_struct(name="string")))
+OMDB = _struct(imdbID="string", Title="string", Year="string", Poster="string", Plot="string", Director="string",
+               Genre="string", imdbRating="string", Actors="string")
 
 # Fields a group of copies of one work shares: pipeline name -> kind of "missing" test.
 SHARED_FIELDS = {"imdbId": "string", "poster": "string", "imdbRating": "number", "cast": "string",

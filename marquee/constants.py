@@ -45,6 +45,10 @@ MARKED_BLOCKS = [r"""(?iU)<(?:article|div|section)[^>]*class=["'][^"']*film[^"']
                  r"""(?iU)<(?:article|div|section)[^>]*class=["'][^"']*seance[^"']*["'][^>]*>""",
                  r"""(?iU)<(?:li)[^>]*class=["'][^"']*(?:seance|horaire)[^"']*["'][^>]*>"""]
 
+# --- fixed values: white space (what strips and collapses) -----------------------------------------------------
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+               "\u200a\u2028\u2029\u202f\u205f\u3000")
+
 # --- fixed values: patterns -------------------------------------------------------------------------------------
 WEEKDAY_CHOICE = "(?:lundi|mardi|mercredi|jeudi|vendredi|samedi|dimanche)"
 NUMERIC_DATE = r"(?U)(\d{1,2})/(\d{1,2})/(\d{4})"

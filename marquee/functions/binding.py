@@ -5,5 +5,9 @@ from pyspark.sql import Column, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it.
+
+    Chained ``withColumn`` does not give that: the optimizer merges projections, and a column used inside a lambda is then
+    computed again for every element.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -168,12 +168,15 @@ def week_map(c: Column, faithful: bool = False) -> Column:
 
 def weekly_url(week_start: Column, site: str, stem: str = K.WEEKLY_FILE_STEM) -> Column:
     """Address of the weekly file: both months are named only when the week crosses a month."""
-    end = F.date_add(week_start, 6)
+    return let(week_start, lambda start: _weekly_url(start, F.date_add(start, 6), site + stem))
+
+
+def _weekly_url(week_start: Column, end: Column, prefix: str) -> Column:
     day = lambda d: F.dayofmonth(d).cast("string")
     name = lambda d: _name_of(F.month(d), K.MONTH_SLUGS)
     head = F.when(F.month(week_start) == F.month(end), day(week_start)).otherwise(
         F.concat_ws("-", day(week_start), name(week_start)))
-    return F.concat(F.lit(site + stem), F.concat_ws("-", F.lit("du"), head, F.lit("au"), day(end), name(end),
+    return F.concat(F.lit(prefix), F.concat_ws("-", F.lit("du"), head, F.lit("au"), day(end), name(end),
                                                     F.year(end).cast("string")), F.lit(".pdf"))
 
 

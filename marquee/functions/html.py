@@ -49,6 +49,9 @@ class _Outline(HTMLParser):
     def handle_data(self, data):
         self.nodes[self.open[-1]]["own_text"].append(data)
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed, and counting them costs
+
     def _shut(self, depth):
         for i in self.open[depth:]:
             self.nodes[i]["subtree_end"] = len(self.nodes) - 1

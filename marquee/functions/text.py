@@ -2,16 +2,18 @@
 from pyspark.sql import Column, functions as F
 
 from .. import constants as K
+from .binding import let
 from .missing import or_default
 
 
 def strip(c: Column) -> Column:
-    """Drop any leading and trailing white space (``trim`` only drops spaces)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Drop any leading and trailing white space (plain ``trim`` only drops spaces)."""
+    return F.btrim(c, F.lit(K.WHITE_SPACE))
 
 
 def collapse(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+", " ")
+    """Every run of white space as one space."""
+    return F.regexp_replace(c, f"[{K.WHITE_SPACE}]+", " ")
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
@@ -104,8 +106,8 @@ def synopsis_prose(c: Column) -> Column:
 
 def clean_title(c: Column) -> Column:
     """Title without category suffix; NULL when shorter than two characters."""
-    t = strip(collapse(strip(F.regexp_replace(c, K.CATEGORY_SUFFIX, ""))))
-    return F.when(F.length(t) >= 2, t)
+    plain = F.when(F.upper(c).contains("JP"), F.regexp_replace(c, K.CATEGORY_SUFFIX, "")).otherwise(c)
+    return let(strip(collapse(plain)), lambda t: F.when(F.length(t) >= 2, t))
 
 
 # --- versions ---------------------------------------------------------------------------------------------------

@@ -134,6 +134,7 @@ def heading_films(pages: DataFrame, run_date) -> DataFrame:
     """Film rows of a page built from headings: week from its period line, one record per film block."""
     weeks = pages.withColumn("_week", D.week_map(F.col("html")))
     keep = [c for c in pages.columns if c != "html"]
-    blocks = weeks.select(*keep, "_week", F.explode(F.filter(H.heading_blocks(F.col("html")), H.is_film_block)).alias("b"))
+    blocks = weeks.select(*keep, "_week", F.explode_outer(F.filter(
+        H.heading_blocks(F.col("html")), H.is_film_block)).alias("b")).filter(F.col("b").isNotNull())
     return blocks.withColumn("film", R.film_block(F.col("b.titre"), F.col("b.content"), F.col("_week"), run_date)) \
                  .select(*keep, F.col("b.pos").alias("row_no"), "film.*")

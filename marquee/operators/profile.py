@@ -90,7 +90,7 @@ def tag_profile(pages: DataFrame, text: str = "html", key: str = "page_id", limi
             (i + 1).alias("rank"), k["depth"].alias("depth"), k["tag"].alias("tag"),
             F.size(F.filter(tags, lambda t: t == k)).alias("n")))
 
-    return pages.select(key, F.explode(let(tag_kinds(F.col(text)), counted)).alias("c")).select(key, "c.*")
+    return pages.select(key, F.explode_outer(let(tag_kinds(F.col(text)), counted)).alias("c")).filter("c IS NOT NULL").select(key, "c.*")
 
 
 def dq_failures(n_cinemas: Column, n_films: Column, n_joined: Column, n_groups: Column) -> Column:

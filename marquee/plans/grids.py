@@ -72,7 +72,7 @@ def grid_programme(t):
     x AS (SELECT doc_id, CASE WHEN opens THEN ln WHEN days AND (head IS NULL OR head_days OR ln - head >= 12) THEN ln WHEN head IS NULL OR head_days OR ln - head >= 12 THEN NULL ELSE head END AS block, ln, line FROM m)
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INTEGER) AS no, arg_min(line, ln) AS head, CAST(count(*) AS INTEGER) AS n_lines FROM x WHERE block IS NOT NULL GROUP BY doc_id, block""")
 def line_blocks(t):
-    found = t.documents.select("doc_id", F.posexplode(O.line_blocks(F.col("text"))).alias("no", "b"))
+    found = t.documents.select("doc_id", F.posexplode_outer(O.line_blocks(F.col("text"))).alias("no", "b")).filter("b IS NOT NULL")
     return found.select("doc_id", "no", "b.head", F.size("b.lines").alias("n_lines"))
 
 
@@ -83,5 +83,5 @@ def line_blocks(t):
     SELECT DISTINCT o_orderkey, CAST(day AS VARCHAR) AS day, heure, 'VF' AS version FROM s""")
 def calendar_expand(t):
     slots = C.screenings(C.calendar_slots(F.col("txt"), F.col("days"), DI.RUN_DATE), F.lit("VF"))
-    rows = DI.calendar_text(t).select("o_orderkey", F.inline(slots))
+    rows = DI.calendar_text(t).select("o_orderkey", F.inline_outer(slots)).filter(F.col("date").isNotNull())
     return rows.select("o_orderkey", text(F.col("date")).alias("day"), "heure", "version")

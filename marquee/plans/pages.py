@@ -198,13 +198,13 @@ CONTEXT_WORD = r"(?U)\b[Ll]e\b"
     SELECT doc_id, CAST(1 AS INTEGER) AS no, left(regexp_replace(regexp_replace(regexp_replace(substr(text, greatest(hit - 80, 0) + 1, hit + 82 - greatest(hit - 80, 0)), '<[^>]+>', ' ', 'g'),
     '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), 180) AS context FROM m""")
 def match_context(t):
-    found = t.documents.select("doc_id", F.explode(P.match_contexts(F.col("text"), CONTEXT_WORD, 1)).alias("m"))
+    found = t.documents.select("doc_id", F.explode_outer(P.match_contexts(F.col("text"), CONTEXT_WORD, 1)).alias("m")).filter("m IS NOT NULL")
     return found.select("doc_id", "m.no", "m.context")
 
 
 @query("time_contexts")
 def time_contexts(t):
-    found = DI.calendar_pages(t).select("l_suppkey", "week", F.explode(P.match_contexts(F.col("html"))).alias("m"))
+    found = DI.calendar_pages(t).select("l_suppkey", "week", F.explode_outer(P.match_contexts(F.col("html"))).alias("m")).filter("m IS NOT NULL")
     return found.select("l_suppkey", text(F.col("week")).alias("week"), "m.no", "m.context")
 
 

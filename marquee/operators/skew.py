@@ -22,6 +22,17 @@ def heavy_hashes(df: DataFrame, keys: list[str], limit: int = HEAVY_KEYS) -> Dat
               .select(F.explode("top").alias("t")).select(F.col("t.item").alias("_hot")))
 
 
+def broadcasts(df: DataFrame) -> bool:
+    """Whether Spark's own size check would broadcast ``df``: its estimate is within ``autoBroadcastJoinThreshold``."""
+    if not hasattr(df, "_jdf"):
+        return False
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
+    scale = {"k": 10, "m": 20, "g": 30, "t": 40}
+    number, unit = limit.rstrip("bkmgt"), limit.lstrip("-0123456789").rstrip("b")
+    return estimate <= int(number) << scale.get(unit, 0)
+
+
 def _row_hash(df: DataFrame, spread_by: list[str] | None) -> Column:
     usable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
     return F.pmod(F.xxhash64(*(spread_by or usable)), F.lit(SPREAD)) + 1
@@ -32,9 +43,13 @@ def spread_lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "
     """Join ``left`` to ``right``, which has at most one row per key, keeping left rows as they are.
 
     ``how``: left, inner, left_semi or left_anti. ``right_weight`` names a column of ``right`` that already counts the
-    left rows per key; the heavy keys are then simply its largest ones and no sketch is needed.
+    left rows per key; the heavy keys are then simply its largest ones and no sketch is needed. A right side small enough
+    for Spark to broadcast by its own size check is joined plainly: no key can be hot where nothing is shuffled.
     """
     values = [c for c in right.columns if c not in on and c != right_weight]
+    if broadcasts(right):
+        kept = values if how in ("left", "inner") else []
+        return left.join(right.select(*on, *kept), on, how).select(*left.columns, *kept)
     packed = right.select(*on, F.struct(F.lit(True).alias("_hit"), *values).alias("_v"),
                           *([right_weight] if right_weight else []))
     if right_weight:

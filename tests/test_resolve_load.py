@@ -36,10 +36,15 @@ def test_spread_lookup_on_a_hot_key(spark):
     """A key with most of the rows, NULL keys and keys without match, against plain joins."""
     rows = [(i, None if i % 11 == 0 else (1 if i % 3 else i % 500), i % 4) for i in range(3000)]
     left = spark.createDataFrame(rows, "id int, k int, v int")
-    right = spark.createDataFrame([(k, f"n{k}") for k in range(0, 400)], "k int, name string")
-    for how in ("left", "inner", "left_semi", "left_anti"):
+    right = spark.range(400).select(F.col("id").cast("int").alias("k"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert skew.broadcasts(right)
+    for how, limit in [(h, x) for h in ("left", "inner", "left_semi", "left_anti") for x in (threshold, "-1")]:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         a = sorted(map(str, skew.spread_lookup(left, right, ["k"], how).select(*left.join(right, "k", how).columns).collect()))
-        assert a == sorted(map(str, left.join(right, "k", how).collect())), how
+        assert a == sorted(map(str, left.join(right, "k", how).collect())), (how, limit)
+    assert not skew.broadcasts(right)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert skew.heavy_hashes(left, ["k"], 5).count() == 5
 
 

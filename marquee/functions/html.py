@@ -194,7 +194,7 @@ def strip_tags(c: Column, unescaper=unescape_common) -> Column:
 
 def heading_blocks(c: Column, heading: str = K.HEADING_BLOCK) -> Column:
     """Array of (pos, titre, content): every heading with the markup up to the next one."""
-    cut = F.regexp_replace(F.translate(c, "\u0001", " "), heading, "\u0001$0\u0002")
+    cut = F.regexp_replace(F.translate(c, "\u0001\u0002", "  "), heading, "\u0001$0\u0002")
     blocks = F.transform(let(F.split(cut, "\u0001"), lambda x: F.slice(x, F.lit(2), F.size(x))), lambda p, i: F.struct(
         i.alias("pos"), strip(collapse(F.regexp_extract(p, heading, 1))).alias("titre"),
         F.substring_index(p, "\u0002", -1).alias("content")))

@@ -53,8 +53,9 @@ def integrity_report(df: DataFrame, table: str, unique: list[list[str]] = (), no
             F.struct(F.lit(f"not_null({c})").alias("rule"), F.col(c).alias("violations")) for c in not_null])).alias("x"))
             .select("table", "x.rule", "x.violations")]
     for keys, parent, name in references:
-        orphans = spread_lookup(df.select(*keys), parent.select(*keys).distinct(), keys, "left_anti", spread_by=keys)
-        parts.append(row(orphans.agg(F.count(F.lit(1)).alias("n")), f"references {name}"))
+        counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one row per key before anything meets its parent
+        orphans = counted.join(parent.select(*keys).distinct(), keys, "left_anti")
+        parts.append(row(orphans.agg(F.sum("_n").alias("n")), f"references {name}"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -55,7 +55,8 @@ def text_of_title(t):
     return parsed(t).select("page_id", of("title").alias("title"), of("h1").alias("heading"))
 
 
-@query("child_counts")
+@query("child_counts", """SELECT page_id, tag, n FROM (SELECT page_id, unnest(['nav', 'div', 'article', 'footer']) AS tag,
+    unnest([len(regexp_extract_all(html, '<nav>')), len(regexp_extract_all(html, '<div ')), len(regexp_extract_all(html, '<article>')), len(regexp_extract_all(html, '<footer>'))]) AS n FROM pages) WHERE n > 0""")
 def child_counts(t):
     body = H.first(H.find_nodes(nodes(), tag="body"))
     kids = parsed(t).select("page_id", F.transform(H.children(nodes(), body), lambda n: n["tag"]).alias("tags"))

@@ -10,7 +10,7 @@ from ..streaming import arrivals as S
 from . import derived as DI, weekly
 from .pages import WEEK_SQL
 from .registry import query
-from .resolve import DAY_SQL, HEURE_SQL, line
+from .resolve import DAY_SQL, HEURE_SQL, OMDB, TMDB, line
 from .scalars import ANCHOR, URL_SQL
 
 text = lambda c: c.cast("string")
@@ -89,6 +89,24 @@ def weekly_run(t):
     return slots.groupBy("source", "titre", F.concat_ws(" ", text(F.col("s.date")), "s.heure", "s.version").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("enriched_films", f"""WITH {TMDB}, {OMDB}, h AS (SELECT p_name, lower(p_name) AS k, min(p_partkey) AS head, arg_min(p_partkey, p_partkey) FILTER (p_partkey % 4 = 0) AS cp, arg_min(p_size % 10 + 1990, p_partkey) AS ca FROM part GROUP BY 1, 2),
+    h1 AS (SELECT h.*, t.id, t.timdb, t.vote FROM h LEFT JOIN tt ON h.k = tt.k LEFT JOIN t ON t.id = tt.id),
+    h2 AS (SELECT h1.*, o.i, o.y, o.imdbID FROM h1 LEFT JOIN o ON CASE WHEN timdb IS NOT NULL THEN o.imdbID = timdb ELSE o.k = h1.k END),
+    b AS (SELECT p_name, head, vote, coalesce(timdb, imdbID) AS imdb, coalesce(CASE WHEN id % 5 > 0 THEN 'https://image.tmdb.org/t/p/w500/' || id || '.jpg' END, CASE WHEN i % 3 > 0 THEN 'https://img.example/' || i END, 'p' || cp) AS poster,
+        coalesce(nullif(vote, 0), CASE WHEN i % 7 > 0 THEN i % 9 + 0.5 END) AS rating, coalesce(y, ca) AS annee FROM h2),
+    f AS (SELECT 'grid' AS source, p_partkey, p_name, NULL AS own_poster, NULL AS own_year FROM part UNION ALL SELECT 'calendar', p_partkey, p_name, CASE WHEN p_partkey % 4 = 0 THEN 'p' || p_partkey END, p_size % 10 + 1990 FROM part)
+    SELECT source, p_partkey AS row_order, imdb AS imdbId, coalesce(own_poster, poster) AS poster, CAST(coalesce(rating, CASE WHEN source = 'grid' AND p_partkey = head THEN vote END) AS DOUBLE) AS rating, CAST(coalesce(own_year, annee) AS INTEGER) AS annee
+    FROM f JOIN b ON f.p_name = b.p_name""")
+def enriched_films(t):
+    """Two sources of copies, one catalog lookup per work, best values shared among all copies."""
+    none = F.array().cast("array<struct<date:date,heure:string,version:string>>").alias("seances")
+    k = F.col("p_partkey")
+    one = t.part.select(k.alias("row_order"), F.col("p_name").alias("titre"), none)
+    two = t.part.select(k.alias("row_order"), F.upper("p_name").alias("titre"), F.when(k % 4 == 0, F.concat(F.lit("p"), text(k))).alias("poster"), (F.col("p_size") % 10 + 1990).alias("annee"), none)
+    films = weekly.as_films(weekly.union_sources([("grid", one), ("calendar", two)]))
+    return weekly.enrich(films, DI.tmdb(t), DI.omdb(t)).select("source", "row_order", "imdbId", "poster", F.col("imdbRating").alias("rating"), "annee")
+
+
 # --- keyed loads ------------------------------------------------------------------------------------------------
 
 @query("upsert_dim", """SELECT c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN 'new-' || c_custkey ELSE 'old-' || c_custkey END AS slug, CASE WHEN c_custkey % 2 = 0 THEN 'old' ELSE 'new' END AS created_at FROM customer

@@ -6,7 +6,7 @@ popular, multiplies rows.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as X
-from ..functions.missing import first_present, is_missing, or_default, present
+from ..functions.missing import is_missing, or_default, present
 from .dedup import first_per_key
 from .skew import spread_lookup
 from .staging import staged

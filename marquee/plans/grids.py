@@ -1,7 +1,7 @@
 """Queries over printed grids, text lines and calendar sentences."""
 from pyspark.sql import functions as F
 
-from ..functions import calendar as C, dates as D, grid as G, text as X
+from ..functions import calendar as C, grid as G
 from ..operators import documents as O
 from . import derived as DI
 from .pages import WEEK_SQL

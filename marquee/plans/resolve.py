@@ -3,9 +3,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.dates import programme_week
-from ..functions.missing import present
 from ..operators import calendar as W, dedup, fill, grouping as G, match as M, profile as P
-from ..operators.skew import spread_lookup
 from . import derived as DI
 from .pages import WEEK_SQL
 from .registry import query

@@ -1,7 +1,7 @@
 """Queries of the scalar functions, each over a whole table or an input derived from one."""
 from pyspark.sql import functions as F
 
-from ..functions import dates as D, grid as G, html as H, text as X
+from ..functions import dates as D, html as H, text as X
 from ..functions.missing import or_default
 from . import derived as DI
 from .registry import query

@@ -5,8 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from marquee import schema
-from marquee.functions.missing import is_missing
-from marquee.operators import calendar as W, dedup, fill, grouping as G, incremental as I, match as M, profile as P, skew, upsert as U
+from marquee.operators import calendar as W, fill, grouping as G, incremental as I, match as M, profile as P, skew, upsert as U
 from marquee.plans import weekly
 from marquee.sources import readers, writers
 from marquee.streaming import arrivals as S

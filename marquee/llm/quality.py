@@ -5,20 +5,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .bytescan import blocks
+from .bytescan import blocks, words
 from .dedup_exact import text_key
 
 ORDERS = (1, 2, 3)        # lengths of the byte n-grams
 SLOTS = 1 << 16           # hashed indicators
 TRAIN_ROWS = 6000         # most labelled rows that the fit reads: 8 kB each on the driver
 SMOOTHING = 1.0
+REPEATED = 977            # slot before those of repeated pairs
+STEADY = 30.0             # added to the squared length of a row, so that the few n-grams of a short text decide less
 COST = 1.0
 EPOCHS = 12
 THRESHOLD = 0.3
 
 
 def indicator_rows(column: pa.Array) -> Iterator[np.ndarray]:
-    """Sorted slots of the n-grams that occur in each whole text."""
+    """Sorted slots of the n-grams that occur in each whole text.
+
+    A pair of equal neighbouring words is one more n-gram, whatever the word; it has a slot for each tenth of all pairs.
+    """
     seen = np.zeros(SLOTS, dtype=bool)
     for _, data, at in blocks(column):
         grams = []
@@ -29,10 +34,17 @@ def indicator_rows(column: pa.Array) -> Iterator[np.ndarray]:
             if n in ORDERS:
                 x = (code + np.uint32(n << 24)) * np.uint32(0x9E3779B1)
                 grams.append((n, ((x ^ (x >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> np.uint32(16)))
-        for start, end in zip(at[:-1].tolist(), at[1:].tolist()):
+        hashed, row, _, _ = words(data, at)
+        pairs = row[1:][row[1:] == row[:-1]]
+        equal = row[1:][(row[1:] == row[:-1]) & (hashed[1:] == hashed[:-1])]
+        rows = len(at) - 1
+        tenth = -(-10 * np.bincount(equal, minlength=rows) // np.maximum(1, np.bincount(pairs, minlength=rows)))
+        for start, end, repeats in zip(at[:-1].tolist(), at[1:].tolist(), tenth.tolist()):
             for n, slots in grams:
                 if end - start >= n:
                     seen[slots[start:end - n + 1]] = True
+            if repeats:
+                seen[REPEATED + repeats] = True
             found = np.flatnonzero(seen)
             seen[found] = False
             yield found
@@ -62,21 +74,21 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> dict:
 
 def margin(model: tuple[np.ndarray, float], ratio: np.ndarray, found: np.ndarray) -> float:
     scaled = ratio[found]
-    return float(model[0][found] @ scaled / max(1e-9, np.sqrt(scaled @ scaled)) + model[1])
+    return float(model[0][found] @ scaled / np.sqrt(scaled @ scaled + STEADY) + model[1])
 
 
 def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, chosen: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the linear hinge loss on unit-length rows with a bias term; rare labels cost more."""
+    """Dual coordinate descent for the linear hinge loss on rows of at most unit length with a bias term; rare labels cost more."""
     weights, bias = np.zeros(SLOTS), 0.0
     alpha = np.zeros(len(rows))
     sign = np.where(labels == 1, 1.0, -1.0)
     share = {1.0: (labels[chosen] == 1).mean(), -1.0: (labels[chosen] == 0).mean()}
-    scaled = {int(i): ratio[rows[i]] / max(1e-9, np.sqrt((ratio[rows[i]] ** 2).sum())) for i in chosen}
+    scaled = {int(i): ratio[rows[i]] / np.sqrt((ratio[rows[i]] ** 2).sum() + STEADY) for i in chosen}
     for _ in range(EPOCHS):
         for i in rng.permutation(chosen):
             x, y = scaled[int(i)], sign[i]
             gradient = y * (weights[rows[i]] @ x + bias) - 1
-            new = min(max(alpha[i] - gradient / 2.0, 0.0), COST / (2 * share[y]))  # |x|^2 with the bias is 2
+            new = min(max(alpha[i] - gradient / (1 + x @ x), 0.0), COST / (2 * share[y]))
             if new != alpha[i]:
                 step = (new - alpha[i]) * y
                 weights[rows[i]] += step * x
@@ -133,7 +145,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "scor
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(batch.schema.get_field_index(text_col))
-            margins = np.fromiter((weights[x].sum(dtype=np.float64) / max(1e-9, np.sqrt(ratio2[x].sum(dtype=np.float64))) + bias
+            margins = np.fromiter((weights[x].sum(dtype=np.float64) / np.sqrt(ratio2[x].sum(dtype=np.float64) + STEADY) + bias
                                    for x in indicator_rows(text)), np.float64, len(text))
             yield batch.select(names).append_column(out, pa.array(1 / (1 + np.exp(-np.clip(slope * margins + shift, -60, 60)))))
 

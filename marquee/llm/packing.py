@@ -1,4 +1,5 @@
 """Packing token sequences: first-fit decreasing over a tournament tree of bin capacities, group by group."""
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ END = 1                   # id that ends a document
 LENGTH = 2048             # most tokens of a sequence
 GROUP_DOCS = 2048         # documents of a group, on average
 LEAST_CUT = 64            # shorter gaps are not filled with cuttings
-CACHED = 400_000          # strings whose ids a worker remembers
+CACHED, CACHED_PARTS = 200_000, 800_000  # strings and parts of strings whose ids a worker remembers
 
 _tokenizers: dict = {}
 
@@ -32,22 +33,44 @@ class Encoder:
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
         self.odd = re.compile(r"\s \s")  # where a cut before the space could part white space that belongs together
+        self.code = "H" if self.kind == "<u2" else "I"
         self.ids: dict[str, bytes] = {}
-
-    def fill(self, strings: list[str]) -> None:
-        for s, e in zip(strings, self.model.encode_batch_fast(strings, add_special_tokens=False)):
-            self.ids[s] = np.array(e.ids, dtype=self.kind).tobytes()
+        self.part_ids: dict[str, bytes] = {}
+
+    def parts(self, string: str) -> list[str]:
+        """Pieces with ids of their own: single line ends within a string, and a full stop or comma after letters."""
+        out = []
+        lines = string.split("\n")
+        for i, line in enumerate(lines):
+            if i:
+                out.append("\n")
+            if line[-1:] in (".", ",") and line[:-1].lstrip(" ").isalpha():
+                out += (line[:-1], line[-1])
+            elif line:
+                out.append(line)
+        return [string] if "" in lines else out
+
+    def learn(self, strings: set[str]) -> None:
+        """Ids of new strings, from the ids of their parts."""
+        if len(self.ids) + len(strings) > CACHED:
+            self.ids.clear()
+        if len(self.part_ids) > CACHED_PARTS:
+            self.part_ids.clear()
+        split = {s: self.parts(s) for s in strings}
+        new = list({p for parts in split.values() for p in parts}.difference(self.part_ids))
+        for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
+            self.part_ids[p] = array(self.code, e.ids).tobytes()
+        for s, parts in split.items():
+            self.ids[s] = b"".join(map(self.part_ids.__getitem__, parts))
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.ids) > CACHED:
-            self.ids.clear()
-        cut = [None if self.odd.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        new = set()
-        for t, c in zip(texts, cut):
-            new.update([t] if c is None else c)
-        new.difference_update(self.ids)
-        self.fill(list(new))
-        return [self.ids[t] if c is None else b"".join(map(self.ids.__getitem__, c)) for t, c in zip(texts, cut)]
+        cut = [[t] if "\0" in t or self.odd.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
+        every = {c for x in cut for c in x}
+        new = every.difference(self.ids)
+        if len(self.ids) + len(new) > CACHED:
+            new = every
+        self.learn(new)
+        return [b"".join(map(self.ids.__getitem__, x)) for x in cut]
 
 
 def encoder(path: str | None) -> Encoder:
@@ -62,8 +85,8 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, end: int = END) ->
         encode = encoder(vocabulary)
         last = np.array([end], dtype=encode.kind).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
                 ids = [x + last for x in encode.batch([t or "" for t in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary())], ["doc_id", "lot", "ids"])
 

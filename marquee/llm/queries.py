@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dedup_exact, packing, quality, secrets
+from . import decontaminate, dedup_exact, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,11 +18,37 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_decontaminate", r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+         p AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 9], ' ') AS phrase, least(10, len(ws)) AS k
+               FROM (SELECT item_id, ws, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS i FROM b WHERE len(ws) > 0)),
+         g AS (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+               FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS i FROM w, (SELECT DISTINCT k FROM p) WHERE len(ws) >= k)),
+         h AS (SELECT doc_id, i, g.k, item_id FROM g JOIN p USING (phrase) WHERE g.k = p.k),
+         c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS pos FROM h) GROUP BY doc_id),
+         i AS (SELECT doc_id, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS items FROM h GROUP BY doc_id)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+           sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM w LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""")
+def op3(t):
+    return decontaminate.contamination(t("documents"), t("benchmark")).select(
+        "doc_id", "n_words", F.col("n_hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 @query("op5_quality")
 def op5(t):
     return quality.quality_scores(t("documents"), t("labels")).drop("text_key")
 
 
+@query("op6_urls")
+def op6(t):
+    return urls.url_verdicts(t("pages"))
+
+
 def span_list(*kinds: str):
     """kind:start:end of the spans of these kinds (all without any), comma-joined."""
     spans = F.filter("spans", lambda s: s.kind.isin(*kinds)) if kinds else F.col("spans")

@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, dedup_exact, packing, quality, secrets, urls
+from . import decontaminate, dedup_exact, dedup_near, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_near_dedup")
+def op2(t):
+    return dedup_near.near_dedup(t("documents")).drop("text_key")
+
+
 @query("op3_decontaminate", r"""
     WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),

@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, dedup_exact, dedup_near, packing, quality, secrets, urls
+from . import decontaminate, dedup_exact, dedup_lines, dedup_near, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,6 +77,24 @@ def op8(t):
     return dedup_exact.exact_dedup(t("documents")).drop("text_key")
 
 
+@query("op9_line_dedup", r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS i
+               FROM documents WHERE text <> ''),
+         p AS (SELECT doc_id, i, line, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM l),
+         c AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) > 1 AS later FROM p WHERE next IS NOT NULL),
+         m AS (SELECT l.doc_id, l.i, l.line, coalesce(c.later, false) OR coalesce(b.later, false) AS gone
+               FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.i = l.i LEFT JOIN c b ON b.doc_id = l.doc_id AND b.i = l.i - 1),
+         r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM m),
+         d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_runs,
+                      coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM documents LEFT JOIN d USING (doc_id)""")
+def op9(t):
+    return dedup_lines.line_dedup(t("documents")).select(
+        "doc_id", "n_lines", F.expr("aggregate(runs, 0L, (n, r) -> n + r.end - r.start)").alias("n_removed"), F.size("runs").cast("long").alias("n_runs"),
+        F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op10_packing")
 def op10(t):
     return packing.pack(t("documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

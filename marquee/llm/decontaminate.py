@@ -65,13 +65,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     left are then compared in full, on the documents' side.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
-    listed = staged(phrases_of(items, item_col, item_text_col, window).withColumn("phrase_id", F.sha2(F.concat_ws(" ", "phrase"), 256)), "phrases")
-    phrases = listed.select("phrase_id", "phrase").dropDuplicates(["phrase_id"])
-    terms = staged(phrases.select(F.explode("phrase").alias("term")).distinct().coalesce(1), "terms")  # its written size decides on a broadcast
+    listed = staged(phrases_of(items, item_col, item_text_col, window), "items")
+    phrases = staged(listed.select("phrase").distinct().coalesce(1).withColumn("phrase_id", F.monotonically_increasing_id()), "phrases")
+    # written in one file each, so that their size, not a guess, decides whether they are sent to every task
+    terms = staged(phrases.select(F.explode("phrase").alias("term")).distinct().coalesce(1), "terms")
     postings = staged(postings_of(plain.select("doc_id", "text_key", words_of(F.col("text")).alias("words")), terms), "postings")
-    ordered = staged(phrase_terms(phrases, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))).coalesce(1), "ordered")
-    places = staged(candidates(postings, ordered), "places")
-    told = places.join(listed, "phrase_id").groupBy("id", "text_key", "start", "phrase").agg(F.collect_set("item_id").alias("item_ids"))
+    ordered = staged(phrase_terms(phrases, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))), "ordered")
+    rare_terms = staged(ordered.filter(F.col("rank") < RARE).select("term").distinct().coalesce(1), "rare")
+    places = staged(candidates(staged(postings.join(rare_terms, "term"), "rare_postings"), ordered), "places")
+    named = listed.join(phrases, "phrase").groupBy("phrase_id", "phrase").agg(F.collect_set("item_id").alias("item_ids"))
+    told = places.join(named, "phrase_id")
     by_doc = told.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "phrase", "item_ids")).alias("found"))
     joined = plain.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).join(by_doc, ["id", "text_key"], "left")
     checked = joined.withColumn("words", words_of(F.col("text"))).select(

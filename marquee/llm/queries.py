@@ -3,7 +3,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, dedup_exact, dedup_lines, dedup_near, packing, quality, secrets, urls
+from . import decontaminate, dedup_exact, dedup_lines, dedup_near, lm_score, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +18,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_lm_score")
+def op1(t):
+    return lm_score.lm_scores(t("documents"))
+
+
 @query("op2_near_dedup")
 def op2(t):
     return dedup_near.near_dedup(t("documents")).drop("text_key")

@@ -3,7 +3,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, dedup_exact, dedup_lines, dedup_near, lm_score, packing, quality, secrets, urls
+import corpus_pipeline
+
+from . import decontaminate, dedup_exact, dedup_lines, dedup_near, dedup_passages, lm_score, packing, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +51,13 @@ def op3(t):
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op4_passages")
+def op4(t):
+    return dedup_passages.passage_dedup(t("documents")).select(
+        "doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_quality")
 def op5(t):
     return quality.quality_scores(t("documents"), t("labels")).drop("text_key")
@@ -103,3 +112,8 @@ def op9(t):
 @query("op10_packing")
 def op10(t):
     return packing.pack(t("documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -246,7 +246,7 @@ def test_lm(spark, texts):
 
 
 def test_urls(spark):
-    rows = [(1, "http://WWW.Example.com/en/1", "<p>cheap pills cheap pills farm</p>"), (2, "https://a.example.com/en/x?y", ""), (3, "x.com/none", None), (4, None, None),
+    rows = [(1, "http://WWW.Example.com/en/1", "<p>" + "cheap pills farm " * 200 + "</p>"), (2, "https://a.example.com/en/x?y", ""), (3, "x.com/none", None), (4, None, None),
             (5, "http://cheappills.net/fr/", ""), (6, "http://cheappills.org/fr/a", ""), (7, "http://notnet/es/", ""), (8, "http://b.com", ""), (9, "http://b.com/a#q", "")]
     got = {r.page_id: r for r in urls.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [(got[i].rule, got[i].verdict) for i in (1, 2, 5, 9)] == [("www.example.com/en/", "allow"), ("example.com/en/", "block"), ("net/fr/", "block"), ("com/", "allow")]

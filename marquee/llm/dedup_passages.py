@@ -12,10 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.staging import staged
-from .bytescan import blocks, mix
+from .bytescan import blocks, mix, text_bytes
 from .dedup_exact import text_key
 
 LENGTH = 50
@@ -69,7 +70,7 @@ def triggers(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(begin)
     stop = np.concatenate((begin[1:], [True])) | ~np.concatenate((inside[1:], [False]))
     last = np.flatnonzero(inside & stop)
-    return row[first], least[first], first, last
+    return row[first], mix(least[first]), first, last    # minima are small: mixed, they spread evenly over ranges
 
 
 def trigger_rows(docs: DataFrame, ranges: int) -> DataFrame:
@@ -146,7 +147,7 @@ def phrases_of(rows: DataFrame) -> DataFrame:
             for start, data, at in blocks(batch.column(2)):
                 row, hashed, first, last = triggers(data, at)
                 wanted = lists.slice(start, len(at) - 1)
-                size = np.nan_to_num(np.array([len(x) if x is not None else 0 for x in wanted.to_pylist()]))
+                size = pa.compute.fill_null(pa.compute.list_value_length(wanted), 0).to_numpy(zero_copy_only=False)
                 of = np.repeat(np.arange(len(at) - 1), size).astype(np.uint64)
                 key = mix(wanted.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)) ^ mix(of + np.uint64(1))
                 hit = np.flatnonzero(np.isin(mix(short(hashed)) ^ mix(row.astype(np.uint64) + np.uint64(1)), key))
@@ -161,7 +162,7 @@ def phrases_of(rows: DataFrame) -> DataFrame:
 
 
 def suffix_verdicts(dictionary: DataFrame, ranges: int) -> DataFrame:
-    """(phrase_id, mask): which strings of each phrase also begin a suffix of a phrase with a smaller first document.
+    """(phrase_id, first_doc, mask): which strings of each phrase also begin a suffix of a phrase with a smaller first document.
 
     ``dictionary`` has (trigger, phrase_id, phrase, first_doc). Equal strings have one trigger, so ranges of triggers
     are sorted apart: a sorted run of suffixes by the hash of their first LENGTH bytes, then by document.
@@ -181,9 +182,9 @@ def suffix_verdicts(dictionary: DataFrame, ranges: int) -> DataFrame:
         least[order] = doc[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
         mask = np.zeros(len(text), dtype=np.int64)
         np.bitwise_or.at(mask, of, np.where(least < doc, np.left_shift(np.int64(1), place), 0))
-        return pd.DataFrame({"phrase_id": part["phrase_id"], "mask": mask})
+        return pd.DataFrame({"phrase_id": part["phrase_id"], "first_doc": part["first_doc"], "mask": mask})
 
-    return dictionary.withColumn("range", F.pmod(F.xxhash64("trigger"), F.lit(ranges))).groupBy("range").applyInPandas(run, "phrase_id binary, mask bigint")
+    return dictionary.withColumn("range", F.pmod(F.xxhash64("trigger"), F.lit(ranges))).groupBy("range").applyInPandas(run, "phrase_id binary, first_doc bigint, mask bigint")
 
 
 def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,32 +205,37 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = keyed(plain).join(by_doc, ["id", "text_key"]).drop("id")
     placed = staged(phrases_of(rows), "phrases")
     ranked = placed.withColumn("rank", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    dictionary = ranked.groupBy("trigger", "phrase_id").agg(F.first("phrase").alias("phrase"), F.min("rank").alias("first_doc"))
+    dictionary = ranked.groupBy("phrase_id").agg(F.first("trigger").alias("trigger"), F.first("phrase").alias("phrase"), F.min("rank").alias("first_doc"))
     verdicts = staged(suffix_verdicts(dictionary, 4 * ranges), "verdicts")
-    firsts = ranked.groupBy("phrase_id").agg(F.min("rank").alias("first_doc"))
     parse = ranked.select("doc_id", "text_key", "rank", "phrase_id", "first", F.length("phrase").alias("size"))
     # a phrase whose text an earlier document has goes whole; in the first document that has it, its verdict decides
-    judged = parse.join(verdicts.join(firsts, "phrase_id"), "phrase_id").withColumn(
+    judged = parse.join(verdicts, "phrase_id").withColumn(
         "mask", F.when(F.col("rank") > F.col("first_doc"), F.lit(-1)).otherwise(F.col("mask"))).filter("mask != 0")
     marks = keyed(judged).groupBy("id", "text_key").agg(F.collect_list(F.struct("first", "size", "mask")).alias("marks"))   # bounded by the text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for text, marked in zip(batch.column(2), batch.column(3)):
-                raw = (text.as_py() or "").encode()
+            data, at = text_bytes(batch.column(2))
+            lists = batch.column(3)
+            ends = np.concatenate(([0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+            first, size, mask = (lists.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            for r in range(len(batch)):
+                raw = data[at[r]:at[r + 1]]
                 edge = np.zeros(len(raw) + 1, dtype=np.int64)
-                for m in marked.as_py() or []:
-                    n = m["size"] - LENGTH + 1
-                    starts = [(m["first"], m["first"] + n)] if m["mask"] == -1 else [(m["first"] + k, m["first"] + k + 1) for k in range(n) if m["mask"] >> k & 1]
-                    for a, b in starts:
-                        edge[a] += 1
-                        edge[b - 1 + LENGTH] -= 1
+                f, z, m = (x[ends[r]:ends[r + 1]] for x in (first, size, mask))
+                whole = m == -1
+                np.add.at(edge, f[whole], 1)
+                np.add.at(edge, (f + z)[whole], -1)
+                if not whole.all():
+                    phrase, bit = np.nonzero((m[~whole, None] >> np.arange(LENGTH)) & 1)
+                    np.add.at(edge, f[~whole][phrase] + bit, 1)
+                    np.add.at(edge, f[~whole][phrase] + bit + LENGTH, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 turn = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
                 sizes.append(len(raw))
                 spans.append([{"start": a, "end": b} for a, b in zip(turn[0::2].tolist(), turn[1::2].tolist())])
-                kept.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+                kept.append(raw[~gone].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                                               pa.array(kept, pa.binary()), batch.column(1)], ["doc_id", "n_bytes", "spans", "kept", "text_key"])
 

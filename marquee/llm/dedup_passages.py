@@ -20,7 +20,8 @@ from .bytescan import blocks, mix, text_bytes
 from .dedup_exact import text_key
 
 LENGTH = 50
-GRAM = 16                     # bytes of the rolling hash
+GRAM = 24                     # bytes of the rolling hash, a multiple of 8
+MOST = 48                     # strings of one phrase at most: their verdicts are the bits of one integer
 RANGES = 1 << 12              # ranges of trigger hashes at most
 
 
@@ -43,7 +44,7 @@ def string_hashes(data: np.ndarray) -> np.ndarray:
     """128-bit hash of the LENGTH bytes from each position, as pairs."""
     g = rolling(data)
     n = len(data) - LENGTH + 1
-    at = [0, GRAM, 2 * GRAM, LENGTH - GRAM]
+    at = [*range(0, LENGTH - GRAM, GRAM), LENGTH - GRAM]
     a, b = np.zeros(max(0, n), np.uint64), np.zeros(max(0, n), np.uint64)
     for s in at if n > 0 else []:
         a = mix(a * np.uint64(0x9E3779B97F4A7C15) + g[s:s + n])
@@ -67,6 +68,8 @@ def triggers(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     row = np.searchsorted(at, np.arange(n), "right") - 1
     inside = np.arange(n) + LENGTH <= at[row + 1]
     begin = inside & np.concatenate(([True], (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]))
+    # where a text repeats within itself one minimum can last; such phrases are cut, as their strings keep their trigger
+    begin |= inside & ((np.arange(n) - np.maximum.accumulate(np.where(begin, np.arange(n), 0))) % MOST == 0)
     first = np.flatnonzero(begin)
     stop = np.concatenate((begin[1:], [True])) | ~np.concatenate((inside[1:], [False]))
     last = np.flatnonzero(inside & stop)

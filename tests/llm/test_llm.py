@@ -34,6 +34,7 @@ def texts():
         if i % 5 == 0:
             words = passage.split(" ")[:50] + words[:rng.randint(0, 8)]
         rows.append((i, rng.choice([" ", "\n", " "]).join(words)))
+    rows += [(60, "and " * 200 + "end"), (61, "x and " + "and " * 90 + "ends here")]
     rows.append((70, " ".join(word() for _ in range(60000))))
     return rows
 

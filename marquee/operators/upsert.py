@@ -32,8 +32,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list, k
 
 
 def insert_if_absent(target: DataFrame, seed: DataFrame, keys: list[str]) -> DataFrame:
-    """Seed rows whose key is not stored yet are added; stored rows stay."""
-    return target.unionByName(seed.select(*target.columns).join(target.select(*keys), keys, "left_anti"))
+    """Seed rows whose key is not stored yet are added, one of each key; stored rows stay."""
+    return target.unionByName(seed.select(*target.columns).dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,7 +43,7 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def integrity_report(df: DataFrame, table: str, unique: list[list[str]] = (), not_null: list[str] = (),
                      references: list[tuple[list[str], DataFrame, str]] = ()) -> DataFrame:
-    """(table, rule, violations): surplus rows per unique key, NULLs per column, rows without parent per reference."""
+    """(table, rule, violations): surplus rows per unique key, NULLs per column, rows without parent per reference (NULL keys refer to nothing)."""
     row = lambda counted, rule: counted.select(F.lit(table).alias("table"), F.lit(rule).alias("rule"),
                                                F.coalesce("n", F.lit(0)).cast("long").alias("violations"))
     parts = [row(duplicate_keys(df, k).agg(F.sum("surplus").alias("n")), "unique(" + ",".join(k) + ")") for k in unique]
@@ -53,7 +53,7 @@ def integrity_report(df: DataFrame, table: str, unique: list[list[str]] = (), no
             F.struct(F.lit(f"not_null({c})").alias("rule"), F.col(c).alias("violations")) for c in not_null])).alias("x"))
             .select("table", "x.rule", "x.violations")]
     for keys, parent, name in references:
-        counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one row per key before anything meets its parent
+        counted = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one row per key before anything meets its parent
         orphans = counted.join(parent.select(*keys).distinct(), keys, "left_anti")
         parts.append(row(orphans.agg(F.sum("_n").alias("n")), f"references {name}"))
     return reduce(DataFrame.unionByName, parts)

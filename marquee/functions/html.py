@@ -5,18 +5,17 @@ contiguous run ``node_id .. subtree_end``. Everything after that is array expres
 operator on nodes shuffles and page text never leaves its task.
 """
 import sys
-from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as K
 from ..schema import NODE
-from .binding import let
+from .binding import let, running_sums
 from .text import collapse, strip
 
 _VOID = frozenset(K.VOID_TAGS)
@@ -102,12 +101,6 @@ def parse_pages(pages: DataFrame, html: str = "html", rows_per_batch: int = 64)
     return pages.mapInArrow(parse, out)
 
 
-@F.pandas_udf(T.StringType())
-def unescape_all(text: pd.Series) -> pd.Series:
-    """Any HTML entity; ``unescape_common`` covers the frequent ones without leaving the JVM."""
-    return text.map(lambda t: None if t is None else unescape(t))
-
-
 # --- nodes ------------------------------------------------------------------------------------------------------
 
 def root(nodes: Column) -> Column:
@@ -178,15 +171,47 @@ def attr(node: Column, name: str) -> Column:
 
 # --- markup without parsing -------------------------------------------------------------------------------------
 
-def unescape_common(c: Column) -> Column:
-    """Entities seen in programme pages; ``&amp;`` last so that nothing is unescaped twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-                         ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+def _entity_names() -> str:
+    """Every named entity and the numbers that browsers read as Windows-1252, as text of a map."""
+    known = {name: char for name, char in html5.items()}
+    known |= {f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
+    return "\u0002".join(f"{name}\u0001{char}" for name, char in known.items())
+
+
+ENTITY = r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
+_NAMES = _entity_names()
+
+
+def _entity(found: Column) -> Column:
+    """Text of one entity; what names no entity stays as it is."""
+    name = F.regexp_extract(found, ENTITY, 1)
+    hexed = F.lower(F.substring(name, 2, 1)) == "x"
+    number = F.when(hexed, F.conv(F.substring(name, 3, 9), 16, 10)).otherwise(F.substring(name, 2, 12)).try_cast("bigint")
+
+    def of_number(n):
+        valid = (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+        code = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, n).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(names, F.concat(F.lit("#"), n.cast("string"))), code)
+
+    names = F.str_to_map(F.lit(_NAMES), F.lit("\u0002"), F.lit("\u0001"))
+    named = F.coalesce(F.try_element_at(names, F.regexp_extract(found, "^&(.*)$", 1)), found)
+    return F.when(name.startswith("#"), let(F.coalesce(number, F.lit(0).cast("bigint")), of_number)).otherwise(named)
+
+
+def unescape_entities(c: Column) -> Column:
+    """Named, decimal and hexadecimal entities as text, each once; no-break spaces become spaces.
+
+    Unknown names stay. A text without ``&`` is passed through.
+    """
+    def decoded(t):
+        pieces = F.split(F.regexp_replace(F.translate(t, "\u0001\u0002", "  "), ENTITY, "\u0001$0\u0002"), "\u0001")
+        return F.array_join(F.transform(pieces, lambda p: F.when(p.contains("\u0002"), F.concat(
+            _entity(F.substring_index(p, "\u0002", 1)), F.substring_index(p, "\u0002", -1))).otherwise(p)), "")
+
+    return let(c, lambda t: F.translate(F.when(t.contains("&"), decoded(t)).otherwise(t), "\u00a0", " "))
 
 
-def strip_tags(c: Column, unescaper=unescape_common) -> Column:
+def strip_tags(c: Column, unescaper=unescape_entities) -> Column:
     """Plain text of a fragment on one line."""
     plain = unescaper(F.regexp_replace(c, "<[^>]+>", " "))
     return strip(collapse(F.translate(plain, "\u00a0", " ")))
@@ -216,7 +241,6 @@ def links(c: Column, site: str | Column, pattern: str = K.FILE_LINK) -> Column:
 def block_bounds(c: Column, opening: str) -> Column:
     """Array of (pos, start, end) of blocks that run from one opening to the next (0-based offsets, end excluded)."""
     pieces = F.split(F.regexp_replace(F.translate(c, "\u0001", " "), opening, "\u0001$0"), "\u0001")
-    ends = F.aggregate(pieces, F.array().cast("array<int>"), lambda acc, p: F.array_append(
-        acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p)))
+    ends = F.transform(running_sums(F.transform(pieces, lambda p: F.length(p).cast("bigint"))), lambda n: n.cast("int"))
     return let(ends, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x)), lambda e, i: F.struct(
         i.alias("pos"), F.element_at(x, i + 1).alias("start"), e.alias("end"))))

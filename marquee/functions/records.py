@@ -35,7 +35,7 @@ def film_block(titre: Column, content: Column, week: Column, run_date) -> Column
     def record(plain):
         version = X.version_from_prose(plain)
         return F.struct(
-            H.unescape_common(titre).alias("titre"), X.director_prose(plain).alias("realisateur"),
+            H.unescape_entities(titre).alias("titre"), X.director_prose(plain).alias("realisateur"),
             D.duration_prose(plain).alias("duree"), D.year_in(plain, K.YEAR_PROSE).alias("annee"),
             version.alias("version"), X.synopsis_prose(plain).alias("synopsis"),
             let(version, lambda v: screenings(calendar_slots(sentence, week, run_date), v)).alias("seances"))

@@ -13,18 +13,21 @@ def carry_forward(df: DataFrame, key: str, row_no: str, value: Column, default,
     """Last known ``value`` at or before each row of its key, ``default`` before the first.
 
     A long key is cut into runs of ``chunk_rows`` row numbers: each run is summed up by its last value, those few
-    summaries are carried forward, and every run then starts from what came before it, on its own task.
+    summaries are carried forward, and every run then starts from what came before it, on its own task. The cut does
+    not change the result: NULL keys are one key, and a row without a number has its own value or the default and
+    carries nothing to others.
     """
     cut = df.withColumn("_run", F.floor(F.col(row_no) / chunk_rows)).withColumn("_value", value)
     last = cut.groupBy(key, "_run").agg(
         F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(row_no))).alias("_last"),
         F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    start = last.select(key, "_run", F.last("_last", ignorenulls=True).over(before).alias("_start"))
+    start = last.select(F.col(key).alias("_key"), F.col("_run").alias("_from"), F.last("_last", ignorenulls=True).over(before).alias("_start"))
     upto = Window.partitionBy(key, "_run").orderBy(row_no).rowsBetween(Window.unboundedPreceding, 0)
-    carried = cut.join(start, [key, "_run"], "left").withColumn(
-        out, F.coalesce(F.last("_value", ignorenulls=True).over(upto), "_start", F.lit(default)))
-    return carried.drop("_run", "_value", "_start")
+    joined = cut.join(start, F.col(key).eqNullSafe(F.col("_key")) & F.col("_run").eqNullSafe(F.col("_from")), "left")
+    carried = F.coalesce(F.last("_value", ignorenulls=True).over(upto), "_start", F.lit(default))
+    filled = joined.withColumn(out, F.when(F.col(row_no).isNull(), F.coalesce("_value", F.lit(default))).otherwise(carried))
+    return filled.drop("_run", "_value", "_start", "_key", "_from")
 
 
 def propagate_fill(df: DataFrame, key: str, fields: dict[str, str], order: Column) -> DataFrame:

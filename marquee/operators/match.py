@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as X
 from ..functions.missing import is_missing, or_default, present
 from .dedup import first_per_key
-from .skew import spread_lookup
+from .skew import heavy_keys, spread_lookup
 from .staging import staged
 
 
@@ -111,7 +111,8 @@ def resolve_fk(facts: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame
 
 
 def star_join(facts: DataFrame, *dimensions: tuple[DataFrame, str]) -> DataFrame:
-    """Facts with every dimension attached by its id; facts without one are dropped."""
-    for dimension, on in dimensions:
-        facts = spread_lookup(facts, dimension, [on], "inner")
+    """Facts with every dimension attached by its id; facts without one are dropped. One sketch serves all dimensions."""
+    hot = heavy_keys(facts, [[on] for _, on in dimensions])
+    for (dimension, on), keys in zip(dimensions, hot):
+        facts = spread_lookup(facts, dimension, [on], "inner", hot_keys=keys)
     return facts

@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.binding import let
+from ..functions.binding import let, runs_of
 from ..functions.text import collapse, strip
 
 
@@ -60,7 +60,7 @@ def match_contexts(text: Column, pattern: str = K.CLOCK_ANY_CASE, limit: int = K
 def tag_kinds(text: Column) -> Column:
     """Array of (depth, tag) of the opening tags of a page, in page order; depths of 4 and more count as 4.
 
-    Depth counts open tags, held between 0 and 8. The fold keeps one digit per tag, so its state stays small.
+    Depth counts open tags, held between 0 and 8. The fold keeps one digit per tag, a run of tags at a time.
     """
     raw = F.regexp_extract_all(text, F.lit(K.ANY_TAG), F.lit(0))
     named = F.transform(raw, lambda t: F.struct(t.startswith("</").alias("closing"),
@@ -71,13 +71,17 @@ def tag_kinds(text: Column) -> Column:
         after = F.when(t["closing"], F.greatest(a["depth"] - 1, F.lit(0))).otherwise(F.least(a["depth"] + 1, F.lit(8)))
         return F.struct(after.alias("depth"), F.concat(a["trace"], a["depth"].cast("string")).alias("trace"))
 
-    def kinds(tags):
-        trace = F.aggregate(tags, F.struct(F.lit(0).alias("depth"), F.lit("").alias("trace")), step)["trace"]
-        return let(trace, lambda d: F.filter(F.transform(tags, lambda t, i: F.struct(
-            F.least(F.substr(d, i + 1, F.lit(1)).cast("int"), F.lit(4)).alias("depth"), t["tag"].alias("tag"),
-            t["closing"].alias("closing"))), lambda t: ~t["closing"]))
+    def walk(a, run):
+        walked = F.aggregate(run, F.struct(a["depth"].alias("depth"), F.lit("").alias("trace")), step)
+        return let(walked, lambda w: F.struct(w["depth"].alias("depth"), F.array_append(a["traces"], w["trace"]).alias("traces")))
 
-    return F.transform(let(kept, kinds), lambda t: F.struct(t["depth"].alias("depth"), t["tag"].alias("tag")))
+    def kinds(runs):
+        traces = F.aggregate(runs, F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("traces")), walk)["traces"]
+        return let(traces, lambda d: F.filter(F.flatten(F.transform(runs, lambda run, r: F.transform(run, lambda t, i: F.struct(
+            F.least(F.substr(F.get(d, r), i + 1, F.lit(1)).cast("int"), F.lit(4)).alias("depth"), t["tag"].alias("tag"),
+            t["closing"].alias("closing"))))), lambda t: ~t["closing"]))
+
+    return F.transform(let(runs_of(kept), kinds), lambda t: F.struct(t["depth"].alias("depth"), t["tag"].alias("tag")))
 
 
 def tag_profile(pages: DataFrame, text: str = "html", key: str = "page_id", limit: int = K.PROFILE_KEYS) -> DataFrame:

@@ -1,9 +1,11 @@
 """Joins that stay even when one key holds a large share of the rows.
 
-Heavy keys are found with a frequent-items sketch: one pass over the key columns, a sketch of fixed size per task and at
-most ``HEAVY_KEYS`` keys out. Only the lookup rows of those keys are broadcast, so the broadcast is bounded whatever
-the data size; rows with a heavy or NULL key are then spread by row hash while all others meet their match by key.
-No row is dropped or sampled: the sketch only decides which way a row takes, and both ways give the same answer.
+Heavy keys are found with a frequent-items sketch: one pass over the key columns, for any number of lookups at once, a
+sketch of fixed size per task and at most ``HEAVY_KEYS`` hashes out. Only the lookup rows of those keys are broadcast, so
+the broadcast is bounded whatever the data size; rows with a heavy or NULL key are then spread by row hash while all
+others meet their match by key. No row is dropped or sampled: the sketch only decides which way a row takes, and both
+ways give the same answer. A key outside the sketch's list holds at most 1/257 of the rows; where that is still more
+than a task should read, adaptive skew joins split it, so leave ``spark.sql.adaptive.skewJoin.enabled`` on.
 """
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -16,21 +18,12 @@ def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*keys)
 
 
-def heavy_hashes(df: DataFrame, keys: list[str], limit: int = HEAVY_KEYS) -> DataFrame:
-    """At most ``limit`` hashes of the most frequent keys, as column ``_hot``."""
-    return (df.select(key_hash(keys).alias("h")).agg(F.expr(f"approx_top_k(h, {limit}, {SKETCH_ITEMS})").alias("top"))
-              .select(F.explode("top").alias("t")).select(F.col("t.item").alias("_hot")))
-
-
-def broadcasts(df: DataFrame) -> bool:
-    """Whether Spark's own size check would broadcast ``df``: its estimate is within ``autoBroadcastJoinThreshold``."""
-    if not hasattr(df, "_jdf"):
-        return False
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()
-    scale = {"k": 10, "m": 20, "g": 30, "t": 40}
-    number, unit = limit.rstrip("bkmgt"), limit.lstrip("-0123456789").rstrip("b")
-    return estimate <= int(number) << scale.get(unit, 0)
+def heavy_keys(df: DataFrame, key_sets: list[list[str]], limit: int = HEAVY_KEYS) -> list[Column]:
+    """For each set of key columns the hashes of its most frequent keys, at most ``limit``: one scan for all sets."""
+    hashes = df.select(*[key_hash(keys).alias(f"h{i}") for i, keys in enumerate(key_sets)])
+    top = [F.transform(F.expr(f"approx_top_k(h{i}, {limit}, {SKETCH_ITEMS})"), lambda t: t["item"]).alias(f"h{i}") for i in range(len(key_sets))]
+    found = hashes.agg(F.struct(*top).alias("hot")).scalar()
+    return [found[f"h{i}"] for i in range(len(key_sets))]
 
 
 def _row_hash(df: DataFrame, spread_by: list[str] | None) -> Column:
@@ -39,25 +32,22 @@ def _row_hash(df: DataFrame, spread_by: list[str] | None) -> Column:
 
 
 def spread_lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", right_weight: str | None = None,
-                  spread_by: list[str] | None = None) -> DataFrame:
+                  spread_by: list[str] | None = None, hot_keys: Column | None = None) -> DataFrame:
     """Join ``left`` to ``right``, which has at most one row per key, keeping left rows as they are.
 
     ``how``: left, inner, left_semi or left_anti. ``right_weight`` names a column of ``right`` that already counts the
-    left rows per key; the heavy keys are then simply its largest ones and no sketch is needed. A right side small enough
-    for Spark to broadcast by its own size check is joined plainly: no key can be hot where nothing is shuffled.
+    left rows per key; the heavy keys are then simply its largest ones and no sketch is needed. ``hot_keys`` passes on what ``heavy_keys``
+    found for ``left`` or for what it was made of.
     """
     values = [c for c in right.columns if c not in on and c != right_weight]
-    if broadcasts(right):
-        kept = values if how in ("left", "inner") else []
-        return left.join(right.select(*on, *kept), on, how).select(*left.columns, *kept)
     packed = right.select(*on, F.struct(F.lit(True).alias("_hit"), *values).alias("_v"),
                           *([right_weight] if right_weight else []))
     if right_weight:
         hot = packed.orderBy(F.desc(right_weight), *on).limit(HEAVY_KEYS).select(*on, F.col("_v").alias("_hv"))
         packed = packed.drop(right_weight)
     else:
-        hot = (packed.withColumn("_hot", key_hash(on)).join(F.broadcast(heavy_hashes(left, on)), "_hot", "left_semi")
-                     .select(*on, F.col("_v").alias("_hv")))
+        hot_keys = heavy_keys(left, [on])[0] if hot_keys is None else hot_keys
+        hot = packed.filter(F.array_contains(hot_keys, key_hash(on))).select(*on, F.col("_v").alias("_hv"))
     any_null = F.lit(False)
     for k in on:
         any_null = any_null | F.col(k).isNull()

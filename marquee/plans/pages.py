@@ -102,12 +102,14 @@ def detail_page(t):
                                                                        F.col("d.cast").alias("actors"), "d.synopsis")
 
 
-@query("html_blocks", r"""WITH parts AS (SELECT page_id, string_split(html, '<p>') AS x FROM pages)
-    SELECT page_id, CAST(i - 2 AS INTEGER) AS pos, md5(x[i]) AS content FROM parts, generate_series(2, 5000) AS g(i) WHERE i <= len(x)""")
+@query("html_blocks", r"""WITH parts AS (SELECT page_id, string_split(html, '<p>') AS x FROM pages),
+    b AS (SELECT page_id, unnest(x) AS b, generate_subscripts(x, 1) AS i FROM parts),
+    s AS (SELECT page_id, i, trim(regexp_replace(regexp_extract(b, '^[^<]*'), '\s+', ' ', 'g')) AS titre, substr(b, length(regexp_extract(b, '^[^<]*')) + 1) AS rest FROM b WHERE i > 1)
+    SELECT page_id, CAST(i - 2 AS INTEGER) AS pos, titre, md5(rest) AS content FROM s WHERE titre <> ''""")
 def html_blocks(t):
-    block = r"<p>()"
-    cut = t.pages.select("page_id", F.posexplode(F.slice(F.split("html", "(?=<p>)"), F.lit(2), F.lit(1000000))).alias("pos", "b"))
-    return cut.select("page_id", "pos", F.md5(F.regexp_replace("b", "^" + block, "").cast("binary")).alias("content"))
+    """Paragraphs as blocks: the text that opens one is its title, the markup up to the next one its content."""
+    found = t.pages.select("page_id", F.explode(H.heading_blocks(F.col("html"), r"<p>([^<\x02]*)")).alias("b"))
+    return found.select("page_id", "b.pos", "b.titre", F.md5(F.col("b.content").cast("binary")).alias("content"))
 
 
 @query("block_filter", """SELECT p_partkey AS page_id, CAST(1 AS INTEGER) AS pos, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS titre FROM part""")
@@ -148,14 +150,15 @@ def extract_links(t):
 
 @query("distinct_ordered", """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS hrefs FROM pages),
     u AS (SELECT page_id, unnest(hrefs) AS url, generate_subscripts(hrefs, 1) - 1 AS i FROM l)
-    SELECT url, min(page_id * 1000000 + i) AS pos FROM u GROUP BY url""")
+    SELECT url, arg_min(page_id, {'p': page_id, 'i': i}) AS page_id, CAST(arg_min(i, {'p': page_id, 'i': i}) AS INTEGER) AS i FROM u GROUP BY url""")
 def distinct_ordered(t):
     found = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("i", "url"))
-    return distinct_in_order(found.select("url", (F.col("page_id") * 1000000 + F.col("i")).alias("pos")), "url", "pos")
+    return distinct_in_order(found.select("url", F.struct("page_id", "i").alias("pos")), "url", "pos").select("url", "pos.page_id", "pos.i")
 
 
 @query("block_bounds", r"""WITH parts AS (SELECT page_id, string_split(html, '<p>') AS x FROM pages),
-    b AS (SELECT page_id, i, sum(length(x[i]) + CASE WHEN i > 1 THEN 3 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS finish FROM parts, generate_series(1, 5000) AS g(i) WHERE i <= len(x))
+    u AS (SELECT page_id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM parts),
+    b AS (SELECT page_id, i, sum(length(part) + CASE WHEN i > 1 THEN 3 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS finish FROM u)
     SELECT page_id, CAST(i - 2 AS INTEGER) AS pos, CAST(start AS INTEGER) AS first_char, CAST(finish AS INTEGER) AS last_char FROM
     (SELECT page_id, i, finish, lag(finish) OVER (PARTITION BY page_id ORDER BY i) AS start FROM b) WHERE i > 1""")
 def block_bounds(t):
@@ -190,16 +193,17 @@ def pattern_snippet(t):
     return P.pattern_profile(t.pages, "html", [marked, "(?i)<h1[^>]*>"], ["page_id"])
 
 
-CONTEXT_WORD = r"(?U)\b[Ll]e\b"
+CONTEXT_WORD = "tion"
 
 
-@query("match_context", r"""WITH d AS (SELECT doc_id, text, string_split_regex(text, '(^|[^\p{L}\p{N}_])[Ll]e($|[^\p{L}\p{N}_])')[1] AS before FROM documents
-    WHERE regexp_matches(text, '(^|[^\p{L}\p{N}_])[Ll]e($|[^\p{L}\p{N}_])')),
-    m AS (SELECT doc_id, text, CAST(length(before) + CASE WHEN regexp_matches(left(text, length(before) + 2), '^[Ll]e$') AND length(before) = 0 THEN 0 ELSE 1 END AS BIGINT) AS hit FROM d)
-    SELECT doc_id, CAST(1 AS INTEGER) AS no, left(regexp_replace(regexp_replace(regexp_replace(substr(text, greatest(hit - 80, 0) + 1, hit + 82 - greatest(hit - 80, 0)), '<[^>]+>', ' ', 'g'),
+@query("match_context", r"""WITH p AS (SELECT doc_id, text, string_split(text, 'tion') AS x FROM documents),
+    h AS (SELECT doc_id, text, x, unnest(range(1, least(5, len(x) - 1) + 1)) AS no FROM p),
+    m AS (SELECT doc_id, text, no, CAST(list_sum(list_transform(x[1:no], lambda y: length(y))) + 4 * (no - 1) AS BIGINT) AS hit FROM h)
+    SELECT doc_id, CAST(no AS INTEGER) AS no, left(regexp_replace(regexp_replace(regexp_replace(substr(text, greatest(hit - 80, 0) + 1, hit + 84 - greatest(hit - 80, 0)), '<[^>]+>', ' ', 'g'),
     '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), 180) AS context FROM m""")
 def match_context(t):
-    found = t.documents.select("doc_id", F.explode_outer(P.match_contexts(F.col("text"), CONTEXT_WORD, 1)).alias("m")).filter("m IS NOT NULL")
+    """All five contexts of every text."""
+    found = t.documents.select("doc_id", F.explode_outer(P.match_contexts(F.col("text"), CONTEXT_WORD)).alias("m")).filter("m IS NOT NULL")
     return found.select("doc_id", "m.no", "m.context")
 
 

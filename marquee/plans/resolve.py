@@ -38,10 +38,10 @@ def group_nested(t):
     return G.nest_screenings(rows, ["l_partkey", "l_suppkey", "week"]).select("l_partkey", "l_suppkey", "week", line())
 
 
-@query("sorted_nested", f"""WITH d AS (SELECT l_suppkey, {WEEK_SQL} AS w, {DAY_SQL} AS day, {HEURE_SQL} AS heure, {VERSION_SQL} AS version, min(l_orderkey * 8 + l_linenumber) AS pos FROM lineitem GROUP BY ALL)
+@query("sorted_nested", f"""WITH d AS (SELECT l_suppkey, {WEEK_SQL} AS w, {DAY_SQL} AS day, {HEURE_SQL} AS heure, {VERSION_SQL} AS version, min({{'o': l_orderkey, 'l': l_linenumber}}) AS pos FROM lineitem GROUP BY ALL)
     SELECT l_suppkey, CAST(w AS VARCHAR) AS week, string_agg(day || ' ' || heure || ' ' || version, ';' ORDER BY day, heure, pos, version) AS slots FROM d GROUP BY l_suppkey, w""")
 def sorted_nested(t):
-    rows = DI.screenings(t).withColumns({"week": text(programme_week(F.col("date"))), "pos": F.col("l_orderkey") * 8 + F.col("l_linenumber")})
+    rows = DI.screenings(t).withColumns({"week": text(programme_week(F.col("date"))), "pos": F.struct("l_orderkey", "l_linenumber")})
     first = G.dedup_screenings(rows, ["l_suppkey", "week"], "pos")
     return G.nest_screenings(first, ["l_suppkey", "week"], "pos").select("l_suppkey", "week", line())
 

@@ -3,9 +3,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K, schema
 from ..functions import text as X
-from ..functions.dates import as_date, time_minutes, time_seconds
+from ..functions.dates import as_date, time_minutes, time_seconds, week_anchor
 from ..functions.missing import first_present, is_missing, or_default, present
 from ..operators import calendar as W, grouping as G, match as M, upsert as U
+from ..operators.dedup import first_per_key
 from ..operators.skew import spread_lookup
 from ..operators.staging import staged
 from ..sources.readers import film_screenings
@@ -56,37 +57,57 @@ def film_key() -> list[Column]:
     return [or_default(F.col("titre"), F.lit("")), F.col("annee"), or_default(F.col("realisateur"), F.lit(""))]
 
 
-def star_rows(films: DataFrame, run_ts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cinema, film and screening rows of nested films, with ids from their keys; bad screenings are left out."""
+def star_rows(films: DataFrame, run_ts: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cinema, film and screening rows of nested films and the screenings rejected, with their ``reason``.
+
+    Screenings name their film and cinema by the hash of the natural key, which is also the id of a new parent.
+    """
     ts = F.lit(run_ts).cast("timestamp")
     base = films.withColumns({"cinema": or_default(F.col("cinema"), F.lit(K.DEFAULT_VENUE))})
-    base = base.withColumns({"film_id": U.key_id(*film_key()), "cinema_id": U.key_id(F.col("cinema"))})
-    cinemas = base.select(F.col("cinema_id").alias("id"), F.col("cinema").alias("name"), X.slugify(F.col("cinema")).alias("slug"), ts.alias("created_at"),
+    base = base.withColumns({"film_key": U.key_id(*film_key()), "cinema_key": U.key_id(F.col("cinema"))})
+    cinemas = base.select(F.col("cinema_key").alias("id"), F.col("cinema").alias("name"), X.slugify(F.col("cinema")).alias("slug"), ts.alias("created_at"),
                           "src_order", "row_order")
     titre, annee, realisateur = film_key()
     rows = base.select(
-        F.col("film_id").alias("id"), titre.alias("titre"), F.col("titreOriginal").alias("titre_original"), annee.alias("annee"), realisateur.alias("realisateur"),
+        F.col("film_key").alias("id"), titre.alias("titre"), F.col("titreOriginal").alias("titre_original"), annee.alias("annee"), realisateur.alias("realisateur"),
         "duree", F.coalesce("genres", F.array().cast("array<string>")).alias("genres"), "synopsis", F.col("imdbId").alias("imdb_id"), "poster",
         F.col("imdbRating").try_cast("decimal(3,1)").alias("imdb_rating"), "cast", "source", ts.alias("created_at"), "src_order", "row_order")
-    slots = film_screenings(base, ["film_id", "cinema_id", "src_order", "row_order"])
-    good, _ = U.split_rejects(slots, [("no date", F.col("date").isNull()), ("no time", is_missing(F.col("heure")))])
-    heure = time_seconds(F.col("heure"))
-    seances = good.select(U.key_id(F.col("film_id"), F.col("cinema_id"), F.col("date"), heure).alias("id"), "film_id", "cinema_id", "date",
-                          heure.alias("heure"), "version", "resa_url", ts.alias("created_at"), "src_order", "row_order", "pos")
-    return cinemas, rows, seances
-
-
-def load(films: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame], run_ts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New state of (cinemas, films, screenings) after loading nested films; write with ``sources.writers.write_star``.
-
-    First row of a film wins inside a run, last screening of a slot wins. Ids come from keys, so every screening finds
-    the film and cinema loaded with it without a lookup; ``star_join`` drops stored ones that lost a parent.
+    slots = film_screenings(base, ["film_key", "cinema_key", "src_order", "row_order"])
+    good, bad = U.split_rejects(slots, [("no date", F.col("date").isNull()), ("no time", is_missing(F.col("heure")))])
+    seances = good.select("film_key", "cinema_key", "date", time_seconds(F.col("heure")).alias("heure"), "version", "resa_url",
+                          ts.alias("created_at"), "src_order", "row_order", "pos")
+    return cinemas, rows, seances, bad
+
+
+def resolved(slots: DataFrame, cinemas: DataFrame, films: DataFrame) -> DataFrame:
+    """Screenings with the stored ids of their film and cinema, found by natural key; those without a parent are dropped."""
+    one = lambda df, key, id_: first_per_key(df.select(key, F.col("id").alias(id_), "created_at"), [key], ["created_at", id_]).select(key, id_)
+    c = one(cinemas.withColumn("cinema_key", U.key_id(F.col("name"))), "cinema_key", "cinema_id")
+    f = one(films.withColumn("film_key", U.key_id(F.col("titre"), F.col("annee"), F.col("realisateur"))), "film_key", "film_id")
+    return M.star_join(slots, (c, "cinema_key"), (f, "film_key")).withColumn(
+        "id", U.key_id(F.col("film_id"), F.col("cinema_id"), F.col("date"), F.col("heure")))
+
+
+def load(films: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame], run_ts: str, null_safe: bool = True,
+         weeks_only: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New state of (cinemas, films, screenings) after loading nested films.
+
+    First row of a film wins inside a run, last screening of a slot wins. Parents come first: they are written aside with
+    the ids they have in ``stored``, and the screenings look these up. All screenings come back, for ``write_star``; with
+    ``weeks_only`` those of the weeks from the first to the last one loaded, for ``write_weeks``: other weeks are neither
+    read nor written. ``star_rows`` also gives the rejected screenings.
     """
-    cinemas, rows, seances = star_rows(films, run_ts)
+    cinemas, rows, slots, _ = star_rows(films, run_ts)
     order = ["src_order", "row_order"]
-    new_cinemas = U.upsert(stored[0], cinemas, ["name"], order, "first")
-    new_films = U.upsert(stored[1], rows, ["titre", "annee", "realisateur"], order, "first")
-    merged = U.upsert(stored[2], seances, ["film_id", "cinema_id", "date", "heure"], [*order, "pos"], "last")
+    new_cinemas = staged(U.upsert(stored[0], cinemas, ["name"], order, "first"), "cinemas")
+    new_films = staged(U.upsert(stored[1], rows, ["titre", "annee", "realisateur"], order, "first", null_safe=null_safe), "films")
+    target = stored[2]
+    if weeks_only:
+        first, last = slots.agg(F.min("date"), F.max("date")).select(*[week_anchor(F.col(c)) for c in ("min(date)", "max(date)")]).first()
+        week = F.col("week") if "week" in target.columns else week_anchor(F.col("date"))
+        target = target.filter(week.between(F.lit(first), F.lit(last)))
+    target = target.drop("week")
+    merged = U.upsert(target, resolved(slots, new_cinemas, new_films), ["film_id", "cinema_id", "date", "heure"], [*order, "pos"], "last")
     return new_cinemas, new_films, merged
 
 
@@ -100,6 +121,9 @@ def weekly_run(sources: list[tuple[str, DataFrame]], tmdb: DataFrame | None, omd
 
 def read_path(cinemas: DataFrame, films: DataFrame, seances: DataFrame, run_date) -> DataFrame:
     """Film, cinema and this week's screenings per (film, cinema), as a front end reads them."""
+    if "week" in seances.columns:   # partitions: the week of the run date and the next one
+        anchor = week_anchor(as_date(run_date))
+        seances = seances.filter(F.col("week").between(anchor, F.date_add(anchor, 7)))
     week = W.current_week(seances, "date", run_date).select("id", "film_id", "cinema_id", "date", time_minutes(F.col("heure")).alias("heure"), "version")
     joined = M.star_join(week, (films.select(F.col("id").alias("film_id"), "titre"), "film_id"), (cinemas.select(F.col("id").alias("cinema_id"), "name"), "cinema_id"))
     return G.nest_screenings(joined, ["film_id", "cinema_id", "titre", "name"])

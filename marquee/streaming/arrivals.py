@@ -36,7 +36,9 @@ def stored(spark: SparkSession, log: str, schema: T.StructType) -> DataFrame:
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     try:
         return spark.read.schema(full).parquet(log)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], full)
 
 

@@ -1,4 +1,5 @@
 """One row per documented input form."""
+import html
 import datetime as dt
 
 import pytest
@@ -110,3 +111,21 @@ def test_calendar(spark):
     both = values(spark, lambda c: slots(c, week, True), ["tous les jours sauf dimanche à 14h00, et dimanche à 11h00"])[0]
     assert len(both) == 14
     assert values(spark, lambda c: slots(c, D.week_map(F.lit("rien"))), ["mercredi 11h00"]) == [[]]
+
+
+def test_entities_as_the_standard_library_reads_them(spark):
+    texts = ["Op&eacute;ra d&rsquo;&eacute;t&eacute; &#233; &#xE9; &#XE9 &hellip;", "a &amp;lt; b &amp;amp; c", "&unknown; & &; &#; &#x; &#0; &#55296; &#1114112;", "&#128;&#153; &copy 2020 &lt&gt;",
+             "&NotEqualTilde;&fjlig;", "plain", "", None, "&#128512;" * 300]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1)
+    got = {r.i: r.x for r in df.select("i", H.unescape_entities(F.col("t")).alias("x")).collect()}
+    assert got == {i: t if t is None else html.unescape(t).replace("\u00a0", " ") for i, t in enumerate(texts)}
+
+
+def test_bounds_of_many_blocks(spark):
+    df = spark.sql("SELECT concat('head', array_join(transform(sequence(1, 1000), i -> concat('<p>', repeat('x', i % 7))), '')) AS t")
+    found = df.select(F.explode(H.block_bounds(F.col("t"), "<p>")).alias("b")).select("b.*").orderBy("pos").collect()
+    at = 4
+    for i, b in enumerate(found):
+        assert (b.pos, b.start, b.end) == (i, at, at + 3 + (i + 1) % 7)
+        at = b.end
+    assert len(found) == 1000

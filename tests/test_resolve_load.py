@@ -1,6 +1,7 @@
 """Groups, fill, catalogs, keyed loads, increments and streams on small cases."""
 import datetime as dt
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -31,20 +32,43 @@ def test_carry_forward_over_runs(spark):
         assert got[i] == last[page]
 
 
+def test_carry_forward_does_not_depend_on_the_run_size(spark):
+    rows = [(None, 0, "a"), (None, 1, None), (None, 2, None), (None, 3, None), ("k", None, "b"), ("k", None, None), ("k", 5, None), ("k", 6, "c"), ("k", 7, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, page string, row_no int, venue string")
+    for size in (1, 2, 3, 100):
+        got = [r.now for r in fill.carry_forward(df, "page", "row_no", F.col("venue"), "none", "now", chunk_rows=size).orderBy("id").collect()]
+        assert got == ["a", "a", "a", "a", "b", "none", "none", "c", "c"], size
+
+
 def test_spread_lookup_on_a_hot_key(spark):
     """A key with most of the rows, NULL keys and keys without match, against plain joins."""
     rows = [(i, None if i % 11 == 0 else (1 if i % 3 else i % 500), i % 4) for i in range(3000)]
     left = spark.createDataFrame(rows, "id int, k int, v int")
     right = spark.range(400).select(F.col("id").cast("int").alias("k"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    assert skew.broadcasts(right)
     for how, limit in [(h, x) for h in ("left", "inner", "left_semi", "left_anti") for x in (threshold, "-1")]:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         a = sorted(map(str, skew.spread_lookup(left, right, ["k"], how).select(*left.join(right, "k", how).columns).collect()))
         assert a == sorted(map(str, left.join(right, "k", how).collect())), (how, limit)
-    assert not skew.broadcasts(right)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert skew.heavy_hashes(left, ["k"], 5).count() == 5
+    assert left.select(F.size(skew.heavy_keys(left, [["k"]], 5)[0])).first()[0] == 5
+
+
+def test_star_join_reads_facts_twice(spark, tmp_path):
+    """One sketch for three dimensions, one scan for the join itself."""
+    spark.range(500).selectExpr("id", "id % 7 AS a", "id % 5 AS b", "if(id % 3 = 0, NULL, 1) AS c").write.parquet(str(tmp_path / "facts"))
+    dim = lambda k: (spark.range(20).selectExpr(f"id AS {k}", f"id * 2 AS {k}2"), k)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = M.star_join(spark.read.parquet(str(tmp_path / "facts")), dim("a"), dim("b"), dim("c"))
+    rows, scans = joined.collect(), {}
+    nodes = [joined._jdf.queryExecution().executedPlan()]
+    text = nodes[0].toString().split("== Initial Plan ==")[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(rows) == 333 and all((r.a2, r.b2, r.c2) == (2 * r.a, 2 * r.b, 2) for r in rows)
+    scans = set(re.findall(r"FileScan parquet \[([^\]]*)\]", text))
+    print(text)
+    assert len(scans) == 2
 
 
 def test_dedup_keeps_first_and_is_stable(spark):
@@ -130,7 +154,7 @@ def test_current_week(spark):
 
 
 def test_publish_and_read_back(spark, tmp_path):
-    docs = writers.programme_documents(nested(spark).withColumn("cinema", F.coalesce("cinema", F.lit("Le Comoedia"))), "now", ["s"])
+    docs = writers.programme_documents(nested(spark).withColumn("cinema", F.coalesce("cinema", F.lit("Le Comoedia"))), "now", ["s"], ["cinema"])
     docs.drop("cinema").write.json(str(tmp_path / "p"))
     back = readers.programme_films(readers.read_programme(spark, str(tmp_path / "p"), one_per_file=False))
     assert back.select("titre").distinct().count() == 3 and readers.film_screenings(back, ["titre"]).count() == 6

@@ -61,13 +61,12 @@ def test_star_join_reads_facts_twice(spark, tmp_path):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     joined = M.star_join(spark.read.parquet(str(tmp_path / "facts")), dim("a"), dim("b"), dim("c"))
-    rows, scans = joined.collect(), {}
-    nodes = [joined._jdf.queryExecution().executedPlan()]
-    text = nodes[0].toString().split("== Initial Plan ==")[0]
+    rows = joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan()
+    text = plan.toString().split("== Initial Plan ==")[0]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert len(rows) == 333 and all((r.a2, r.b2, r.c2) == (2 * r.a, 2 * r.b, 2) for r in rows)
-    scans = set(re.findall(r"FileScan parquet \[([^\]]*)\]", text))
-    print(text)
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", text)
     assert len(scans) == 2
 
 

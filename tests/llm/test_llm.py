@@ -246,6 +246,20 @@ def test_lm(spark, texts):
     assert got[4].score / got[4].n_bytes > got[70].score / got[70].n_bytes      # a passage that was learned costs less
 
 
+def test_lm_keeps_the_ratio_of_large_counts(spark):
+    docs = spark.createDataFrame([(("qqqa" * 9 + "qqqb") * 120_000,)], "text string")
+    tables = np.zeros((len(lm_score.PREDICTORS) * (1 << lm_score.TABLE_BITS) // lm_score.RANGE, lm_score.RANGE), dtype="<u2")
+    for row in lm_score.summed(lm_score.counted(docs)).collect():
+        tables[row["part"]] = np.frombuffer(row["body"], "<u2")
+    model = lm_score.Model(tables.reshape(len(lm_score.PREDICTORS), -1))
+    window = np.array([int.from_bytes(b"qaqqqb", "big")], dtype=np.uint64)       # after qqq, a has a zero where b has the first other bit
+    for left_out in (False, True):
+        found = [lm_score.buckets(window, np.zeros(1, np.uint64), p) for p in range(len(lm_score.PREDICTORS))]
+        assert abs(model.inputs(found, np.array([ord("b")]), 1, left_out)[0, 0] - math.log(1 / 9)) < 0.06
+    counts = lm_score.COUNTS[lm_score.as_bytes(np.array([10_000_000, 50_000, 3, 1]))]
+    assert abs(counts[0] / counts[1] / 200 - 1) < 0.06 and abs(counts[2] - 3) < 0.1 and abs(counts[3] - 1) < 0.1
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.Example.com/en/1", "<p>" + "cheap pills farm " * 200 + "</p>"), (2, "https://a.example.com/en/x?y", ""), (3, "x.com/none", None), (4, None, None),
             (5, "http://cheappills.net/fr/", ""), (6, "http://cheappills.org/fr/a", ""), (7, "http://notnet/es/", ""), (8, "http://b.com", ""), (9, "http://b.com/a#q", "")]

@@ -260,6 +260,14 @@ def test_lm_keeps_the_ratio_of_large_counts(spark):
     assert abs(counts[0] / counts[1] / 200 - 1) < 0.06 and abs(counts[2] - 3) < 0.1 and abs(counts[3] - 1) < 0.1
 
 
+def test_lm_mixer_learns_from_every_training_row(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(lm_score, "mixed_model", lambda docs, shared, real=lm_score.mixed_model: (learned.extend(r.text for r in docs.collect()), real(docs, shared))[1])
+    rows = [(i, f"text {i} of a small table") for i in range(40)]
+    assert lm_score.lm_scores(frame(spark, rows)).count() == 40
+    assert sorted(learned) == sorted(t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1)
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.Example.com/en/1", "<p>" + "cheap pills farm " * 200 + "</p>"), (2, "https://a.example.com/en/x?y", ""), (3, "x.com/none", None), (4, None, None),
             (5, "http://cheappills.net/fr/", ""), (6, "http://cheappills.org/fr/a", ""), (7, "http://notnet/es/", ""), (8, "http://b.com", ""), (9, "http://b.com/a#q", "")]

@@ -20,6 +20,8 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z", re.A)
 PARTS = re.compile(r"[+/_=-]+|(?<=[a-z])(?=[A-Z])")
 NAME_PART = re.compile(r"(?:[A-Za-z]?[a-z]*|[A-Z]+|[0-9]{1,8}|v[0-9]+)\Z", re.A)
+PIECE = re.compile(r"[A-Za-z0-9]+", re.A)              # what separators part
+READABLE = 4              # letters of a piece that can end a random run: shorter ones also occur within keys
 NUMBER = re.compile(r"[0-9+/_=-]+\Z", re.A)
 
 _encoders: dict = {}
@@ -38,9 +40,35 @@ def encoder(path: str | None):
     return _encoders[path]
 
 
-def known(string: str) -> bool:
+def named(string: str, encode, ratio: float = RATIO) -> bool:
+    """Whether the parts of an identifier look like words or short numbers, and each of its words makes few tokens."""
+    parts = PARTS.split(string)
+    return all(NAME_PART.match(p) for p in parts) and all(len(p) < 2 or p.isdigit() or len(p) >= ratio * len(encode(p)) for p in parts)
+
+
+def known(string: str, encode, ratio: float = RATIO) -> bool:
     """Digests of usual lengths, UUIDs, numbers, and identifiers made of words and short numbers."""
-    return bool(DIGEST.match(string) or UUID.match(string) or NUMBER.match(string) or all(NAME_PART.match(p) for p in PARTS.split(string)))
+    return bool(DIGEST.match(string) or UUID.match(string) or NUMBER.match(string) or named(string, encode, ratio))
+
+
+def random_spans(string: str, encode, ratio: float = RATIO) -> list[list[tuple[int, int]]]:
+    """Places in a candidate that look random: the whole, then the runs of its pieces between the readable ones."""
+    looks = lambda s: len(s) >= LEAST and not known(s, encode, ratio) and len(s) < ratio * len(encode(s))
+    pieces = [m.span() for m in PIECE.finditer(string)]
+    runs, run = [], None
+    for a, b in pieces:
+        if b - a >= READABLE and string[a:b].isalpha() and named(string[a:b], encode, ratio):
+            run = None
+        elif run is None:
+            run = [a, b]
+            runs.append(run)
+        else:
+            run[1] = b
+    runs = [tuple(r) for r in runs]
+    found = runs + [p for p in pieces if p not in runs]      # a piece may be random where its run is not
+    found = [(a, b) for a, b in found if (a, b) != (0, len(string)) and looks(string[a:b])]
+    inner = [f for f in found if not any(f != r and r[0] <= f[0] and f[1] <= r[1] for r in found)]
+    return [[(0, len(string))] if looks(string) else [], inner, [f for f in found if f not in inner]]
 
 
 def text_spans(text: str, encode, ratio: float = RATIO) -> list[tuple[int, int, int, str]]:
@@ -50,21 +78,24 @@ def text_spans(text: str, encode, ratio: float = RATIO) -> list[tuple[int, int,
         found += [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_VALUE]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
-    extra = []
+    tried = []
     for m in CANDIDATE.finditer(text):  # a hex run of 32 lies within a candidate of 20
         found += [(h.start(), 2, h.end(), h[0]) for h in HEX.finditer(text, m.start(), m.end())]
-        s = m[0]
-        if not s.isalpha() and not known(s) and len(s) < ratio * len(encode(s)):
-            extra.append((m.start(), 3, m.end(), s))
+        tried.append([[(m.start() + a, 3, m.start() + b, m[0][a:b]) for a, b in spans] for spans in random_spans(m[0], encode, ratio)])
     base = sorted(found)
-    return sorted(base + [e for e in extra if not any(b[0] < e[2] and e[0] < b[2] for b in base)])
+    extra = []
+    for levels in tried:   # of spans within one another the widest that is free
+        for spans in levels:
+            extra += [e for e in spans if not any(b[0] < e[2] and e[0] < b[2] for b in base + extra)]
+    return sorted(base + extra)
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
     """One row per input row: doc_id and ``spans``, an array of (kind, start, end, value) by start, then kind.
 
     Offsets are code points, the end is exclusive. Kinds: assign, access, hex (base patterns), random (at least 20
-    characters of which fewer than ``ratio`` make a token, and no digest, UUID, number or identifier). NULL and empty
+    characters of which fewer than ``ratio`` make a token, and no digest, UUID, number or identifier of words that make few
+    tokens; judged as a whole, and by the runs and pieces between separators where the whole is readable). NULL and empty
     texts have no spans; repeated rows are judged each; an empty table gives no rows; other columns are ignored.
     """
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])

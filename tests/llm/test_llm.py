@@ -217,6 +217,19 @@ def test_secrets(spark):
     assert [k for k, _, _ in got[2]] == ["hex", "hex"] and got[5] == [("random", 2, 26)] and [k for k, _, _ in got[7]] == ["assign"]
 
 
+def test_secrets_of_letters_parts_and_prefixes():
+    encode = secrets.encoder(None).encode_ordinary
+    spans = lambda t: [(k, v) for _, k, _, v in secrets.text_spans(t, encode)]
+    key = "q7Zk9vWp2LmX4tRb8NcY1dHsG5jKf3Qe6TuAo0Iz"
+    path = "https://example.com/some/readable/folder/with/many/plain/english/words/behind/one/another/understandable/international/documentation/containing/organizations/"
+    assert spans("x QzXvKwPbLmRtJnCyGdHs z") == [(3, "QzXvKwPbLmRtJnCyGdHs")]
+    assert spans("xkqzvwpt-lmrtbncy-dhsgfjkl") == [(3, "xkqzvwpt-lmrtbncy-dhsgfjkl")]
+    assert spans("KQZXVWPTLMRTBNCYDHSGFJKLQWZX") == [(3, "KQZXVWPTLMRTBNCYDHSGFJKLQWZX")]
+    assert spans(path + key) == [(3, key)] and spans("another_readable_configuration_setting_containing_international_documentation_understanding=" + key) == [(3, key)]
+    for plain in (path, "some_long_identifier_name_here", "internationalisation", "DATABASE_CONNECTION_STRING", "section-1-2-3-4-5-6-7-8", "getCustomerAddressByName"):
+        assert spans(plain) == []
+
+
 def test_quality(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))

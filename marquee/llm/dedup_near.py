@@ -17,14 +17,14 @@ HASHES = 128
 BITS = 2                      # low bits of each minimum that the packed signature keeps
 BAND = 4                      # minima of a band: 32 bands miss a pair of similarity 0.75 once in 190,000
 SIMILAR = 75                  # percent
-SLACK = 0.16                  # estimates this far below are still confirmed on full sets: 3.5 standard errors
+SLACK = 0.23                  # estimates this far below are still confirmed on full sets: 5 standard errors
 # rounds with further centres before pairs across components are compared: centres that a bucket offers, links that a node tries
 STAR_ROUNDS, CENTRES, TRIES = 2, 8, 3
 _rng = np.random.default_rng(7)
 MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 FINE = 512                    # hashes of the sharper signature for nodes whose pairs across components are compared
-FINE_SLACK = 0.08             # 3.5 standard errors of its estimates
+FINE_SLACK = 0.115            # 5 standard errors of its estimates
 FINE_MULTIPLY = _rng.integers(0, 1 << 63, FINE, dtype=np.uint64) | np.uint64(1)
 FINE_ADD = _rng.integers(0, 1 << 63, FINE, dtype=np.uint64)
 

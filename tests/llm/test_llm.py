@@ -103,6 +103,13 @@ def test_estimate_follows_similarity(spark):
         assert abs(got - common / (800 - common)) < 0.16
 
 
+@pytest.mark.parametrize("hashes,slack", [(dedup_near.HASHES, dedup_near.SLACK), (dedup_near.FINE, dedup_near.FINE_SLACK)])
+def test_estimates_lose_no_more_than_the_bands(hashes, slack):
+    least, p = dedup_near.SIMILAR / 100 - slack, 1 / 4 + 3 / 4 * dedup_near.SIMILAR / 100
+    lost = sum(math.comb(hashes, k) * p ** k * (1 - p) ** (hashes - k) for k in range(hashes + 1) if (k / hashes - 1 / 4) * 4 / 3 < least)
+    assert lost < (1 - (dedup_near.SIMILAR / 100) ** dedup_near.BAND) ** (dedup_near.HASHES // dedup_near.BAND)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40) if i != 20] + [(50, 50)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}

@@ -1,5 +1,5 @@
 """Corpus pipeline: quality, exact copies, near copies, benchmark passages, packing. Each stage works on all that the one before it kept."""
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marquee.llm import decontaminate, dedup_exact, dedup_near, packing, quality
 from marquee.operators.staging import staged
@@ -20,8 +20,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates."""
-    return dedup_exact.rows_of(docs, dedup_near.near_dedup(docs).filter("kept"))
+    """One document of each component of near duplicates; of those without words one of each id and text."""
+    found = staged(dedup_near.near_dedup(docs).select("doc_id", "text_key", "root"), "near")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("at")
+    chosen = found.filter("root IS NOT NULL").groupBy("root").agg(best).select("at.doc_id", "at.text_key")
+    return dedup_exact.rows_of(docs, chosen.unionByName(found.filter("root IS NULL").drop("root")), once=True)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

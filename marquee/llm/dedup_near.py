@@ -161,7 +161,7 @@ def most_shared(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFr
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR, slack: float = SLACK) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, text_key.
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_key, root (of the component, NULL without words).
 
     Rows without words, NULL among them, are linked with nothing: their component is their own id. Equal word
     sequences are always linked, and so are rows that repeat an id with equal texts; NULL ids sort last and take the
@@ -235,7 +235,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     named = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    told = named.select("node", "root").join(smallest, "root").select("node", "component_id")
+    told = named.select("node", "root").join(smallest, "root").select("node", "root", "component_id")
     return rows.select("doc_id", "text_key", "node", "n_shingles").join(told, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.col("component_id").isNull()).alias("kept"), "text_key")
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.col("component_id").isNull()).alias("kept"), "text_key", "root")

@@ -27,7 +27,7 @@ def op1(t):
 
 @query("op2_near_dedup")
 def op2(t):
-    return dedup_near.near_dedup(t("documents")).drop("text_key")
+    return dedup_near.near_dedup(t("documents")).drop("text_key", "root")
 
 
 @query("op3_decontaminate", r"""

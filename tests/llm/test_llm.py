@@ -297,6 +297,15 @@ def test_urls(spark):
     assert got[6].host_words == ["cheap", "org", "pills"] and got[6].verdict == "block"
 
 
+def test_one_document_of_each_near_component(spark):
+    words = lambda c: [f"{c}{k}" for k in range(60)]
+    a, b, c, d = (" ".join(words(x)) for x in "abcd")
+    rows = [(1, a), (1, a + " end"), (1, a), (2, a), (None, b), (None, b + " end"), (None, b), (None, c), (7, c), (7, d), (8, ""), (8, ""), (9, ""), (9, None)]
+    got = corpus_pipeline.without_near_copies(spark, frame(spark, rows), FOLDER).select("doc_id", "text").collect()
+    kept = sorted((str(r.doc_id), r.text[0] if r.text else str(r.text)) for r in got)
+    assert kept == [("1", "a"), ("7", "c"), ("7", "d"), ("8", ""), ("9", ""), ("9", "None"), ("None", "b")]
+
+
 def test_pipeline(spark):
     docs = corpus_pipeline.table(spark, FOLDER, "documents")
     first = {r.doc_id for r in corpus_pipeline.good_quality(spark, docs, FOLDER).select("doc_id").collect()}

@@ -66,29 +66,32 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
     listed = staged(phrases_of(items, item_col, item_text_col, window), "items")
-    phrases = staged(listed.select("phrase").distinct().coalesce(1).withColumn("phrase_id", F.monotonically_increasing_id()), "phrases")
-    # written in one file each, so that their size, not a guess, decides whether they are sent to every task
-    terms = staged(phrases.select(F.explode("phrase").alias("term")).distinct().coalesce(1), "terms")
+    # written, so that their size, not a guess, decides whether they are sent to every task; words hold no spaces
+    phrases = staged(listed.select("phrase").distinct().withColumn("phrase_id", F.unhex(F.md5(F.array_join("phrase", " ")))), "phrases")
+    terms = staged(phrases.select(F.explode("phrase").alias("term")).distinct(), "terms")
     postings = staged(postings_of(plain.select("doc_id", "text_key", words_of(F.col("text")).alias("words")), terms), "postings")
     ordered = staged(phrase_terms(phrases, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))), "ordered")
-    rare_terms = staged(ordered.filter(F.col("rank") < RARE).select("term").distinct().coalesce(1), "rare")
+    rare_terms = staged(ordered.filter(F.col("rank") < RARE).select("term").distinct(), "rare")
     places = staged(candidates(staged(postings.join(rare_terms, "term"), "rare_postings"), ordered), "places")
-    named = listed.join(phrases, "phrase").groupBy("phrase_id", "phrase").agg(F.collect_set("item_id").alias("item_ids"))
-    told = places.join(named, "phrase_id")
-    by_doc = told.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "phrase", "item_ids")).alias("found"))
+    by_doc = places.join(phrases, "phrase_id").groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "phrase", "phrase_id")).alias("found"))
     joined = plain.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).join(by_doc, ["id", "text_key"], "left")
     checked = joined.withColumn("words", words_of(F.col("text"))).select(
-        "doc_id", "text_key", F.size("words").alias("n_words"), F.expr("filter(found, f -> slice(words, f.start + 1, size(f.phrase)) = f.phrase)").alias("found"))
+        "doc_id", "id", "text_key", F.size("words").alias("n_words"), F.expr("filter(found, f -> slice(words, f.start + 1, size(f.phrase)) = f.phrase)").alias("found"))
     spans = checked.withColumn("found", F.coalesce("found", F.expr("array()").cast(checked.schema["found"].dataType))).withColumn(
         "spans", F.expr("array_sort(transform(found, f -> struct(f.start AS a, f.start + size(f.phrase) AS b)))"))
     runs = spans.withColumn("hits", F.expr("""
         aggregate(spans, cast(array() AS array<struct<a:int,b:int>>), (runs, s) -> IF(size(runs) > 0 AND element_at(runs, -1).b >= s.a,
             concat(slice(runs, 1, size(runs) - 1), array(struct(element_at(runs, -1).a AS a, greatest(element_at(runs, -1).b, s.b) AS b))),
             concat(runs, array(s))))"""))
-    return runs.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "hits",
-                       F.expr("aggregate(hits, 0L, (n, h) -> n + h.b - h.a)").alias("n_hit"),
-                       F.expr("array_sort(array_distinct(transform(flatten(found.item_ids), i -> cast(i AS string))))").alias("items"),
-                       (F.size("found") > 0).alias("contaminated"), "text_key")
+    done = staged(runs.select("doc_id", "id", F.col("n_words").cast("long").alias("n_words"), "hits",
+                              F.expr("aggregate(hits, 0L, (n, h) -> n + h.b - h.a)").alias("n_hit"),
+                              F.expr("array_distinct(found.phrase_id)").alias("phrase_ids"), (F.size("found") > 0).alias("contaminated"), "text_key"), "hits")
+    # items by document only after each phrase counts once in it
+    told = done.select("id", "text_key", F.explode("phrase_ids").alias("phrase_id")).distinct()
+    names = listed.filter(F.col("item_id").isNotNull()).select(F.unhex(F.md5(F.array_join("phrase", " "))).alias("phrase_id"), F.col("item_id").cast("string").alias("item"))
+    items_of = told.join(names, "phrase_id").groupBy("id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return done.join(items_of, ["id", "text_key"], "left").select(
+        "doc_id", "n_words", "hits", "n_hit", F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"), "contaminated", "text_key")
 
 
 def near_matches(postings: DataFrame, phrases: DataFrame, slack: int) -> DataFrame:

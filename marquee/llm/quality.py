@@ -113,7 +113,8 @@ def calibrate(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> dict:
     """Model from at most ``rows`` labelled rows, the first by hash of the id, of those whose crc32(id) mod 5 is not 0.
 
-    NULL ids and labels other than 0 and 1 are left out; an id with several labels or texts counts each pair.
+    NULL ids and labels other than 0 and 1 are left out; an id with several labels or texts counts each pair, a repeated
+    row counts once. Pairs beyond ``rows`` are left out, the first by hash of the id and then of the text are kept.
     """
     chosen = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
               .filter("_y IN (0, 1)").filter(F.crc32(F.col("_id").cast("string")) % 5 != 0)
@@ -130,7 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # the chosen rows are bounded by ``rows``, so they may be sent to every task
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    table = found.select("_y", "_text").mapInArrow(packed, "y int, bits binary").toArrow()
+    found = found.withColumn("_key", text_key("_text"))
+    pairs = found.select("_id", "_y", "_key").distinct().orderBy(F.xxhash64("_id"), "_id", "_y", "_key").limit(rows)
+    once = found.join(F.broadcast(pairs), ["_id", "_y", "_key"]).groupBy("_id", "_y", "_key").agg(F.first("_text").alias("_text"))
+    table = once.select("_y", "_text").mapInArrow(packed, "y int, bits binary").toArrow()
     order = sorted(range(len(table)), key=lambda i: (table["bits"][i].as_py(), table["y"][i].as_py()))
     kept = [np.flatnonzero(np.unpackbits(np.frombuffer(table["bits"][i].as_buffer(), np.uint8))) for i in order]
     return fit(kept, np.array([table["y"][i].as_py() for i in order], dtype=np.int64))

@@ -250,6 +250,31 @@ def test_quality(spark):
     assert {r.predicted for r in quality.quality_scores(frame(spark, rows[:9]), labels.filter("quality = 9")).collect()} == {1}
 
 
+def test_repeated_labelled_rows_are_learned_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda kept, y: seen.append(len(y)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    once = [(i, f"text {i}") for i in range(40)]
+    quality.train(frame(spark, once + [(ids[0], f"text {ids[0]}")] * 500 + [(ids[0], "other")]), labels)
+    quality.train(frame(spark, [(ids[0], f"text {k}") for k in range(500)]), labels, rows=40)
+    assert seen == [len(ids) + 1, 40]
+
+
+def test_phrases_are_not_put_into_one_task(spark, monkeypatch):
+    files = {}
+    monkeypatch.setattr(decontaminate, "staged", lambda df, name, real=decontaminate.staged: files.setdefault(name, real(df, name)))
+    words = [f"w{k}" for k in range(400)]
+    items = spark.createDataFrame([(i, " ".join(words[i:i + 12])) for i in range(380)] + [(None, " ".join(words[:12]))], "item_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = decontaminate.contamination(frame(spark, [(1, " ".join(words[:15])), (2, "none")]), items).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r.doc_id: r["items"] for r in got} == {1: sorted(map(str, range(6))), 2: []}
+    assert all(len(files[name].inputFiles()) > 1 for name in ("phrases", "terms", "rare"))
+
+
 def test_lm(spark, texts):
     rows = [r for r in texts if r[0] is not None and r[0] != 5]
     got = {r.doc_id: r for r in lm_score.lm_scores(frame(spark, rows)).collect()}

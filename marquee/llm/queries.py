@@ -3,9 +3,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-import corpus_pipeline
-
-from . import decontaminate, dedup_exact, dedup_lines, dedup_near, dedup_passages, lm_score, packing, quality, secrets, urls
+from . import (decontaminate, dedup_exact, dedup_lines, dedup_near, dedup_passages, lm_score, main_text, packing, prefix_trie, quality, secrets,
+               spellings, urls)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,6 +113,56 @@ def op10(t):
     return packing.pack(t("documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES["pipeline"] = corpus_pipeline.run
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+def crc32_sql(codes: str) -> str:
+    """DuckDB expression: unsigned CRC-32 of a list of byte values."""
+    step = "list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: {step}), 4294967295)"
+
+
+def bytes_sql(text: str) -> str:
+    """DuckDB expression: UTF-8 bytes of a text without code points from U+0800."""
+    code = "CAST(unicode(z) AS BIGINT)"
+    return f"flatten(list_transform(string_split({text}, ''), lambda z: CASE WHEN {code} < 128 THEN [{code}] ELSE [192 + {code} // 64, 128 + {code} % 64] END))"
+
+
+@query("op11_prefix_trie", f"""
+    WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts FROM conversations
+                 WHERE conv_id IS NOT NULL GROUP BY conv_id),
+         h AS (SELECT *, CAST({crc32_sql(bytes_sql("CAST(conv_id AS VARCHAR)"))} % 9 AS INTEGER) AS h FROM own),
+         r AS (SELECT h.conv_id, list_concat(coalesce(b.ts, [])[1:h.h], h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+         m AS (SELECT conv_id, unnest(generate_series(0, len(ts))) AS depth, ts FROM r),
+         n AS (SELECT ts[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                      string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(ts) = depth) AS ends FROM m GROUP BY ALL),
+         k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+         t AS (SELECT n.*, coalesce(n_children, 0) AS n_children, p.conv_id AS parent_conv_id,
+                      CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * strlen(n.path[n.depth].text) ELSE 0 END AS saved
+               FROM n LEFT JOIN k ON k.path = n.path LEFT JOIN n p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]),
+         s AS (SELECT path[1:d] AS path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+               FROM (SELECT *, unnest(generate_series(0, depth)) AS d FROM t) GROUP BY ALL)
+    SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+    FROM t JOIN s ON s.path = t.path""")
+def op11(t):
+    return prefix_trie.prefix_trie(t("conversations"))
+
+
+@query("op12_spellings", f"""
+    WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+         g AS (SELECT run, {crc32_sql(bytes_sql("id || ':' || run"))} AS h, k FROM (SELECT id, run, count(*) AS k FROM r GROUP BY ALL)),
+         v AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n
+               FROM g GROUP BY 1 HAVING sum(k) >= 5 AND length(word) >= 6),
+         d AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS stem FROM (SELECT word, n, unnest(generate_series(0, length(word) - 1)) AS i FROM v)),
+         p AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.stem = b.stem AND a.i = b.i AND a.word <> b.word
+               UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.stem = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.stem = v.word),
+         f AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS best, max(n) AS best_n FROM p GROUP BY word),
+         t AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form, CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n
+               FROM v LEFT JOIN f USING (word)),
+         c AS (SELECT word, word AS last, 0 AS steps FROM t UNION ALL SELECT c.word, t.form, steps + 1 FROM c JOIN t ON c.last = t.word WHERE t.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM t JOIN (SELECT word, arg_max(last, steps) AS root FROM c GROUP BY word) USING (word)""")
+def op12(t):
+    return spellings.spelling_groups(t("documents"))
+
+
+@query("op13_main_text")
+def op13(t):
+    return main_text.page_texts(t("pages"))

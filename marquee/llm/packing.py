@@ -3,16 +3,19 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .bytescan import blocks, text_bytes
+
 VOCABULARY = "byte_bpe_50k.json"
 END = 1                   # id that ends a document
 LENGTH = 2048             # most tokens of a sequence
 GROUP_DOCS = 2048         # documents of a group, on average
 LEAST_CUT = 64            # shorter gaps are not filled with cuttings
-CACHED, CACHED_PARTS = 200_000, 800_000  # strings and parts of strings whose ids a worker remembers
+BLOCK_BYTES = 1 << 22     # bytes of text that are cut and encoded together
+CACHED = 400_000          # strings whose ids a worker remembers
 
 _tokenizers: dict = {}
 
@@ -20,57 +23,77 @@ _tokenizers: dict = {}
 class Encoder:
     """Ids of whole texts as little-endian 16-bit integers (32-bit if the vocabulary needs them).
 
-    A text may be cut before a space that follows or precedes a solid character without changing its ids, so it is
-    cut at spaces and the ids of each string are remembered. Texts with longer white space are encoded whole.
+    Texts are cut on their bytes at all places that no token can cross; each distinct string of a block is looked up or
+    encoded once.
     """
 
     def __init__(self, path: str | None):
-        import re
-
         import public_tokenizers
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
-        self.odd = re.compile(r"\s \s")  # where a cut before the space could part white space that belongs together
         self.code = "H" if self.kind == "<u2" else "I"
-        self.ids: dict[str, bytes] = {}
-        self.part_ids: dict[str, bytes] = {}
-
-    def parts(self, string: str) -> list[str]:
-        """Pieces with ids of their own: single line ends within a string, and a full stop or comma after letters."""
-        out = []
-        lines = string.split("\n")
-        for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
-            if line[-1:] in (".", ",") and line[:-1].lstrip(" ").isalpha():
-                out += (line[:-1], line[-1])
-            elif line:
-                out.append(line)
-        return [string] if "" in lines else out
-
-    def learn(self, strings: set[str]) -> None:
-        """Ids of new strings, from the ids of their parts."""
-        if len(self.ids) + len(strings) > CACHED:
-            self.ids.clear()
-        if len(self.part_ids) > CACHED_PARTS:
-            self.part_ids.clear()
-        split = {s: self.parts(s) for s in strings}
-        new = list({p for parts in split.values() for p in parts}.difference(self.part_ids))
-        for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            self.part_ids[p] = array(self.code, e.ids).tobytes()
-        for s, parts in split.items():
-            self.ids[s] = b"".join(map(self.part_ids.__getitem__, parts))
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if "\0" in t or self.odd.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        every = {c for x in cut for c in x}
-        new = every.difference(self.ids)
+        self.ids: dict[bytes, bytes] = {}
+
+    def learn(self, strings: list[bytes]) -> None:
+        for s, e in zip(strings, self.model.encode_batch_fast([s.decode() for s in strings], add_special_tokens=False)):
+            self.ids[s] = array(self.code, e.ids).tobytes()
+
+    def block(self, data: np.ndarray, at: np.ndarray, end: int) -> pa.Array:
+        """Binary array of each text's ids and ``end``."""
+        last = np.array([end], dtype=self.kind).tobytes()
+        starts = cuts(data)
+        starts[at[:-1][at[1:] > at[:-1]]] = True
+        starts = np.flatnonzero(starts)
+        bounds = np.append(starts, len(data))
+        strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        coded = strings.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [s for s in distinct if s not in self.ids]
         if len(self.ids) + len(new) > CACHED:
-            new = every
+            self.ids.clear()
+            new = distinct
         self.learn(new)
-        return [b"".join(map(self.ids.__getitem__, x)) for x in cut]
+        known = pa.array([*map(self.ids.__getitem__, distinct), last], pa.large_binary())
+        first = np.searchsorted(starts, at)                       # strings before each text
+        order = np.insert(coded.indices.to_numpy().astype(np.int64), first[1:], len(distinct))
+        taken = known.take(pa.array(order))
+        _, offsets, body = taken.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[taken.offset:taken.offset + len(taken) + 1]
+        ends = offsets[first + np.arange(len(at))]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends)), body])
+
+
+GRAPHIC, LETTER, MARK = (np.zeros(256, dtype=bool) for _ in range(3))
+GRAPHIC[0x21:0x7F] = True
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+MARK |= GRAPHIC & ~LETTER
+MARK[0x30:0x3A] = False
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """True where a text can be cut before a byte without changing its ids.
+
+    That is before a space next to a solid character on either side, before a line end after a solid character and after
+    it if a solid character follows, between a letter and an ASCII mark, and between a mark and a letter unless the mark
+    is an apostrophe, which could begin a contraction. Solid are ASCII characters above the space and characters whose
+    first byte begins no white space in Unicode; letters are the ASCII ones and those of U+00C0 to U+00FF.
+    """
+    n = len(data)
+    here = np.concatenate((np.zeros(3, np.uint8), data, np.zeros(1, np.uint8)))        # here[i + 3] is data[i]
+    at = lambda back: here[3 - back:3 - back + n]
+    times = (at(1) == 0x97) | (at(1) == 0xB7)
+    letter_before = LETTER[at(1)] | (at(2) == 0xC3) & ~times
+    two, more = (at(2) >= 0xC3) & (at(2) <= 0xDF), at(3) >= 0xE4
+    solid_before = GRAPHIC[at(1)] | two | more
+    opens = lambda b: GRAPHIC[b] | (b >= 0xC3) & (b <= 0xDF) | (b >= 0xE4)
+    space, line = data == 0x20, data == 0x0A
+    found = space & (solid_before | opens(at(-1))) | line & solid_before
+    found[1:] |= line[:-1] & solid_before[:-1] & opens(data[1:])
+    found |= MARK[data] & letter_before
+    letter_here = LETTER[data] | (data == 0xC3) & (at(-1) != 0x97) & (at(-1) != 0xB7)
+    return found | letter_here & MARK[at(1)] & (at(1) != 0x27)
 
 
 def encoder(path: str | None) -> Encoder:
@@ -83,12 +106,11 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, end: int = END) ->
     """(doc_id, text, lot) to (doc_id, lot, ids): the text's ids and ``end``, packed as integers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
-        last = np.array([end], dtype=encode.kind).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                ids = [x + last for x in encode.batch([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(ids, pa.binary())], ["doc_id", "lot", "ids"])
+            for first, data, at in blocks(batch.column(1), BLOCK_BYTES):
+                part = batch.slice(first, len(at) - 1)
+                ids = encode.block(data, at, end).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), ids], ["doc_id", "lot", "ids"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", "lot").mapInArrow(run, f"doc_id {id_type}, lot bigint, ids binary")
@@ -181,18 +203,20 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.floor(F.rand(seed) * groups).cast("long").alias("lot"))
     tokens = tokenized(plain, vocabulary, end)
 
-    def packed(part: pd.DataFrame) -> pd.DataFrame:
+    def packed(part: pa.Table) -> pa.Table:
         kind = encoder(vocabulary).kind
         width = int(kind[-1])
-        part = part.assign(_n=part["ids"].map(len)).sort_values(["_n", "doc_id", "ids"], kind="stable").reset_index(drop=True)
-        names, ids, sizes = part["doc_id"], part["ids"].tolist(), part["_n"].to_numpy() // width
-        rows = layout(sizes, length)
-        doc, start, size, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*rows))
-        cut = [np.frombuffer(ids[d], kind, z, s * width).astype("<u4").tobytes() for d, s, z in zip(doc.tolist(), start.tolist(), size.tolist())]
-        lot = int(part["lot"].iloc[0])
-        return pd.DataFrame({"doc_id": names.take(doc).to_numpy(), "start": start, "length": size, "doc_tokens": sizes[doc],
-                             "sequence_id": sequence + (lot << 28), "offset": offset, "ids": cut})
+        part = part.append_column("n", pc.binary_length(part.column("ids")))
+        part = part.take(pc.sort_indices(part, [("n", "ascending"), ("doc_id", "ascending"), ("ids", "ascending")])).combine_chunks()
+        ids, sizes = part.column("ids").chunk(0), part.column("n").to_numpy().astype(np.int64) // width
+        doc, start, size, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*layout(sizes, length)))
+        data, at = text_bytes(ids)
+        cut = [data[a:b].view(kind).astype("<u4").tobytes() for a, b in zip(((at[doc] + start * width).tolist()), ((at[doc] + (start + size) * width).tolist()))]
+        names = part.column("doc_id").take(pa.array(doc))        # as Arrow values: NULLs leave the other ids as they are
+        columns = {"doc_id": names, "start": start, "length": size, "doc_tokens": sizes[doc], "sequence_id": sequence + (part.column("lot")[0].as_py() << 28),
+                   "offset": offset, "ids": pa.array(cut, pa.binary())}
+        return pa.table(columns)
 
     id_type = plain.schema["doc_id"].dataType.simpleString()
-    return tokens.groupBy("lot").applyInPandas(
+    return tokens.groupBy("lot").applyInArrow(
         packed, f"doc_id {id_type}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")

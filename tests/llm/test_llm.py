@@ -183,7 +183,8 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
     model = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     model.encode_special_tokens = True
-    odd = [(200 + i, t) for i, t in enumerate(["a  b   c", "x \n y\n z", "<|endoftext|>", "don't. can't,\n'tis", "é, ñ.\n\n", "a\0b  c", "　 a"])]
+    odd = [(200 + i, t) for i, t in enumerate(["a  b   c", "x \n y\n z", "<|endoftext|>", "don't. can't,\n'tis", "é, ñ.\n\n", "a\0b  c", "　 a", "x \n  \nb", "\n  foo", "a   b \t c\u3000 d\xa0 e", " \x85 x", "\u2003 \u2003", "🙂 🙂  ü", "  "])]
+    odd.append((299, "".join(random.Random(4).choice(" \n\tab.,é\u3000'1s\r") for _ in range(5000))))
     rows = [r for r in texts if r[0] is not None] + odd
     ids = {i: np.array(model.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t in rows}
     pieces = packing.pack(frame(spark, rows), group_docs=16).collect()
@@ -202,6 +203,26 @@ def test_packing(spark, texts):
         assert at <= packing.LENGTH
 
 
+def test_ids_of_cut_texts_are_those_of_whole_texts():
+    import pyarrow as pa
+    from marquee.llm import bytescan
+    rng = random.Random(1)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "a", "b", "'s", "'S", "'", "re", ".", ",", "é", "×", "÷", "ß", "ｅ", "中", "🙂", "\u3000", "\xa0", "1", "23", "(", ")", "\x85", "\u2003",
+             "\x1c", "\0", "Ω", "'ll", "_", "-", "…", "e\u0301", "ª", "²"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(8000)]
+    encoder, found = packing.Encoder(None), []
+    for _, data, at in bytescan.blocks(pa.array(texts), 1 << 15):
+        found += encoder.block(data, at, 1).to_pylist()
+    assert found == [np.array(e.ids + [1], encoder.kind).tobytes() for e in encoder.model.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_packing_keeps_ids_beside_null(spark):
+    rows = [(None, "no id"), (5, "five"), (2 ** 53 + 1, "large"), (-2 ** 62 - 1, "small")]
+    assert {p.doc_id for p in packing.pack(frame(spark, rows)).collect()} == {r[0] for r in rows}
+    named = spark.createDataFrame([("a", "x"), (None, "y")], "doc_id string, text string")
+    assert {p.doc_id for p in packing.pack(named).collect()} == {"a", None}
+
+
 def test_first_fit_decreasing():
     rng = random.Random(2)
     sizes = np.array([rng.randint(1, 100) for _ in range(300)])

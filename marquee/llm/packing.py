@@ -28,8 +28,11 @@ class Encoder:
     """
 
     def __init__(self, path: str | None):
+        import os
+
         import public_tokenizers
         from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core; threads would only spin
         self.model = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"

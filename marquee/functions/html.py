@@ -4,7 +4,9 @@
 contiguous run ``node_id .. subtree_end``. Everything after that is array expressions on the page's own row, so no
 operator on nodes shuffles and page text never leaves its task.
 """
+import re
 import sys
+from html import unescape
 from html.entities import html5
 from html.parser import HTMLParser
 from itertools import accumulate
@@ -24,44 +26,125 @@ _VOID = frozenset(K.VOID_TAGS)
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-class _Outline(HTMLParser):
-    """Flat outline of one page; an end tag closes back to its nearest open match and is ignored without one."""
+DATA, START, END = range(3)
+_TAG = re.compile(r"""<(?:/([a-zA-Z][a-zA-Z0-9]*+)[\t\n\r\f ]*+>|([a-zA-Z][a-zA-Z0-9]*+)((?:[\t\n\r\f ]++[a-zA-Z_][-a-zA-Z0-9_:.]*+"""
+                  r"""(?:=(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`/&]++))?+)*+)[\t\n\r\f ]*+(/?)>)""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_][-a-zA-Z0-9_:.]*+)(?:=(?:"([^"]*+)"|'([^']*+)'|([^\s"'=<>`/&]++)))?+""")
+_COMMENT_END = re.compile(r"--[\s!]*>")
+_RAW_END = {name: re.compile(rf"</\s*{name}", re.I) for name in ("script", "style")}
+_OTHER_RAW = frozenset(("textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"))   # raw text to some parsers
+
+
+class _Events(HTMLParser):
+    """Start tags, end tags and data of one page, by the standard library's tolerant rules."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes = [{"node_id": 0, "parent_id": None, "depth": 0, "subtree_end": 0, "tag": "root", "attrs": [],
-                       "own_text": []}]
-        self.open = [0]
+        self.events = []
 
     def handle_starttag(self, tag, attrs):
-        here = len(self.nodes)
-        self.nodes.append({"node_id": here, "parent_id": self.open[-1], "depth": len(self.open), "subtree_end": here,
-                           "tag": tag, "attrs": [(k, v or "") for k, v in dict(attrs).items()], "own_text": []})
-        if tag not in _VOID:
-            self.open.append(here)
+        self.events.append((START, tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        at = next((i for i in reversed(range(1, len(self.open))) if self.nodes[self.open[i]]["tag"] == tag), None)
-        if at is not None:
-            self._shut(at)
+        self.events.append((END, tag, None))
 
     def handle_data(self, data):
-        self.nodes[self.open[-1]]["own_text"].append(data)
+        self.events.append((DATA, data, None))
 
     def updatepos(self, i, j):
         return j  # line numbers are not needed, and counting them costs
 
-    def _shut(self, depth):
-        for i in self.open[depth:]:
-            self.nodes[i]["subtree_end"] = len(self.nodes) - 1
-        del self.open[depth:]
 
-    def outline(self, markup):
-        self.feed(markup)
-        self._shut(0)
-        for node in self.nodes:
-            node["own_text"] = "".join(node["own_text"]).strip()
-        return self.nodes
+def _plain_events(markup: str) -> list[tuple] | None:
+    """The same events for pages whose every tag, comment and raw element is plainly written; None for other pages."""
+    events = []
+    add = events.append
+    at, end, find, match = 0, len(markup), markup.find, _TAG.match
+    while at < end:
+        start = find("<", at)
+        if start < 0:
+            if find("&", at) >= 0:
+                return None
+            add((DATA, markup[at:], None))
+            break
+        if start > at:
+            text = markup[at:start]
+            add((DATA, unescape(text) if "&" in text else text, None))
+        tag = match(markup, start)
+        if tag is None:
+            if markup.startswith("<!--", start):
+                close = _COMMENT_END.search(markup, start + 4)
+                if close is None or close[0] != "-->" or markup.startswith(("<!-->", "<!--->"), start):
+                    return None
+                at = close.end()
+                continue
+            if markup[start:start + 9].lower() == "<!doctype":
+                at = find(">", start) + 1
+                if at and not {'"', "'", "["} & set(markup[start:at]):
+                    continue
+            return None
+        at = tag.end()
+        if tag[1]:
+            add((END, tag[1].lower(), None))
+            continue
+        name, raw, attrs = tag[2].lower(), tag[3], {}
+        if raw:
+            for key, double, single, bare in _ATTRIBUTE.findall(raw):
+                value = double or single or bare
+                if "&" in value:
+                    return None          # how a bare ampersand is read differs between versions
+                attrs[key.lower()] = value
+        add((START, name, attrs))
+        if tag[4]:
+            add((END, name, None))
+        elif name in _RAW_END:
+            close = _RAW_END[name].search(markup, at)
+            if close is None or not markup.startswith(">", close.end()) or close.end() - close.start() != len(name) + 2:
+                return None
+            if close.start() > at:
+                add((DATA, markup[at:close.start()], None))
+            add((END, name, None))
+            at = close.end() + 1
+        elif name in _OTHER_RAW and not markup[find("<", at):].startswith((f"</{name}>", f"</{name.upper()}>")):
+            return None
+    return events
+
+
+def page_events(markup: str) -> list[tuple]:
+    """(kind, tag or text, attributes) of a page in order; the last of repeated attributes counts."""
+    events = _plain_events(markup)
+    if events is None:
+        parser = _Events()
+        parser.feed(markup)
+        events = parser.events
+    return events
+
+
+def _outline(markup: str) -> list[dict]:
+    """Flat outline of one page; an end tag closes back to its nearest open match and is ignored without one."""
+    nodes = [{"node_id": 0, "parent_id": None, "depth": 0, "subtree_end": 0, "tag": "root", "attrs": (), "own_text": []}]
+    opened = [0]
+    names = [""]
+    for kind, what, attrs in page_events(markup):
+        if kind == DATA:
+            nodes[opened[-1]]["own_text"].append(what)
+        elif kind == START:
+            here = len(nodes)
+            nodes.append({"node_id": here, "parent_id": opened[-1], "depth": len(opened), "subtree_end": here, "tag": what,
+                          "attrs": attrs.items(), "own_text": []})
+            if what not in _VOID:
+                opened.append(here)
+                names.append(what)
+        elif what in names:
+            at = len(names) - 1 - names[::-1].index(what)
+            for i in opened[at:]:
+                nodes[i]["subtree_end"] = len(nodes) - 1
+            del opened[at:], names[at:]
+    for i in opened:
+        nodes[i]["subtree_end"] = len(nodes) - 1
+    for node in nodes:
+        node["own_text"] = "".join(node["own_text"]).strip()
+    return nodes
 
 
 def _offsets(sizes) -> pa.Array:
@@ -93,7 +176,7 @@ def parse_pages(pages: DataFrame, html: str = "html", rows_per_batch: int = 64)
         for batch in batches:
             for start in range(0, batch.num_rows, rows_per_batch):
                 part = batch.slice(start, rows_per_batch)
-                outlines = [[] if m is None else _Outline().outline(m) for m in part.column(html).to_pylist()]
+                outlines = [[] if m is None else _outline(m) for m in part.column(html).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [_node_lists(outlines)],
                                                  names=[*kept, "nodes"])
 

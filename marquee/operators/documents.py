@@ -5,6 +5,7 @@ from .. import constants as K
 from ..functions.binding import let
 from ..functions.calendar import by_time, screenings
 from ..functions import dates as D, grid as G, html as H, records as R, text as X
+from ..functions.shapes import Shape, select
 
 FILM_COLUMNS = ["titre", "version", "seances"]
 
@@ -130,6 +131,72 @@ def calendar_films(rows: DataFrame) -> DataFrame:
     return shown.select(*kept, titre.alias("titre"), F.col("f.name.slug").alias("slug"), F.col("f.seances").alias("seances"))
 
 
+_VENUE_MARKS = tuple(marker for _, _, marker in K.VENUES if marker)
+CALENDAR = {"tables": Shape("table", parts={
+    "rows": Shape("tr", attrs=("class",), parts={
+        "titles": Shape("th", direct=True, first=True, text=True, parts={"links": Shape("a", first=True, text=True, attrs=("href",))}),
+        "cells": Shape("td", "schedule", direct=True, attrs=("class",), parts={
+            "links": Shape("a", attrs=("href",)),
+            "times": Shape("time", "session", attrs=("class", "datetime"), parts={"versions": Shape("div", "version", first=True, text=True)})})}),
+    "sections": Shape("tr", "cinema", attrs=("class",), text=True, marks=_VENUE_MARKS)})}
+
+
+def calendar_page_films(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Film rows of calendar pages, as ``calendar_films(calendar_rows(parse_pages(pages)))`` gives them.
+
+    Only the elements that count leave the parser (``CALENDAR``), nested as rows, cells and times.
+    """
+    kept = [c for c in pages.columns if c != html]
+
+    def kind(row):
+        cls = F.coalesce(row["class"], F.lit(""))
+        return F.when(cls.contains("days"), "days").when(cls.contains("cinema"), "cinema").when(cls.contains("movie"), "movie")
+
+    def venue(section):
+        low = F.lower(section["text"])
+        marked = [(name, marker) for name, _, marker in K.VENUES if marker]
+        return F.coalesce(*[F.when(F.array_contains(section["marked"], m), F.lit(n)) for n, m in marked],
+                          *[F.when(low.contains(m), F.lit(n)) for n, m in marked])
+
+    def movies(table):
+        named = F.filter(F.transform(F.filter(table["sections"], lambda s: kind(s) == "cinema"), lambda s: F.struct(
+            s["node_id"].alias("at"), venue(s).alias("venue"))), lambda s: s["venue"].isNotNull())
+        places = F.transform(table["rows"], lambda r, i: F.struct(i.alias("row_no"), r.alias("row")))
+        return let(named, lambda marks: F.transform(F.filter(places, lambda p: kind(p["row"]) == "movie"), lambda p: F.struct(
+            p["row_no"].alias("row_no"), p["row"].alias("row"),
+            F.coalesce(F.try_element_at(F.filter(marks, lambda m: m["at"] < p["row"]["node_id"]), F.lit(-1))["venue"],
+                       F.lit(K.DEFAULT_SECTION)).alias("cinema"))))
+
+    def screening(time, link):
+        at = D.slice_timestamp(time["datetime"])
+        version = X.version_code(F.coalesce(F.get(time["versions"], F.lit(0))["text"], F.lit("")))
+        return F.when(time["class"].contains("session") & at.isNotNull(), F.struct(
+            at["date"].alias("date"), at["heure"].alias("heure"), version.alias("version"), link.alias("resa_url")))
+
+    def cell_slots(cell):
+        is_booking = lambda u: F.exists(F.array(*map(F.lit, K.BOOKING_WORDS)), lambda w: F.lower(u).contains(w))
+        booking = F.get(F.filter(F.transform(cell["links"], lambda a: F.coalesce(a["href"], F.lit(""))), is_booking), F.lit(0))
+        return let(booking, lambda link: F.filter(F.transform(cell["times"], lambda t: screening(t, link)), lambda s: s.isNotNull()))
+
+    def film(m):
+        title = F.get(m["row"]["titles"], F.lit(0))
+        link = F.get(title["links"], F.lit(0))
+        said = F.nullif(X.strip(link["text"]), F.lit(""))
+        name = F.when(title.isNotNull(), F.struct(F.coalesce(said, X.strip(title["text"])).alias("titre"),
+                                                  X.href_slug(F.coalesce(link["href"], F.lit(""))).alias("slug")))
+        cells = F.filter(m["row"]["cells"], lambda c: c["class"].contains("schedule"))
+        seances = by_time(F.flatten(F.transform(cells, cell_slots)), ["date", "heure", "version", "resa_url"])
+        return F.struct(m["row_no"].alias("row_no"), m["cinema"].alias("cinema"), name.alias("name"), seances.alias("seances"))
+
+    largest = let(F.transform("tables", lambda t: F.size(t["rows"])), lambda sizes: F.get(
+        F.col("tables"), F.array_position(sizes, F.array_max(sizes)).cast("int") - 1))
+    found = select(pages, CALENDAR, html).select(*kept, F.explode_outer(let(largest, movies)).alias("m")).filter("m IS NOT NULL")
+    opened = found.select(*kept, F.explode_outer(F.array(let(F.col("m"), film))).alias("f"))
+    titre = F.col("f.name.titre")
+    shown = opened.filter((F.length(F.replace(titre, F.lit(" "), F.lit(""))) >= 2) & (F.size("f.seances") > 0))
+    return shown.select(*kept, "f.row_no", "f.cinema", titre.alias("titre"), F.col("f.name.slug").alias("slug"), F.col("f.seances").alias("seances"))
+
+
 def heading_films(pages: DataFrame, run_date) -> DataFrame:
     """Film rows of a page built from headings: week from its period line, one record per film block."""
     weeks = pages.withColumn("_week", D.week_map(F.col("html")))

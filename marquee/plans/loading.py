@@ -107,13 +107,12 @@ def read_path(t):
     SELECT source, titre, slot, count(*) AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE slot >= '1997-03-12' AND slot < '1997-03-19' GROUP BY ALL""")
 def weekly_run(t):
     """Grids and calendar pages to one list of films with the screenings of the coming week."""
-    from ..functions import html as H
     from ..operators import documents as O
     near = F.col("week").between(F.date_sub(F.lit(DI.RUN_DATE).cast("date"), 6), F.date_add(F.lit(DI.RUN_DATE).cast("date"), 6))  # before anything is parsed
     docs = DI.grids(t).filter(near).withColumn("doc_id", F.concat_ws("|", text(F.col("l_suppkey")), text(F.col("week"))))
     grids = O.grid_films(docs.select("doc_id", "grid", "week"), F.col("week"), F.col("week")).withColumnsRenamed({"row_no": "row_order"})
-    pages = H.parse_pages(DI.calendar_pages(t).filter(near).select("l_suppkey", text(F.col("week")).alias("week"), "html"))
-    calendar = O.calendar_films(O.calendar_rows(pages)).withColumnRenamed("row_no", "row_order")
+    pages = DI.calendar_pages(t).filter(near).select("l_suppkey", text(F.col("week")).alias("week"), "html")
+    calendar = O.calendar_page_films(pages).withColumnRenamed("row_no", "row_order")
     films = weekly.weekly_run([("grid", weekly.as_films(grids)), ("calendar", weekly.as_films(calendar))], None, None, DI.RUN_DATE)
     slots = films.select("source", "titre", F.explode("seances").alias("s"))
     return slots.groupBy("source", "titre", F.concat_ws(" ", text(F.col("s.date")), "s.heure", "s.version").alias("slot")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,14 +1,16 @@
 """Queries over pages: nodes, selection, links, profiles, calendar tables and detail pages."""
 from pyspark.sql import functions as F
 
-from .. import constants as K
+from .. import constants as K, schema
 from ..functions.binding import let
 from ..functions import html as H, records as R
-from ..operators import documents as O, profile as P
+from ..functions.shapes import Shape, select
+from ..operators import documents as O, extract as X, profile as P
+from ..operators.extract import Rule
 from ..operators.dedup import distinct_in_order
 from ..sources.readers import decode, is_admissible
 from . import derived as DI
-from .registry import query
+from .registry import ORACLES, query
 
 text = lambda c: c.cast("string")
 nodes = lambda: F.col("nodes")
@@ -33,7 +35,28 @@ def admit_files(t):
     return sized.filter(is_admissible(F.col("size"), F.col("content"))).select("doc_id", "size")
 
 
-@query("html_nodes")
+UNESCAPE_SQL = "replace(replace(replace(replace({c}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+
+
+# a stack machine over the tags of a page, one tag of every page a step
+NODES_SQL = f"""WITH RECURSIVE raw AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<script>.*?</script>|<[^>]+>|[^<]+') AS ts FROM pages),
+    tok AS (SELECT page_id, list_filter(flatten(list_transform(ts, lambda x: CASE WHEN starts_with(x, '<!') THEN [] WHEN starts_with(x, '<script>') THEN ['<script>', 'raw' || x[9:-10], '</script>'] WHEN starts_with(x, '<') THEN [x]
+        ELSE ['=' || {UNESCAPE_SQL.format(c="x")}] END)), lambda x: x <> 'raw') AS ts FROM raw),
+    run AS (SELECT page_id, ts, 0 AS i, [{{'id': 0, 'tag': ''}}] AS stack, 0 AS node, CAST(NULL AS VARCHAR) AS tag, 0 AS parent, 0 AS depth, 0 AS attrs, CAST([] AS INTEGER[]) AS closed, CAST(NULL AS VARCHAR) AS said, 0 AS speaker FROM tok
+      UNION ALL
+      SELECT page_id, ts, i + 1, CASE WHEN kind = 'start' AND name NOT IN ({', '.join(f"'{v}'" for v in K.VOID_TAGS)}) THEN list_append(stack, {{'id': node + 1, 'tag': name}}) WHEN kind = 'end' AND place > 0 THEN stack[1:place - 1] ELSE stack END,
+        CASE WHEN kind = 'start' THEN node + 1 ELSE node END, CASE WHEN kind = 'start' THEN name END, stack[len(stack)].id, len(stack), CASE WHEN kind = 'start' THEN len(regexp_extract_all(t, '[a-z:-]+="[^"]*"')) ELSE 0 END,
+        CASE WHEN kind = 'end' AND place > 0 THEN list_transform(stack[place:], lambda x: x.id) ELSE [] END, CASE WHEN kind = 'data' THEN regexp_replace(t, '^(=|raw)', '') END, stack[len(stack)].id
+      FROM (SELECT *, CASE WHEN kind = 'end' THEN len(stack) + 1 - coalesce(list_position(list_reverse(list_transform(stack, lambda x: x.tag)), name), len(stack) + 1) ELSE 0 END AS place
+        FROM (SELECT *, CASE WHEN starts_with(t, '</') THEN 'end' WHEN starts_with(t, '<') THEN 'start' ELSE 'data' END AS kind, regexp_extract(t, '^</?([a-z0-9]+)', 1) AS name
+          FROM (SELECT *, ts[i + 1] AS t FROM run WHERE i < len(ts))))),
+    nodes AS (SELECT page_id, node AS node_id, parent AS parent_id, depth, tag, attrs FROM run WHERE tag IS NOT NULL UNION ALL SELECT page_id, 0, NULL, 0, 'root', 0 FROM tok),
+    ends AS (SELECT page_id, unnest(closed) AS node_id, node AS subtree_end FROM run UNION ALL SELECT page_id, unnest(list_transform(stack, lambda x: x.id)), node FROM run WHERE i = len(ts)),
+    texts AS (SELECT page_id, speaker AS node_id, string_agg(said, '' ORDER BY i) AS own_text FROM run WHERE said IS NOT NULL GROUP BY ALL)"""
+
+
+@query("html_nodes", rf"""{NODES_SQL} SELECT page_id, node_id, parent_id, depth, coalesce(subtree_end, node_id) AS subtree_end, tag, attrs AS n_attrs,
+    regexp_replace(coalesce(own_text, ''), '^\s+|\s+$', '', 'g') AS own_text FROM nodes LEFT JOIN ends USING (page_id, node_id) LEFT JOIN texts USING (page_id, node_id)""")
 def html_nodes(t):
     flat = parsed(t).select("page_id", F.inline("nodes"))
     return flat.select("page_id", "node_id", "parent_id", "depth", "subtree_end", "tag", F.size("attrs").alias("n_attrs"), "own_text")
@@ -41,10 +64,14 @@ def html_nodes(t):
 
 @query("find_nodes", """SELECT page_id, CAST(len(regexp_extract_all(lower(html), '<div[^>]*class="[^"]*ad[^"]*"')) AS INTEGER) AS n FROM pages""")
 def find_nodes(t):
-    return parsed(t).select("page_id", F.size(H.find_nodes(nodes(), tag="div", cls="AD")).alias("n"))
+    """Selected while the page is parsed: nothing else leaves the parser."""
+    return select(t.pages.select("page_id", "html"), {"found": Shape("div", "AD")}).select("page_id", F.size("found").alias("n"))
 
 
-UNESCAPE_SQL = "replace(replace(replace(replace({c}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+@query("found_nodes", """SELECT page_id, CAST(len(regexp_extract_all(lower(html), '<div[^>]*class="[^"]*ad[^"]*"')) AS INTEGER) AS n FROM pages""")
+def found_nodes(t):
+    """The same selection over the whole node list."""
+    return parsed(t).select("page_id", F.size(H.find_nodes(nodes(), tag="div", cls="AD")).alias("n"))
 
 
 @query("text_of_title", "SELECT page_id, " + ", ".join(
@@ -207,13 +234,13 @@ def match_context(t):
     return found.select("doc_id", "m.no", "m.context")
 
 
-@query("time_contexts")
-def time_contexts(t):
-    found = DI.calendar_pages(t).select("l_suppkey", "week", F.explode_outer(P.match_contexts(F.col("html"))).alias("m")).filter("m IS NOT NULL")
-    return found.select("l_suppkey", text(F.col("week")).alias("week"), "m.no", "m.context")
-
-
-@query("tag_profile")
+@query("tag_profile", rf"""WITH t AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<(?:/?)(?:\w+)[^>]*>'), lambda x: {{'shut': starts_with(x, '</'), 'tag': lower(regexp_extract(x, '^</?(\w+)', 1))}}),
+        lambda x: x.tag NOT IN ({', '.join(f"'{v}'" for v in K.STRUCTURE_SKIPPED_TAGS)})) AS ts FROM pages),
+    u AS (SELECT page_id, i, ts[i].tag AS tag, ts[i].shut AS shut, list_reduce(list_prepend(0, list_transform(ts[1:i - 1], lambda x: CASE WHEN x.shut THEN -1 ELSE 1 END)),
+        lambda a, x: CASE WHEN x < 0 THEN greatest(a - 1, 0) ELSE least(a + 1, 8) END) AS depth FROM (SELECT *, unnest(range(1, len(ts) + 1)) AS i FROM t)),
+    k AS (SELECT page_id, least(depth, 4) AS depth, tag, count(*) AS n, min(i) AS first FROM u WHERE NOT shut GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY first) AS rank FROM k)
+    SELECT page_id, CAST(rank AS INTEGER) AS rank, CAST(depth AS INTEGER) AS depth, tag, CAST(n AS INTEGER) AS n FROM r WHERE rank <= {K.PROFILE_KEYS}""")
 def tag_profile(t):
     return P.tag_profile(t.pages)
 
@@ -230,6 +257,30 @@ SHOWN_SQL = f"""shown AS (SELECT DISTINCT l_suppkey, CAST({WEEK_SQL} AS VARCHAR)
     CASE l_linenumber % 4 WHEN 0 THEN 'Lumière Terreaux' WHEN 1 THEN 'Lumière Fourmi' ELSE 'Lumière Bellecour' END AS cinema FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
+SHOWN_PAGES = f"""{SHOWN_SQL},
+    cells AS (SELECT l_suppkey, week, section, p_brand, day, '<td class="schedule">' || CASE WHEN section = 2 THEN '<a href="https://x.cotecine.example/1">resa</a>' ELSE '' END
+        || string_agg('<time datetime="' || day || ' ' || heure || ':00" class="session x">' || replace(heure, ':', 'h') || '<div class="dropdown"><div class="version">' || replace(version, 'VOSTFR', 'VOST') || '</div></div></time>', ''
+           ORDER BY replace(heure, ':', 'h'), replace(version, 'VOSTFR', 'VOST')) || '</td>' AS cell FROM shown GROUP BY l_suppkey, week, section, p_brand, day),
+    movies AS (SELECT l_suppkey, week, section, string_agg('<tr class="movie"><th class="movie-title"><a href="/film/' || lower(replace(p_brand, '#', '-')) || '.html?week=1">' || p_brand || '</a></th>' || row || '</tr>', '' ORDER BY p_brand) AS body
+        FROM (SELECT l_suppkey, week, section, p_brand, string_agg(cell, '' ORDER BY day) AS row FROM cells GROUP BY ALL) GROUP BY ALL),
+    page AS (SELECT l_suppkey, week, '<html><body><table class="small"><tr><td>x</td></tr></table><table class="schedule"><tr class="days"><td></td>'
+        || array_to_string(list_transform(range(0, 7), lambda d: '<th class="day-title"><time datetime="' || CAST(CAST(CAST(week AS DATE) + CAST(d AS INTEGER) AS DATE) AS VARCHAR) || ' 00:00:00">j</time></th>'), '') || '</tr>'
+        || coalesce(max(body) FILTER (section = 0), '') || '<tr class="cinema striped"><th><svg><use xlink:href="/i.svg#logo-fourmi"></use></svg></th></tr>' || coalesce(max(body) FILTER (section = 1), '')
+        || '<tr class="cinema"><th>Salle BELLECOUR</th></tr>' || coalesce(max(body) FILTER (section = 2), '') || '<tr class="cinema"><th>Autre salle</th></tr>' || coalesce(max(body) FILTER (section = 3), '')
+        || '</table></body></html>' AS html FROM movies GROUP BY l_suppkey, week)"""
+
+
+@query("time_contexts", rf"""WITH {SHOWN_PAGES}, p AS (SELECT l_suppkey, week, html, regexp_extract_all(html, '\b\d{{1,2}}[hH:]\d{{2}}\b')[1:{K.CONTEXTS_PER_PAGE}] AS hits,
+        string_split_regex(html, '\b\d{{1,2}}[hH:]\d{{2}}\b') AS gaps FROM page),
+    h AS (SELECT l_suppkey, week, html, no, length(hits[no]) AS size, CAST(list_sum(list_transform(gaps[1:no], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:no - 1], lambda x: length(x))), 0) AS BIGINT) AS place
+        FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS no FROM p))
+    SELECT l_suppkey, week, CAST(no AS INTEGER) AS no, left(regexp_replace(regexp_replace(regexp_replace(substr(html, greatest(place - {K.CONTEXT_CHARS}, 0) + 1, place + size + {K.CONTEXT_CHARS} - greatest(place - {K.CONTEXT_CHARS}, 0)),
+        '<[^>]+>', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), {K.CONTEXT_CUT}) AS context FROM h""")
+def time_contexts(t):
+    found = DI.calendar_pages(t).select("l_suppkey", "week", F.explode_outer(P.match_contexts(F.col("html"))).alias("m")).filter("m IS NOT NULL")
+    return found.select("l_suppkey", text(F.col("week")).alias("week"), "m.no", "m.context")
+
+
 @query("row_kind", f"""WITH {SHOWN_SQL}, pages_of AS (SELECT DISTINCT l_suppkey, week FROM shown), movies AS (SELECT DISTINCT l_suppkey, week, section, p_brand FROM shown)
     SELECT l_suppkey, week, kind, CAST(n AS BIGINT) AS n FROM (SELECT l_suppkey, week, 'days' AS kind, 1 AS n FROM pages_of UNION ALL SELECT l_suppkey, week, 'cinema', 3 FROM pages_of
     UNION ALL SELECT l_suppkey, week, 'movie', count(*) FROM movies GROUP BY ALL)""")
@@ -262,6 +313,40 @@ def cell_screenings(t):
 @query("movie_rows", f"""WITH {SHOWN_SQL} SELECT l_suppkey, week, cinema, p_brand AS titre, lower(replace(p_brand, '#', '-')) AS slug, section = 2 AS bookable,
     string_agg(day || ' ' || heure, ';' ORDER BY day, heure) AS slots FROM shown GROUP BY l_suppkey, week, section, cinema, p_brand""")
 def movie_rows(t):
-    films = O.calendar_films(calendar_rows(t))
+    return movie_lines(O.calendar_page_films(DI.calendar_pages(t).select("l_suppkey", text(F.col("week")).alias("week"), "html")))
+
+
+@query("movie_rows_of_nodes", ORACLES["movie_rows"])
+def movie_rows_of_nodes(t):
+    """The same film rows from the nodes of the table rows."""
+    return movie_lines(O.calendar_films(calendar_rows(t)))
+
+
+def movie_lines(films):
     return films.select("l_suppkey", "week", "cinema", "titre", "slug", F.exists("seances", lambda s: s["resa_url"].isNotNull()).alias("bookable"),
                         F.array_join(F.transform("seances", lambda s: F.concat_ws(" ", text(s["date"]), s["heure"])), ";").alias("slots"))
+
+
+# --- rule tables ------------------------------------------------------------------------------------------------
+
+FIELD_RULES = [Rule("page", "titre", 1, "h1", post="strip"), Rule("page", "titre", 2, "title", post="strip"), Rule("page", "lien", 1, "a", attr="href"),
+               Rule("page", "langue", 1, "html", attr="lang"), Rule("page", "pub", 1, "div", "AD", post="strip"),
+               Rule("detail", "poster", 1, "img", attr="data-src", post="web address", within_tag="figure", within_cls="poster"),
+               Rule("detail", "realisateur", 1, "p", "filmmakers", post="after de"), Rule("detail", "annee", 1, "p", "informations", post="year"),
+               Rule("detail", "duree", 1, "p", "informations", post="minutes"), Rule("detail", "cast", 1, "p", "actors", post="after Avec"),
+               Rule("detail", "synopsis", 2, "div", "synopsis", post="shortened"),
+               Rule("detail", "synopsis", 1, "p", post="shortened", within_tag="div", within_cls="synopsis")]
+
+
+@query("extract_fields", f"""WITH d AS (SELECT p_partkey AS page_id, CAST(p_size AS INTEGER) AS s, p_name, p_brand, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS cap,
+        trim(repeat(p_name || ' ', 60)) AS prose FROM part),
+    f AS (SELECT 'page' AS kind, page_id, unnest(['titre', 'lien', 'langue', 'pub']) AS field, unnest([trim({UNESCAPE_SQL.format(c="regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}),
+            nullif(regexp_extract(html, '<a href="([^"]*)"', 1), ''), nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), ''),
+            trim({UNESCAPE_SQL.format(c="regexp_extract(html, '<div class=.ad.>([^<]*)</div>', 1)")})]) AS value FROM pages
+        UNION ALL SELECT 'detail', page_id, unnest(['poster', 'realisateur', 'annee', 'duree', 'cast', 'synopsis']), unnest(['https://p.example/' || page_id || '.jpg', 'Ana ' || cap,
+            CASE WHEN page_id % 3 > 0 THEN CAST(s + 1950 AS VARCHAR) END, CAST(120 + s AS VARCHAR), 'A, ' || p_brand, CASE WHEN length(prose) > 500 THEN left(prose, 500) || '…' ELSE prose END]) FROM d)
+    SELECT kind, page_id, field, value FROM f WHERE value IS NOT NULL""")
+def extract_fields(t):
+    """Pages of two kinds and one table of rules, in one pass over the pages."""
+    pages = t.pages.select(F.lit("page").alias("kind"), "page_id", "html").unionByName(DI.detail_pages(t).select(F.lit("detail").alias("kind"), "page_id", "html"))
+    return X.extract_fields(pages, t.spark.createDataFrame(FIELD_RULES, schema.RULE)).select("kind", "page_id", "field", "value")

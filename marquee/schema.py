@@ -26,6 +26,8 @@ SEANCES = _struct(id="string", film_id="string", cinema_id="string", date="date"
 GRID_ROW = _struct(doc_id="string", row_no="int", cells="strings")
 NODE = _struct(node_id="int", parent_id="int", depth="int", subtree_end="int", tag="string", attrs="texts",
                own_text="string")
+RULE = _struct(kind="string", field="string", priority="int", tag="string", cls="string", attr="string", post="string",
+               within_tag="string", within_cls="string")
 URL_STATE = _struct(url="string")
 TMDB = _struct(id="long", imdb_id="string", title="string", year="int", poster_path="string", overview="string",
                vote_average="double", cast=T.ArrayType(_struct(name="string")))

@@ -110,9 +110,10 @@ def resolve_fk(facts: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame
     return spread_lookup(facts, parents, on, "inner")
 
 
-def star_join(facts: DataFrame, *dimensions: tuple[DataFrame, str]) -> DataFrame:
-    """Facts with every dimension attached by its id; facts without one are dropped. One sketch serves all dimensions."""
+def star_join(facts: DataFrame, *dimensions: tuple[DataFrame, str], how: str = "inner") -> DataFrame:
+    """Facts with every dimension attached by its id; facts without one are dropped, or kept if ``how`` is left. One
+    sketch serves all dimensions."""
     hot = heavy_keys(facts, [[on] for _, on in dimensions])
     for (dimension, on), keys in zip(dimensions, hot):
-        facts = spread_lookup(facts, dimension, [on], "inner", hot_keys=keys)
+        facts = spread_lookup(facts, dimension, [on], how, hot_keys=keys)
     return facts

@@ -6,6 +6,7 @@ from ..functions import dates as D
 from ..operators import dedup, incremental as I, match as M, upsert as U
 from ..operators.staging import shared_folder, staged
 from ..sources import readers, writers
+from ..sources.versions import Versions
 from ..streaming import arrivals as S
 from . import derived as DI, weekly
 from .pages import WEEK_SQL
@@ -94,6 +95,97 @@ def load_incremental(t):
                        F.col("cinema_id").startswith("cinema-").alias("kept_cinema"))
 
 
+def spoilt(films):
+    """Film rows in which some screenings have lost their date or their time."""
+    half, sunday = lambda s: s["heure"].endswith(":30"), lambda s: F.weekday(s["date"]) == 6
+    return films.withColumn("seances", F.transform("seances", lambda s: s.withField("heure", F.when(~half(s), s["heure"])).withField(
+        "date", F.when(~sunday(s), s["date"]))))
+
+
+def two_loads(t, broken=False):
+    """Weeks before and then from 1997-03-12 on loaded as two changes; with ``broken`` a third stops before its marker."""
+    rows = spoilt(weekly.as_films(DI.film_rows(t).withColumns({"src_order": F.lit(0), "row_order": F.lit(0)}), ("src_order", "row_order", "week")))
+    root = shared_folder(t.spark, "versions")
+    early = F.col("week") < F.lit("1997-03-19").cast("date")
+    even = F.replace("cinema", F.lit("Salle "), F.lit("")).cast("bigint") % 2 == 0
+    late = F.col("week") >= F.lit("1997-03-12").cast("date")
+    address = lambda df: df.select(D.weekly_url(F.col("week"), DI.SITE).alias("url"))
+    reports = []
+    for keep in (early & even, late):
+        part = staged(rows.filter(keep), "part")
+        reports.append(weekly.load_version(part.drop("week"), t.spark, root, DI.RUN_TS, address(part)))
+    if broken:
+        tables = Versions(t.spark, root)
+        tables.write("state", t.nation.select(F.col("n_name").alias("url"), F.lit("3").alias("part")))
+        tables.write("cinemas", tables.read("cinemas", schema.CINEMAS).limit(1).withColumn("part", F.lit("0")), tables.parts("cinemas"))
+    return root, reports
+
+
+SPOILT_SQL = f"""{FILM_SQL}, a AS (SELECT DISTINCT p_brand AS titre, CAST(l_suppkey % 20 + 1990 AS INTEGER) AS annee, l_suppkey AS supp, w, day, heure, version FROM f),
+    g AS (SELECT * FROM a WHERE NOT heure LIKE '%:30' AND isodow(CAST(day AS DATE)) <> 7)"""
+
+
+@query("load_versions", f"""WITH {SPOILT_SQL}, s AS (SELECT titre, annee, supp, day, heure, max(version) AS version FROM g WHERE w < '1997-03-19' AND supp % 2 = 0 AND w < '1997-03-12' OR w >= '1997-03-12' GROUP BY ALL)
+    SELECT titre, annee, 'Salle ' || supp AS cinema, day, heure || ':00' AS heure, version FROM s""")
+def load_versions(t):
+    """What readers see after two loads and one that broke off."""
+    root, _ = two_loads(t, broken=True)
+    cinemas, films, seances = weekly.open_star(t.spark, root)
+    star = M.star_join(seances, (films.select(F.col("id").alias("film_id"), "titre", "annee"), "film_id"), (cinemas.select(F.col("id").alias("cinema_id"), F.col("name").alias("cinema")), "cinema_id"))
+    return star.select("titre", "annee", "cinema", text(F.col("date")).alias("day"), "heure", "version")
+
+
+@query("ingest_state", f"WITH a AS (SELECT {WEEK_SQL} AS a, l_suppkey FROM lineitem) SELECT DISTINCT {URL_SQL} AS url FROM a WHERE a >= '1997-03-12' OR l_suppkey % 2 = 0")
+def ingest_state(t):
+    """Addresses recorded by whole loads; those of a load that broke off are not there."""
+    root, _ = two_loads(t, broken=True)
+    return weekly.ingest_state(t.spark, root)
+
+
+@query("load_report", f"""WITH {SPOILT_SQL}, l AS (SELECT 1 AS load, * FROM a WHERE w < '1997-03-19' AND supp % 2 = 0 UNION ALL SELECT 2, * FROM a WHERE w >= '1997-03-12'),
+    j AS (SELECT load, CASE WHEN isodow(CAST(day AS DATE)) = 7 THEN 'rejected: no date' WHEN heure LIKE '%:30' THEN 'rejected: no time' ELSE 'accepted' END AS outcome FROM l),
+    c AS (SELECT load, unnest(['screenings', 'accepted', 'rejected: no date', 'rejected: no time', 'resolved', 'unresolved']) AS measure,
+          unnest([count(*), count(*) FILTER (outcome = 'accepted'), count(*) FILTER (outcome = 'rejected: no date'), count(*) FILTER (outcome = 'rejected: no time'), count(*) FILTER (outcome = 'accepted'), 0]) AS n FROM j GROUP BY load)
+    SELECT CAST(load AS INTEGER) AS load, measure, n FROM c""")
+def load_report(t):
+    """The reports of two loads, counted in the pass that writes."""
+    _, reports = two_loads(t)
+    parts = [r.select(F.lit(i + 1).alias("load"), "measure", "n") for i, r in enumerate(reports)]
+    return parts[0].unionByName(parts[1])
+
+
+DOC_KIND = "(l_suppkey + CAST((CAST(w AS DATE) - DATE '1992-01-01') / 7 AS BIGINT)) % 6"
+DOC_SQL = f"""d AS (SELECT l_suppkey, {WEEK_SQL} AS w, count(DISTINCT (p_brand, l_returnflag, CAST(l_shipdate AS DATE), l_linenumber, CAST(l_quantity AS INTEGER))) AS n_slots,
+        count(DISTINCT (p_brand, l_returnflag)) AS n_films, bool_or(l_linenumber = 1 AND l_quantity < 20) AS stored FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+    k AS (SELECT *, {DOC_KIND} AS kind FROM d)"""
+
+
+@query("weekly_documents", f"""WITH {DOC_SQL}, o AS (SELECT *, CASE kind WHEN 0 THEN 'skip' WHEN 1 THEN CASE WHEN stored THEN 'record' ELSE 'loaded' END WHEN 2 THEN CASE WHEN stored THEN 'record' ELSE 'loaded' END
+        WHEN 3 THEN CASE WHEN stored THEN 'record' ELSE 'missing' END WHEN 4 THEN 'loaded' ELSE 'empty' END AS action FROM k)
+    SELECT CAST(l_suppkey AS VARCHAR) AS cinema_id, CAST(w AS VARCHAR) AS week, action, CASE WHEN action = 'loaded' THEN n_films ELSE 0 END AS n_films, CAST(CASE WHEN action = 'loaded' THEN n_slots ELSE 0 END AS BIGINT) AS n_slots FROM o""")
+def weekly_documents(t):
+    """Six kinds of documents: 0 seen before, 1 week in the address, 2 week in the text only, 3 week in the address and no
+    file, 4 no week anywhere (dates from the header), 5 a text without a programme."""
+    stored = F.col("l_linenumber") == 1
+    facts = t.lineitem.filter(stored & (F.col("l_quantity") < 20)).select(text(F.col("l_suppkey")).alias("cinema_id"), DI.day_of(F.col("l_shipdate")).alias("date"))
+    kind = F.pmod(F.col("l_suppkey") + F.floor(F.datediff("week", F.lit("1992-01-01").cast("date")) / 7), F.lit(6))
+    docs = DI.grids(t).withColumns({"kind": kind, "cinema_id": text(F.col("l_suppkey"))})
+    key = F.concat_ws("-", "cinema_id", text(F.col("week")))
+    named = F.concat(D.weekly_url(F.col("week"), DI.SITE), F.lit("?"), "cinema_id")
+    docs = staged(docs.withColumn("url", F.when(F.col("kind").isin(0, 1, 3), named).otherwise(F.concat(F.lit("https://cdn.example/"), key, F.lit(".pdf")))), "documents")
+    end = F.date_add("week", 6)
+    period = F.concat(F.lit("Programme du "), F.dayofmonth("week"), F.lit(" au "), F.dayofmonth(end), F.lit(" "), D.month_name(end), F.lit(" "), F.year(end))
+    no_grid = F.array().cast("array<array<string>>")
+    files = docs.filter("kind <> 3").select("url", F.when(F.col("kind") == 2, period).otherwise("Bonjour").alias("text"), F.when(F.col("kind") == 5, no_grid).otherwise(F.col("grid")).alias("grid"))
+    dated = files.join(docs.filter("kind = 4").select("url", "week"), "url", "left")
+    # without a week anywhere the header is read as seen from the run date, so each such week is a run of its own
+    head = F.transform("grid", lambda r, i: F.when(i == 1, F.transform(r, lambda c: c)).otherwise(r))
+    films, outcomes = weekly.document_run(docs.select("url", "cinema_id"), dated.select("url", "text", head.alias("grid")), docs.filter("kind = 0").select("url"), facts, DI.RUN_DATE)
+    counts = films.groupBy("cinema_id", "url").agg(F.count(F.lit(1)).alias("n_films"), F.sum(F.size("seances")).cast("bigint").alias("n_slots"))
+    told = outcomes.join(docs.select("url", "cinema_id", text(F.col("week")).alias("week")), ["url", "cinema_id"]).join(counts, ["url", "cinema_id"], "left")
+    return told.select("cinema_id", "week", "action", F.coalesce("n_films", F.lit(0)).cast("bigint").alias("n_films"), F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"))
+
+
 @query("read_path", f"""WITH {FILM_SQL}, g AS (SELECT DISTINCT p_brand AS titre, l_suppkey % 20 + 1990 AS annee, 'Salle ' || l_suppkey AS name, day, heure, max(version) AS version FROM f
     WHERE day >= '1997-03-12' AND day < '1997-03-19' GROUP BY p_brand, l_suppkey, day, heure)
     SELECT titre, name, string_agg(day || ' ' || heure || ' ' || version, ';' ORDER BY day, heure) AS slots FROM g GROUP BY titre, annee, name""")
@@ -267,6 +359,44 @@ def stream_upsert(t):
     return S.current(t.spark, log, events, keys, ["event_id"])
 
 
+@query("stream_fold", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
+def stream_fold(t):
+    """Ten increments, folded twice, with an increment that is already in the base coming again in between."""
+    keys, order = ["user_id", "event_type"], ["event_id"]
+    events = t.events.select("event_id", "user_id", "event_type", "value")
+    folder = shared_folder(t.spark, "fold")
+    handle = S.upsert_log(f"{folder}/log", keys, order, schema=events.schema, fold_every=4)
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    part = lambda i: events.filter(F.floor(F.col("event_id") * 10 / F.lit(last + 1)) == i)
+    for i in range(10):
+        part(i).write.mode("append").parquet(f"{folder}/in")
+        S.run_available(S.arrivals(t.spark, f"{folder}/in", events.schema), handle, f"{folder}/checkpoint")
+        if i == 5:
+            handle(part(2), 2)
+    return S.current(t.spark, f"{folder}/log", events.schema, keys, order)
+
+
+DROP_LIMIT = 20_000
+DROP_SQL = f"""f AS (SELECT doc_id // 8 AS name, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) + CASE WHEN (doc_id // 8) % 4 = 0 THEN 5 ELSE 9 END AS length FROM documents GROUP BY doc_id // 8)"""
+
+
+@query("stream_drop", f"""WITH {DROP_SQL} SELECT name, length, CASE WHEN length > {DROP_LIMIT} THEN 'too large' WHEN name % 4 = 0 THEN 'not a PDF' ELSE 'admitted' END AS outcome, 1 AS n FROM f""")
+def stream_drop(t):
+    """Files of eight documents each, dropped in three increments and listed a fourth time: each judged once."""
+    folder = shared_folder(t.spark, "drop")
+    name = F.floor(F.col("doc_id") / 8).cast("bigint")
+    head = F.when(F.col("name") % 4 == 0, "PK..").otherwise("%PDF-1.4")
+    files = t.documents.groupBy(name.alias("name")).agg(F.concat_ws("\n", F.collect_list(F.coalesce("text", F.lit("")))).alias("body"))  # eight documents
+    lines = files.select(F.concat_ws("\n", head, "body").alias("value"), "name")
+    for i in range(4):
+        if i < 3:
+            lines.filter(F.col("name") % 3 == i).write.partitionBy("name").mode("append").text(f"{folder}/in")
+        S.run_available(S.dropped_files(t.spark, f"{folder}/in/name=*/*.txt", DROP_LIMIT), S.drop_log(f"{folder}/log"), f"{folder}/checkpoint")
+    found = S.stored(t.spark, f"{folder}/log", S.DROP_LOG)
+    named = found.withColumn("name", F.regexp_extract("path", r"name=(\d+)/", 1).cast("bigint"))
+    return named.groupBy("name", "length", F.coalesce("reason", F.lit("admitted")).alias("outcome")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 @query("stream_dedup", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY user_id")
 def stream_dedup(t):
     log, events = stream_run(t, "dedup", lambda log, schema: S.new_only_log(log, ["user_id"], ["event_id"], schema))

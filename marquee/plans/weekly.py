@@ -1,15 +1,16 @@
 """The three flows: weekly run, batch load, read path. Each is one lazy plan; actions happen only at the sinks."""
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from .. import constants as K, schema
 from ..functions import text as X
-from ..functions.dates import as_date, time_minutes, time_seconds, week_anchor
+from ..functions.dates import as_date, period_start, programme_week as week_anchor_of_day, recent_weeks, time_minutes, time_seconds, week_anchor, weekly_url
 from ..functions.missing import first_present, is_missing, or_default, present
-from ..operators import calendar as W, grouping as G, match as M, upsert as U
+from ..operators import calendar as W, documents as O, grouping as G, incremental as I, match as M, upsert as U
 from ..operators.dedup import first_per_key
 from ..operators.skew import spread_lookup
 from ..operators.staging import staged
 from ..sources.readers import film_screenings
+from ..sources.versions import Versions, hashed_part
 
 
 def union_sources(sources: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -57,11 +58,20 @@ def film_key() -> list[Column]:
     return [or_default(F.col("titre"), F.lit("")), F.col("annee"), or_default(F.col("realisateur"), F.lit(""))]
 
 
+REJECTS = {"no date": lambda: F.col("date").isNull(), "no time": lambda: is_missing(F.col("heure"))}
+
+
 def star_rows(films: DataFrame, run_ts: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Cinema, film and screening rows of nested films and the screenings rejected, with their ``reason``.
 
     Screenings name their film and cinema by the hash of the natural key, which is also the id of a new parent.
     """
+    cinemas, rows, judged = judged_rows(films, run_ts)
+    return cinemas, rows, good_screenings(judged), judged.filter("reason IS NOT NULL").drop("created_at")
+
+
+def judged_rows(films: DataFrame, run_ts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cinema and film rows, and all screenings with the ``reason`` of those to be rejected."""
     ts = F.lit(run_ts).cast("timestamp")
     base = films.withColumns({"cinema": or_default(F.col("cinema"), F.lit(K.DEFAULT_VENUE))})
     base = base.withColumns({"film_key": U.key_id(*film_key()), "cinema_key": U.key_id(F.col("cinema"))})
@@ -73,18 +83,21 @@ def star_rows(films: DataFrame, run_ts: str) -> tuple[DataFrame, DataFrame, Data
         "duree", F.coalesce("genres", F.array().cast("array<string>")).alias("genres"), "synopsis", F.col("imdbId").alias("imdb_id"), "poster",
         F.col("imdbRating").try_cast("decimal(3,1)").alias("imdb_rating"), "cast", "source", ts.alias("created_at"), "src_order", "row_order")
     slots = film_screenings(base, ["film_key", "cinema_key", "src_order", "row_order"])
-    good, bad = U.split_rejects(slots, [("no date", F.col("date").isNull()), ("no time", is_missing(F.col("heure")))])
-    seances = good.select("film_key", "cinema_key", "date", time_seconds(F.col("heure")).alias("heure"), "version", "resa_url",
-                          ts.alias("created_at"), "src_order", "row_order", "pos")
-    return cinemas, rows, seances, bad
+    return cinemas, rows, slots.withColumns({"reason": U.reject_reason([(name, broken()) for name, broken in REJECTS.items()]), "created_at": ts})
 
 
-def resolved(slots: DataFrame, cinemas: DataFrame, films: DataFrame) -> DataFrame:
-    """Screenings with the stored ids of their film and cinema, found by natural key; those without a parent are dropped."""
+def good_screenings(judged: DataFrame) -> DataFrame:
+    return judged.filter("reason IS NULL").select("film_key", "cinema_key", "date", time_seconds(F.col("heure")).alias("heure"), "version", "resa_url",
+                                                  "created_at", "src_order", "row_order", "pos")
+
+
+def resolved(slots: DataFrame, cinemas: DataFrame, films: DataFrame, every: bool = False) -> DataFrame:
+    """Screenings with the stored ids of their film and cinema, found by natural key; those without a parent are dropped,
+    or with ``every`` have NULL there."""
     one = lambda df, key, id_: first_per_key(df.select(key, F.col("id").alias(id_), "created_at"), [key], ["created_at", id_]).select(key, id_)
     c = one(cinemas.withColumn("cinema_key", U.key_id(F.col("name"))), "cinema_key", "cinema_id")
     f = one(films.withColumn("film_key", U.key_id(F.col("titre"), F.col("annee"), F.col("realisateur"))), "film_key", "film_id")
-    return M.star_join(slots, (c, "cinema_key"), (f, "film_key")).withColumn(
+    return M.star_join(slots, (c, "cinema_key"), (f, "film_key"), how="left" if every else "inner").withColumn(
         "id", U.key_id(F.col("film_id"), F.col("cinema_id"), F.col("date"), F.col("heure")))
 
 
@@ -111,6 +124,112 @@ def load(films: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame], run_t
     return new_cinemas, new_films, merged
 
 
+STAR = {"cinemas": schema.CINEMAS, "films": schema.FILMS, "seances": schema.SEANCES}
+FILM_FOLDERS, CINEMA_FOLDERS = 64, 8
+FILM_KEYS = ["titre", "annee", "realisateur"]
+
+
+def load_version(films: DataFrame, spark: SparkSession, root: str, run_ts: str, urls: DataFrame | None = None, null_safe: bool = True,
+                 film_folders: int = FILM_FOLDERS) -> DataFrame:
+    """Load nested films into the tables below ``root`` as one change, and give its report (measure, n).
+
+    Films and cinemas lie in folders by key hash, screenings by programme week. Only folders that hold a key or week of
+    this load are read and replaced; they, the rejected screenings, the addresses in ``urls`` (state) and the report
+    become visible together by the marker that is written last. The report is counted while the rows are written.
+    """
+    tables = Versions(spark, root)
+    mine = str(tables.version + 1)
+    cinemas, rows, judged = judged_rows(films, run_ts)
+    counts, kept = Observation(), Observation()
+    judged = staged(judged.observe(counts, F.count(F.lit(1)).alias("screenings"), F.count_if(F.col("reason").isNull()).alias("accepted"),
+                                   *[F.count_if(F.col("reason") == name).alias(f"rejected: {name}") for name in REJECTS]), "judged")
+    order = ["src_order", "row_order"]
+
+    def dimension(table, new, keys, folders, safe=True):
+        new = staged(first_per_key(new, keys, order).withColumn("part", hashed_part(keys, folders)), table)
+        touched = [r.part for r in new.select("part").distinct().collect()]                  # ``folders`` at most
+        merged = U.upsert(tables.read(table, STAR[table], touched), new, keys, order, "first", null_safe=safe)
+        tables.write(table, merged.withColumn("part", hashed_part(keys, folders)), touched)
+        return tables.read(table, STAR[table], touched, pending=True)
+
+    new_cinemas = dimension("cinemas", cinemas, ["name"], CINEMA_FOLDERS)
+    new_films = dimension("films", rows, FILM_KEYS, film_folders, null_safe)
+    slots = good_screenings(judged)
+    weeks = [r[0] for r in slots.select(week_part()).distinct().collect()]                   # programme weeks of the load
+    known = resolved(slots, new_cinemas, new_films, every=True)
+    lost = F.col("film_id").isNull() | F.col("cinema_id").isNull()
+    found = staged(known.observe(kept, F.count_if(~lost).alias("resolved"), F.count_if(lost).alias("unresolved")), "resolved").filter(~lost)
+    merged = U.upsert(tables.read("seances", schema.SEANCES, weeks), found, ["film_id", "cinema_id", "date", "heure"], [*order, "pos"], "last")
+    tables.write("seances", merged.withColumn("part", week_part()), weeks)
+    tables.write("rejects", judged.filter("reason IS NOT NULL").select("film_key", "cinema_key", "date", "heure", "version", "reason", F.lit(mine).alias("part")))
+    if urls is not None:
+        tables.write("state", urls.select("url").distinct().withColumn("part", F.lit(mine)))
+    measured = {**counts.get, **kept.get}
+    report = spark.createDataFrame(list(measured.items()), "measure string, n long")
+    tables.write("reports", report.withColumn("part", F.lit(mine)))
+    tables.commit()
+    return report
+
+
+def week_part() -> Column:
+    return week_anchor_of_day(F.col("date")).cast("string").alias("part")
+
+
+def open_star(spark: SparkSession, root: str, weeks: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cinemas, films, screenings) as the newest whole load left them; of the screenings all or some programme weeks."""
+    tables = Versions(spark, root)
+    return tuple(tables.read(name, kind, weeks if name == "seances" else None) for name, kind in STAR.items())
+
+
+def ingest_state(spark: SparkSession, root: str) -> DataFrame:
+    """Addresses that whole loads have recorded."""
+    return Versions(spark, root).read("state", schema.URL_STATE).distinct()
+
+
+# --- weekly documents -------------------------------------------------------------------------------------------
+
+def document_run(candidates: DataFrame, files: DataFrame, state: DataFrame, facts: DataFrame, run_date) -> tuple[DataFrame, DataFrame]:
+    """(film rows, outcomes) of printed programmes: candidates (url, cinema_id), files (url, text, grid).
+
+    Three guards, each before the work it saves. An address in ``state`` is skipped. An address whose week is stored is
+    only recorded; its file is not read. Of the files read, one whose own text names a stored week, where the address
+    names none, is only recorded; its grid is not parsed. The week in the text decides over that of the address; without
+    either the header does, seen from the run date. Outcomes: skip, record (week stored), missing (no file), empty (no
+    film), loaded; record and loaded are to be added to the state, the others come again.
+    """
+    plan = staged(I.plan_candidates(candidates, state, facts), "plan")
+    wanted = plan.filter("action = 'process'").select("url", "cinema_id", "start")
+    read = spread_lookup(wanted, first_per_key(files, ["url"], ["text"]).withColumn("there", F.lit(True)), ["url"])
+    said = read.withColumn("said", period_start(F.col("text"))).drop("text")
+    asked = said.filter("start IS NULL AND said IS NOT NULL").select("cinema_id", F.col("said").alias("start"), F.date_add("said", 6).alias("end"))
+    stored = I.covered_weeks(asked, facts, "cinema_id", "start", "end", F.col("date")).select("cinema_id", F.col("start").alias("said"), F.lit(True).alias("stored"))
+    checked = staged(spread_lookup(said, stored, ["cinema_id", "said"], spread_by=["url"]), "checked")
+    late = F.col("stored") & F.col("start").isNull()
+    grids = checked.filter("there").filter(~F.coalesce(late, F.lit(False))).select(
+        F.struct("cinema_id", "url").alias("doc_id"), "grid", F.coalesce("said", "start").alias("week"))
+    films = staged(O.grid_films(grids, run_date, F.col("week")).select("doc_id.*", "row_no", "titre", "version", "seances"), "films")
+    full = films.select("cinema_id", "url").distinct().withColumn("full", F.lit(True))
+    judged = checked.join(full, ["cinema_id", "url"], "left").select("cinema_id", "url", F.when(F.col("there").isNull(), "missing").when(late, "record")
+                                                                     .when(F.col("full"), "loaded").otherwise("empty").alias("action"))
+    return films, plan.filter("action != 'process'").select("cinema_id", "url", "action").unionByName(judged)
+
+
+def predicted_candidates(spark: SparkSession, cinemas: DataFrame, run_date, site: str, weeks: int = 3) -> DataFrame:
+    """Fallback candidates (cinema_id, url) where a page lists no file: the addresses of the latest weeks."""
+    return cinemas.select("cinema_id", F.explode(recent_weeks(run_date, weeks)).alias("week")).select("cinema_id", weekly_url(F.col("week"), site).alias("url"))
+
+
+def with_fallback(listed: DataFrame, cinemas: DataFrame, run_date, site: str) -> DataFrame:
+    """Listed candidates, and predicted ones for cinemas that list none."""
+    bare = cinemas.select("cinema_id").distinct().join(listed.select("cinema_id").distinct(), "cinema_id", "left_anti")
+    return listed.select("cinema_id", "url").unionByName(predicted_candidates(listed.sparkSession, bare, run_date, site))
+
+
+def recorded(outcomes: DataFrame) -> DataFrame:
+    """Addresses to add to the state after the films are stored."""
+    return outcomes.filter(F.col("action").isin("record", "loaded")).select("url").distinct()
+
+
 def weekly_run(sources: list[tuple[str, DataFrame]], tmdb: DataFrame | None, omdb: DataFrame | None, run_date, filter_week: bool = True) -> DataFrame:
     """Films of all sources, enriched and limited to the coming week. Without catalogs the lookup is left out."""
     films = as_films(union_sources(sources))

@@ -28,6 +28,7 @@ NODE = _struct(node_id="int", parent_id="int", depth="int", subtree_end="int", t
                own_text="string")
 RULE = _struct(kind="string", field="string", priority="int", tag="string", cls="string", attr="string", post="string",
                within_tag="string", within_cls="string")
+MARKER = _struct(table="string", part="string", at="long")
 URL_STATE = _struct(url="string")
 TMDB = _struct(id="long", imdb_id="string", title="string", year="int", poster_path="string", overview="string",
                vote_average="double", cast=T.ArrayType(_struct(name="string")))

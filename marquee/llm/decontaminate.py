@@ -6,6 +6,7 @@ from .dedup_exact import text_key
 
 WINDOW = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"   # what parts words, after A-Z are lowered
+MIXED_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"   # the same for texts that are not lowered
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RARE = 3                                         # postings lists of a phrase that are intersected before its words are compared
 
@@ -15,6 +16,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS), lambda w: w != "")
 
 
+def count_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), MIXED_SEPARATORS), lambda w: w != "")).cast("long")
+
+
 def phrases_of(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(item_id, phrase): each distinct window of an item; an item of fewer words is one phrase."""
     words = items.select(F.col(id_col).alias("item_id"), words_of(F.col(text_col)).alias("words")).filter(F.size("words") > 0)
@@ -23,31 +28,30 @@ def phrases_of(items: DataFrame, id_col: str, text_col: str, window: int) -> Dat
 
 
 def postings_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Positional postings (term, doc_id, text_key, position from 0) of the given terms in all whole texts."""
-    found = docs.select("doc_id", "text_key", F.posexplode("words").alias("position", "term"))
-    return found.join(terms.select("term"), "term")
+    """Positional postings (term_no, doc_key, position from 0) of the given terms (term, term_no) in all whole texts."""
+    found = docs.select("doc_key", F.posexplode("words").alias("position", "term"))
+    return found.join(terms, "term").select("term_no", "doc_key", "position")
 
 
-def phrase_terms(phrases: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(phrase_id, rank, term, shift): the terms of each phrase that occurs at all in order of their frequency, rarest first."""
-    each = phrases.select("phrase_id", F.size("phrase").alias("length"), F.posexplode("phrase").alias("shift", "term"))
-    counted = each.join(frequencies, "term").groupBy("phrase_id", "length").agg(F.sort_array(F.collect_list(F.struct("n", "shift", "term"))).alias("by"))
-    return counted.filter(F.size("by") == F.col("length")).select("phrase_id", F.posexplode("by").alias("rank", "t")).select("phrase_id", "rank", "t.term", "t.shift")
+def phrase_terms(phrases: DataFrame, terms: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(phrase_no, rank, term_no, shift): the terms of each phrase that occurs at all in order of their frequency, rarest first."""
+    each = phrases.select("phrase_no", F.size("phrase").alias("length"), F.posexplode("phrase").alias("shift", "term")).join(terms, "term")
+    counted = each.join(frequencies, "term_no").groupBy("phrase_no", "length").agg(F.sort_array(F.collect_list(F.struct("n", "shift", "term_no"))).alias("by"))
+    return counted.filter(F.size("by") == F.col("length")).select("phrase_no", F.posexplode("by").alias("rank", "t")).select("phrase_no", "rank", "t.term_no", "t.shift")
 
 
 def candidates(postings: DataFrame, ordered: DataFrame, rare: int = RARE) -> DataFrame:
-    """(phrase_id, doc_id, text_key, start): the offset-adjusted postings of the ``rare`` rarest terms, intersected from the rarest."""
-    place = ["phrase_id", "id", "text_key", "start"]
+    """(phrase_no, doc_key, start): the offset-adjusted postings of the ``rare`` rarest terms, intersected from the rarest."""
+    place = ["phrase_no", "doc_key", "start"]
 
     def listed(rank: int) -> DataFrame:
-        wanted = ordered.filter(F.col("rank") == rank).select("phrase_id", "term", "shift")
-        return postings.join(wanted, "term").select(
-            "phrase_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"), "text_key", (F.col("position") - F.col("shift")).alias("start"))
+        wanted = ordered.filter(F.col("rank") == rank).select("phrase_no", "term_no", "shift")
+        return postings.join(wanted, "term_no").select("phrase_no", "doc_key", (F.col("position") - F.col("shift")).alias("start"))
 
     found = listed(0).filter("start >= 0").distinct()
     for rank in range(1, rare):
-        short = ordered.groupBy("phrase_id").agg(F.max("rank").alias("last")).filter(F.col("last") < rank).select("phrase_id")  # phrases of fewer terms
-        found = found.join(listed(rank), place, "left_semi").unionByName(found.join(short, "phrase_id", "left_semi"))
+        short = ordered.groupBy("phrase_no").agg(F.max("rank").alias("last")).filter(F.col("last") < rank).select("phrase_no")  # phrases of fewer terms
+        found = found.join(listed(rank), place, "left_semi").unionByName(found.join(short, "phrase_no", "left_semi"))
     return found
 
 
@@ -62,48 +66,55 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     The index holds the postings of every item term in all documents. Each phrase starts from its rarest term, whose
     list is shifted by its place in the phrase and intersected with those of the next two; the words of the few places
-    left are then compared in full, on the documents' side.
+    left are then compared in full, on the documents' side. Documents travel as a key of eight bytes, so texts are read
+    again only where a place is left; two documents of one key are both compared.
     """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key"))
+    plain = plain.withColumn("id", key).withColumn("doc_key", F.xxhash64("id", "text_key"))
     listed = staged(phrases_of(items, item_col, item_text_col, window), "items")
-    # written, so that their size, not a guess, decides whether they are sent to every task; words hold no spaces
-    phrases = staged(listed.select("phrase").distinct().withColumn("phrase_id", F.unhex(F.md5(F.array_join("phrase", " ")))), "phrases")
-    terms = staged(phrases.select(F.explode("phrase").alias("term")).distinct(), "terms")
-    postings = staged(postings_of(plain.select("doc_id", "text_key", words_of(F.col("text")).alias("words")), terms), "postings")
-    ordered = staged(phrase_terms(phrases, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))), "ordered")
-    rare_terms = staged(ordered.filter(F.col("rank") < RARE).select("term").distinct(), "rare")
-    places = staged(candidates(staged(postings.join(rare_terms, "term"), "rare_postings"), ordered), "places")
-    by_doc = places.join(phrases, "phrase_id").groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "phrase", "phrase_id")).alias("found"))
-    joined = plain.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).join(by_doc, ["id", "text_key"], "left")
-    checked = joined.withColumn("words", words_of(F.col("text"))).select(
-        "doc_id", "id", "text_key", F.size("words").alias("n_words"), F.expr("filter(found, f -> slice(words, f.start + 1, size(f.phrase)) = f.phrase)").alias("found"))
-    spans = checked.withColumn("found", F.coalesce("found", F.expr("array()").cast(checked.schema["found"].dataType))).withColumn(
-        "spans", F.expr("array_sort(transform(found, f -> struct(f.start AS a, f.start + size(f.phrase) AS b)))"))
+    # written, so that their size, not a guess, decides whether they are sent to every task
+    phrases = staged(listed.select("phrase").distinct().withColumn("phrase_no", F.monotonically_increasing_id()), "phrases")
+    terms = staged(phrases.select(F.explode("phrase").alias("term")).distinct().withColumn("term_no", F.monotonically_increasing_id()), "terms")
+    postings = staged(postings_of(plain.select("doc_key", words_of(F.col("text")).alias("words")), terms), "postings")
+    ordered = staged(phrase_terms(phrases, terms, postings.groupBy("term_no").agg(F.count(F.lit(1)).alias("n"))), "ordered")
+    rare_terms = staged(ordered.filter(F.col("rank") < RARE).select("term_no").distinct(), "rare")
+    places = staged(candidates(postings.join(rare_terms, "term_no"), ordered), "places")
+    by_doc = staged(places.join(phrases, "phrase_no").groupBy("doc_key").agg(F.collect_list(F.struct("start", "phrase", "phrase_no")).alias("found")), "found")
+    read = plain.join(by_doc, "doc_key").dropDuplicates(["id", "text_key"])             # only documents with a place left
+    checked = read.withColumn("words", words_of(F.col("text"))).select(
+        "id", "text_key", F.expr("filter(found, f -> slice(words, f.start + 1, size(f.phrase)) = f.phrase)").alias("found")).filter(F.size("found") > 0)
+    spans = checked.withColumn("spans", F.expr("array_sort(transform(found, f -> struct(f.start AS a, f.start + size(f.phrase) AS b)))"))
     runs = spans.withColumn("hits", F.expr("""
         aggregate(spans, cast(array() AS array<struct<a:int,b:int>>), (runs, s) -> IF(size(runs) > 0 AND element_at(runs, -1).b >= s.a,
             concat(slice(runs, 1, size(runs) - 1), array(struct(element_at(runs, -1).a AS a, greatest(element_at(runs, -1).b, s.b) AS b))),
             concat(runs, array(s))))"""))
-    done = staged(runs.select("doc_id", "id", F.col("n_words").cast("long").alias("n_words"), "hits",
-                              F.expr("aggregate(hits, 0L, (n, h) -> n + h.b - h.a)").alias("n_hit"),
-                              F.expr("array_distinct(found.phrase_id)").alias("phrase_ids"), (F.size("found") > 0).alias("contaminated"), "text_key"), "hits")
+    done = staged(runs.select("id", "text_key", "hits", F.expr("aggregate(hits, 0L, (n, h) -> n + h.b - h.a)").alias("n_hit"),
+                              F.expr("array_distinct(found.phrase_no)").alias("phrase_nos")), "hits")
     # items by document only after each phrase counts once in it
-    told = done.select("id", "text_key", F.explode("phrase_ids").alias("phrase_id")).distinct()
-    names = listed.filter(F.col("item_id").isNotNull()).select(F.unhex(F.md5(F.array_join("phrase", " "))).alias("phrase_id"), F.col("item_id").cast("string").alias("item"))
-    items_of = told.join(names, "phrase_id").groupBy("id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return done.join(items_of, ["id", "text_key"], "left").select(
-        "doc_id", "n_words", "hits", "n_hit", F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"), "contaminated", "text_key")
-
-
-def near_matches(postings: DataFrame, phrases: DataFrame, slack: int) -> DataFrame:
-    """(phrase_id, doc_id, text_key, start): places where every term of a phrase stands at most ``slack`` words from its place.
-
-    The rarest term's postings give the starts; the other terms' postings of those documents are counted by place.
+    told = done.select("id", "text_key", F.explode("phrase_nos").alias("phrase_no"))
+    names = listed.filter(F.col("item_id").isNotNull()).join(phrases, "phrase").select("phrase_no", F.col("item_id").cast("string").alias("item"))
+    items_of = told.join(names, "phrase_no").groupBy("id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hit = staged(done.join(items_of, ["id", "text_key"], "left").drop("phrase_nos"), "hit")
+    counted = plain.select("doc_id", "id", "text_key", count_words(F.col("text")).alias("n_words"))
+    return counted.join(hit, ["id", "text_key"], "left").select(
+        "doc_id", "n_words", F.coalesce("hits", F.expr("cast(array() AS array<struct<a:int,b:int>>)")).alias("hits"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"), "text_key")
+
+
+def near_matches(postings: DataFrame, ordered: DataFrame, slack: int) -> DataFrame:
+    """(phrase_no, doc_key, start): places where every term of a phrase stands at most ``slack`` words from its place.
+
+    ``ordered`` is what ``phrase_terms`` gives. The rarest term's postings give the starts, with ``slack`` to either side;
+    every other term then looks only at the documents where its phrase has a start, rarest first, so common terms meet
+    few places.
     """
-    ordered = phrase_terms(phrases, postings.groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    lengths = ordered.groupBy("phrase_id").agg(F.count(F.lit(1)).alias("length"))
-    at = lambda df: df.select("phrase_id", "doc_id", "text_key", (F.col("position") - F.col("shift")).alias("start"), "rank")
-    every = at(postings.join(ordered, "term"))
-    first = every.filter("rank = 0").select("phrase_id", "doc_id", "text_key", F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)).alias("start")).distinct()
-    near = every.select("phrase_id", "doc_id", "text_key", "rank", F.explode(F.sequence(F.col("start") - slack, F.col("start") + slack)).alias("start"))
-    found = first.join(near, ["phrase_id", "doc_id", "text_key", "start"]).groupBy("phrase_id", "doc_id", "text_key", "start").agg(F.countDistinct("rank").alias("n"))
-    return found.join(lengths, "phrase_id").filter("n = length").select("phrase_id", "doc_id", "text_key", "start")
+    around = F.explode(F.sequence(F.col("position") - F.col("shift") - slack, F.col("position") - F.col("shift") + slack)).alias("start")
+    listed = lambda rank: postings.join(ordered.filter(F.col("rank") == rank), "term_no")
+    found = staged(listed(0).select("phrase_no", "doc_key", around).distinct(), "near")
+    longest = ordered.agg(F.max("rank")).first()[0] or 0
+    for rank in range(1, longest + 1):
+        short = ordered.groupBy("phrase_no").agg(F.max("rank").alias("last")).filter(F.col("last") < rank).select("phrase_no")
+        here = listed(rank).join(found.select("phrase_no", "doc_key").distinct(), ["phrase_no", "doc_key"], "left_semi").select("phrase_no", "doc_key", around)
+        found = staged(found.join(here, ["phrase_no", "doc_key", "start"], "left_semi").unionByName(found.join(short, "phrase_no", "left_semi")), "near")
+    return found

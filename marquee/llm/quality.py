@@ -10,7 +10,7 @@ from .dedup_exact import text_key
 
 ORDERS = (1, 2, 3)        # lengths of the byte n-grams
 SLOTS = 1 << 16           # hashed indicators
-TRAIN_ROWS = 6000         # most labelled rows that the fit reads: 8 kB each on the driver
+TRAIN_ROWS = 6000         # most labelled rows that the fit reads: 8 kB each in one task
 SMOOTHING = 1.0
 REPEATED = 977            # slot before those of repeated pairs
 STEADY = 30.0             # added to the squared length of a row, so that the few n-grams of a short text decide less
@@ -83,7 +83,7 @@ def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, chose
     alpha = np.zeros(len(rows))
     sign = np.where(labels == 1, 1.0, -1.0)
     share = {1.0: (labels[chosen] == 1).mean(), -1.0: (labels[chosen] == 0).mean()}
-    scaled = {int(i): ratio[rows[i]] / np.sqrt((ratio[rows[i]] ** 2).sum() + STEADY) for i in chosen}
+    scaled = {int(i): (ratio[rows[i]] / np.sqrt((ratio[rows[i]] ** 2).sum() + STEADY)).astype(np.float32) for i in chosen}
     for _ in range(EPOCHS):
         for i in rng.permutation(chosen):
             x, y = scaled[int(i)], sign[i]
@@ -134,10 +134,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = found.withColumn("_key", text_key("_text"))
     pairs = found.select("_id", "_y", "_key").distinct().orderBy(F.xxhash64("_id"), "_id", "_y", "_key").limit(rows)
     once = found.join(F.broadcast(pairs), ["_id", "_y", "_key"]).groupBy("_id", "_y", "_key").agg(F.first("_text").alias("_text"))
-    table = once.select("_y", "_text").mapInArrow(packed, "y int, bits binary").toArrow()
-    order = sorted(range(len(table)), key=lambda i: (table["bits"][i].as_py(), table["y"][i].as_py()))
-    kept = [np.flatnonzero(np.unpackbits(np.frombuffer(table["bits"][i].as_buffer(), np.uint8))) for i in order]
-    return fit(kept, np.array([table["y"][i].as_py() for i in order], dtype=np.int64))
+    bits = once.select("_y", "_text").mapInArrow(packed, "y int, bits binary")
+    # at most ``rows`` rows of 8 kB: one task fits them, the driver gets the model alone
+    model = bits.repartition(1).mapInArrow(fitted, "weights binary, ratio2 binary, bias double, slope double, shift double").first()
+    if model is None:
+        return fit([], np.zeros(0, np.int64))
+    arrays = {name: np.frombuffer(model[name], np.float32) for name in ("weights", "ratio2")}
+    return {**arrays, "bias": model.bias, "slope": model.slope, "shift": model.shift}
+
+
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Model of rows (y, bits), in an order of their own."""
+    rows = sorted((bits, y) for batch in batches for y, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    kept = [np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))).astype(np.uint16) for bits, _ in rows]
+    model = fit(kept, np.array([y for _, y in rows], dtype=np.int64))
+    columns = [pa.array([model[name].tobytes()], pa.binary()) for name in ("weights", "ratio2")]
+    yield pa.RecordBatch.from_arrays(columns + [pa.array([float(model[name])]) for name in ("bias", "slope", "shift")], ["weights", "ratio2", "bias", "slope", "shift"])
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:

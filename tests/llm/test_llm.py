@@ -139,11 +139,13 @@ def test_contamination(spark, texts):
 
 
 def test_near_matches(spark):
-    docs = spark.createDataFrame([(1, 1, "x alpha y beta gamma".split()), (2, 2, "gamma far away beta alpha".split())], "doc_id long, text_key long, words array<string>")
-    phrases = spark.createDataFrame([(7, ["alpha", "beta", "gamma"])], "phrase_id long, phrase array<string>")
-    postings = decontaminate.postings_of(docs, phrases.select(F.explode("phrase").alias("term")))
-    assert {r.doc_id for r in decontaminate.near_matches(postings, phrases, 1).collect()} == {1}
-    assert decontaminate.near_matches(postings, phrases, 0).count() == 0
+    docs = spark.createDataFrame([(1, "x alpha y beta gamma".split()), (2, "gamma far away beta alpha".split()), (3, "delta".split())], "doc_key long, words array<string>")
+    phrases = spark.createDataFrame([(7, ["alpha", "beta", "gamma"]), (8, ["delta"]), (9, ["alpha", "absent"])], "phrase_no long, phrase array<string>")
+    terms = phrases.select(F.explode("phrase").alias("term")).distinct().withColumn("term_no", F.xxhash64("term"))
+    postings = decontaminate.postings_of(docs, terms)
+    ordered = decontaminate.phrase_terms(phrases, terms, postings.groupBy("term_no").agg(F.count(F.lit(1)).alias("n")))
+    found = lambda slack: {(r.phrase_no, r.doc_key) for r in decontaminate.near_matches(postings, ordered, slack).collect()}
+    assert found(1) == {(7, 1), (8, 3)} and found(0) == {(8, 3)} and found(5) == {(7, 1), (7, 2), (8, 3)}
 
 
 def test_passages(spark, texts):

@@ -205,13 +205,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left = open_only(ranked, roots)
         heaviest = left.withColumn("k", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("hub")))).filter(F.col("k") <= CENTRES)
         offered = left.join(heaviest.select("band", F.col("hub").alias("centre"), F.col("root").alias("centre_root")), "band").filter("root != centre_root")
-        pairs = offered.select(F.col("centre.node").alias("a"), F.col("hub.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        judged = pairs.join(low("b"), "b").join(low("a"), "a").select("a", "b", estimate(F.col("low_a"), F.col("low_b")).alias("e")).filter(F.col("e") >= least)
-        best = judged.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("e"), "a"))).filter(F.col("k") <= TRIES)
-        fresh = staged(best.select("a", "b"), "likely")
-        if fresh.isEmpty():
+        # the few centres that share most bands with a node, before any signature is read
+        counted = offered.groupBy(F.col("centre.node").alias("a"), F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("n")).join(tried, ["a", "b"], "left_anti")
+        best = counted.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).filter(F.col("k") <= TRIES)
+        offers = staged(best.select("a", "b"), "offers")
+        if offers.isEmpty():
             break
-        tried = tried.union(fresh)
+        tried = tried.union(offers)
+        fresh = staged(offers.join(low("b"), "b").join(low("a"), "a").filter(estimate(F.col("low_a"), F.col("low_b")) >= least).select("a", "b"), "likely")
         links = staged(links.union(confirmed(fresh, nodes, plain, similar)), "links")
         roots = staged(components(links), "roots")
 

@@ -18,8 +18,9 @@ BITS = 2                      # low bits of each minimum that the packed signatu
 BAND = 4                      # minima of a band: 32 bands miss a pair of similarity 0.75 once in 190,000
 SIMILAR = 75                  # percent
 SLACK = 0.23                  # estimates this far below are still confirmed on full sets: 5 standard errors
-# rounds with further centres before pairs across components are compared: centres that a bucket offers, links that a node tries
-STAR_ROUNDS, CENTRES, TRIES = 2, 8, 3
+# rounds with further centres before pairs across components are compared: centres that a bucket offers, those of which a
+# node reads the signature, links that it tries
+STAR_ROUNDS, CENTRES, OFFERS, TRIES = 3, 8, 16, 3
 _rng = np.random.default_rng(7)
 MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -207,12 +208,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         offered = left.join(heaviest.select("band", F.col("hub").alias("centre"), F.col("root").alias("centre_root")), "band").filter("root != centre_root")
         # the few centres that share most bands with a node, before any signature is read
         counted = offered.groupBy(F.col("centre.node").alias("a"), F.col("hub.node").alias("b")).agg(F.count(F.lit(1)).alias("n")).join(tried, ["a", "b"], "left_anti")
-        best = counted.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).filter(F.col("k") <= TRIES)
-        offers = staged(best.select("a", "b"), "offers")
-        if offers.isEmpty():
+        few = counted.withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), "a"))).filter(F.col("k") <= OFFERS).select("a", "b")
+        judged = staged(few.join(low("b"), "b").join(low("a"), "a").select("a", "b", estimate(F.col("low_a"), F.col("low_b")).alias("e")), "judged")
+        if judged.isEmpty():
             break
-        tried = tried.union(offers)
-        fresh = staged(offers.join(low("b"), "b").join(low("a"), "a").filter(estimate(F.col("low_a"), F.col("low_b")) >= least).select("a", "b"), "likely")
+        best = judged.filter(F.col("e") >= least).withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("e"), "a"))).filter(F.col("k") <= TRIES)
+        fresh = staged(best.select("a", "b"), "likely")
+        tried = tried.union(fresh).union(judged.filter(F.col("e") < least).select("a", "b"))
         links = staged(links.union(confirmed(fresh, nodes, plain, similar)), "links")
         roots = staged(components(links), "roots")
 

@@ -20,7 +20,7 @@ SIMILAR = 75                  # percent
 SLACK = 0.23                  # estimates this far below are still confirmed on full sets: 5 standard errors
 # rounds with further centres before pairs across components are compared: centres that a bucket offers, those of which a
 # node reads the signature, links that it tries
-STAR_ROUNDS, CENTRES, OFFERS, TRIES = 3, 8, 16, 3
+STAR_ROUNDS, CENTRES, OFFERS, TRIES = 2, 8, 16, 3
 _rng = np.random.default_rng(7)
 MULTIPLY = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)

@@ -136,20 +136,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     once = found.join(F.broadcast(pairs), ["_id", "_y", "_key"]).groupBy("_id", "_y", "_key").agg(F.first("_text").alias("_text"))
     bits = once.select("_y", "_text").mapInArrow(packed, "y int, bits binary")
     # at most ``rows`` rows of 8 kB: one task fits them, the driver gets the model alone
-    model = bits.repartition(1).mapInArrow(fitted, "weights binary, ratio2 binary, bias double, slope double, shift double").first()
+    model = bits.repartition(1).mapInArrow(fitted, "weights binary, ratio2 binary, bias double, slope double, shift double, rows bigint").first()
     if model is None:
-        return fit([], np.zeros(0, np.int64))
+        return {**fit([], np.zeros(0, np.int64)), "rows": 0}
     arrays = {name: np.frombuffer(model[name], np.float32) for name in ("weights", "ratio2")}
-    return {**arrays, "bias": model.bias, "slope": model.slope, "shift": model.shift}
+    return {**arrays, "bias": model.bias, "slope": model.slope, "shift": model.shift, "rows": model.rows}
 
 
 def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Model of rows (y, bits), in an order of their own."""
+    """Model of rows (y, bits), in an order of their own, and the number of these rows."""
     rows = sorted((bits, y) for batch in batches for y, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
     kept = [np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))).astype(np.uint16) for bits, _ in rows]
     model = fit(kept, np.array([y for _, y in rows], dtype=np.int64))
     columns = [pa.array([model[name].tobytes()], pa.binary()) for name in ("weights", "ratio2")]
-    yield pa.RecordBatch.from_arrays(columns + [pa.array([float(model[name])]) for name in ("bias", "slope", "shift")], ["weights", "ratio2", "bias", "slope", "shift"])
+    columns += [pa.array([float(model[name])]) for name in ("bias", "slope", "shift")] + [pa.array([len(rows)], pa.int64())]
+    yield pa.RecordBatch.from_arrays(columns, ["weights", "ratio2", "bias", "slope", "shift", "rows"])
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates as D
 from ..functions.binding import let
+from ..operators.calendar import in_week
 from ..operators.skew import spread_lookup
 from .registry import Tables
 
@@ -211,9 +212,12 @@ def omdb(t: Tables) -> DataFrame:
         na(7, F.concat((i % 9).cast("string"), F.lit(".5"))).alias("imdbRating"), na(8, F.concat(F.lit("star "), i.cast("string"))).alias("Actors"))
 
 
-def film_rows(t: Tables) -> DataFrame:
-    """DI9: nested film rows, one per (brand, supplier, programme week), with their screenings as a list."""
+def film_rows(t: Tables, run_date=None) -> DataFrame:
+    """DI9: nested film rows, one per (brand, supplier, programme week), with their screenings as a list; with a run date
+    those of the coming seven days only, cut before they are nested."""
     rows = brand_screenings(t).withColumn("week", D.programme_week(F.col("date")))
+    if run_date is not None:
+        rows = rows.filter(in_week(F.col("date"), run_date))
     slot = F.struct("date", "heure", "version", F.when(F.col("version") == "VO", F.lit("https://x.example/r")).alias("resa_url"))
     nested = rows.groupBy("p_brand", "l_suppkey", "week").agg(F.array_sort(F.collect_set(slot)).alias("seances"))
     return nested.select(

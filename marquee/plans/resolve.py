@@ -188,7 +188,7 @@ def current_week(t):
 
 @query("nonempty_groups", f"""WITH {SLOTS} SELECT l_suppkey, p_brand, count(*) AS n FROM s WHERE day >= '1997-03-14' AND day < '1997-03-21' GROUP BY l_suppkey, p_brand, w""")
 def nonempty_groups(t):
-    films = W.current_week_nested(DI.film_rows(t).withColumn("seances", F.array_distinct("seances")), "1997-03-14")
+    films = W.current_week_nested(DI.film_rows(t, "1997-03-14").withColumn("seances", F.array_distinct("seances")), "1997-03-14")
     return films.select(F.replace("cinema", F.lit("Salle "), F.lit("")).cast("bigint").alias("l_suppkey"), F.col("titre").alias("p_brand"), F.size("seances").cast("bigint").alias("n"))
 
 

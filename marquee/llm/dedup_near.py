@@ -127,6 +127,11 @@ def estimate(x: Column, y: Column, hashes: int = HASHES) -> Column:
     return (equal / hashes - chance) / (1 - chance)
 
 
+def first_shared(x: Column, y: Column) -> Column:
+    """The first band that two nodes have in common: a pair of several buckets is taken up in this one only."""
+    return F.coalesce(*[F.when(x[j] == y[j], x[j]) for j in range(HASHES // BAND)])
+
+
 def sets_of(wanted: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted nodes; ``texts`` (doc_id, text_key, text) has the rows behind ``nodes``."""
     holders = nodes.join(wanted, "node").select("node", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("id"), "text_key")
@@ -226,10 +231,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other = side(left, "b").withColumnRenamed("band", "band_b")
     likely = staged(side(left, "a").join(other, (F.col("band") == F.col("band_b")) & (F.col("root_a") != F.col("root_b")) & near, "left_semi")
                     .select("band", *[F.col(f"{x}_a").alias(x) for x in ("node", "root", "low")]), "likely_nodes")
-    fitted = likely.join(most_shared(likely.select("node").distinct(), nodes, plain), "node")
+    fitted = likely.join(most_shared(likely.select("node").distinct(), nodes, plain), "node").join(nodes.select("node", "bands"), "node")
     fewest = F.least("common_a", "common_b")
     across = side(fitted, "a").join(side(fitted, "b"), "band").filter(
         (F.col("root_a") < F.col("root_b")) & ((100 + similar) * fewest >= similar * (F.col("size_a") + F.col("size_b")))
+        & (first_shared(F.col("bands_a"), F.col("bands_b")) == F.col("band"))
         & (estimate(F.col("fine_a"), F.col("fine_b"), FINE) >= similar / 100 - FINE_SLACK))
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = staged(ordered(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct().join(ordered(tried), ["a", "b"], "left_anti"), "across")

@@ -1,6 +1,11 @@
 """URL filter: rules by host and path, else naive Bayes on the words of host and path."""
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.skew import spread_lookup
 from ..operators.staging import staged
 
 # fixed values: (host, path, verdict)
@@ -34,26 +39,48 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def best_split(label: str, known: dict[tuple[int, int], float], unseen: float) -> list[str]:
+    """Likeliest words of a label, from the left: each end keeps its best score and where the last word begins.
+
+    ``known`` holds the scores of counted words by (end, letters); any other string of k letters scores ``unseen - k``.
+    Of equal scores the longer last word wins.
+    """
+    scores, back = [0.0], [0]
+    for end in range(1, len(label) + 1):
+        score, size = max((scores[end - k] + known.get((end, k), unseen - k), k) for k in range(1, min(end, WORD_PART) + 1))
+        scores.append(score)
+        back.append(end - size)
+    words, end = [], len(label)
+    while end:
+        words.append(label[back[end]:end])
+        end = back[end]
+    return words[::-1]
+
+
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
     """(label, words): the most probable split of each distinct label (letters a-z only) under unigram word counts.
 
-    All substrings of a label are looked up at once by a join, so the counts are never sent to every task. The best
-    split is then found from the left in the label's own row (Viterbi): each position keeps its best score and words.
+    The substrings of all labels are looked up at once by a join, so the counts are never sent to every task; a label
+    travels there as a digest and comes back with the counted ones among its substrings, at most WORD_PART a letter.
+    Viterbi then takes time and memory that grow with the label's length. A frequent word is spread over tasks.
     """
-    total = F.lit(float(counts.agg(F.sum("n")).first()[0] or 0) + 1)
-    spans = labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("end")).select(
-        "label", "end", F.explode(F.sequence(F.greatest(F.lit(1), F.col("end") - WORD_PART + 1), F.col("end"))).alias("start"))
-    spans = spans.withColumn("word", F.expr("substring(label, start, end - start + 1)"))
-    known = spans.join(counts, "word", "left")
-    scored = known.withColumn("score", F.when(F.col("n").isNotNull(), F.log10(F.col("n")) - F.log10(total))
-                              .otherwise(F.log10(F.lit(UNSEEN)) - F.log10(total) - F.length("word")))
-    ends = scored.groupBy("label", "end").agg(F.collect_list(F.struct("start", "score", "word")).alias("parts"))  # at most WORD_PART
-    rows = ends.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("end", "parts"))).alias("ends"))       # one for each letter
-    step = lambda best, end: F.concat(best, F.array(F.array_max(F.transform(end.parts, lambda p: F.struct(
-        (F.element_at(best, p.start.cast("int")).score + p.score).alias("score"),
-        F.concat(F.element_at(best, p.start.cast("int")).words, F.array(p.word)).alias("words"))))))
-    start = F.expr("array(named_struct('score', 0D, 'words', cast(array() AS array<string>)))")
-    return rows.select("label", F.element_at(F.aggregate("ends", start, step), -1).words.alias("words"))
+    total = float(counts.agg(F.sum("n")).first()[0] or 0) + 1
+    keyed = labels.select(F.md5("label").alias("key"), "label")
+    ends = keyed.select("key", F.explode(F.expr(
+        f"transform(sequence(1, length(label)), e -> struct(e AS end, substring(label, greatest(1, e - {WORD_PART - 1}), least({WORD_PART}, e)) AS tail))")).alias("at"))
+    spans = ends.filter("length(at.tail) > 1").select("key", "at.end", "at.tail", F.explode(F.expr("sequence(2, length(at.tail))")).alias("size")).select(
+        "key", "end", "size", F.expr("right(tail, size)").alias("word"))       # counted words have two letters at least
+    known = spread_lookup(spans, counts, ["word"], how="inner", spread_by=["key", "end"])
+    found = known.groupBy("key").agg(F.collect_list("end").alias("ends"), F.collect_list("size").alias("sizes"), F.collect_list("n").alias("ns"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unseen = math.log10(UNSEEN / total)
+        for batch in batches:
+            words = [best_split(label, {(e, k): math.log10(n / total) for e, k, n in zip(ends or (), sizes or (), ns or ())}, unseen)
+                     for label, ends, sizes, ns in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
+
+    return keyed.join(found, "key", "left").select("label", "ends", "sizes", "ns").mapInArrow(split, "label string, words array<string>")
 
 
 def pieces(value: Column) -> Column:

@@ -1,5 +1,6 @@
 """Secrets in texts: key patterns, and random strings by their low number of characters per token."""
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,7 +53,11 @@ def known(string: str, encode, ratio: float = RATIO) -> bool:
 
 
 def random_spans(string: str, encode, ratio: float = RATIO) -> list[list[tuple[int, int]]]:
-    """Places in a candidate that look random: the whole, then the runs of its pieces between the readable ones."""
+    """Places in a candidate that look random: the whole, then the runs of its pieces between the readable ones.
+
+    Three levels, each within the one before it: the whole, the widest of the others, and pieces inside of those. The
+    places of a level are in order and apart.
+    """
     looks = lambda s: len(s) >= LEAST and not known(s, encode, ratio) and len(s) < ratio * len(encode(s))
     pieces = [m.span() for m in PIECE.finditer(string)]
     runs, run = [], None
@@ -64,11 +69,29 @@ def random_spans(string: str, encode, ratio: float = RATIO) -> list[list[tuple[i
             runs.append(run)
         else:
             run[1] = b
-    runs = [tuple(r) for r in runs]
-    found = runs + [p for p in pieces if p not in runs]      # a piece may be random where its run is not
-    found = [(a, b) for a, b in found if (a, b) != (0, len(string)) and looks(string[a:b])]
-    inner = [f for f in found if not any(f != r and r[0] <= f[0] and f[1] <= r[1] for r in found)]
-    return [[(0, len(string))] if looks(string) else [], inner, [f for f in found if f not in inner]]
+    places = {tuple(r) for r in runs} | set(pieces)          # a piece may be random where its run is not
+    inner, within = [], []
+    for a, b in sorted(places - {(0, len(string))}, key=lambda p: (p[0], -p[1])):
+        if looks(string[a:b]):
+            (within if inner and b <= inner[-1][1] else inner).append((a, b))
+    return [[(0, len(string))] if looks(string) else [], inner, within]
+
+
+class Taken:
+    """Places already taken, as disjoint stretches in order; whether a place is free takes a binary search."""
+
+    def __init__(self, spans):
+        self.starts, self.ends = [], []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_right(self.ends, a)
+        return i == len(self.starts) or self.starts[i] >= b
 
 
 def text_spans(text: str, encode, ratio: float = RATIO) -> list[tuple[int, int, int, str]]:
@@ -81,13 +104,15 @@ def text_spans(text: str, encode, ratio: float = RATIO) -> list[tuple[int, int,
     tried = []
     for m in CANDIDATE.finditer(text):  # a hex run of 32 lies within a candidate of 20
         found += [(h.start(), 2, h.end(), h[0]) for h in HEX.finditer(text, m.start(), m.end())]
-        tried.append([[(m.start() + a, 3, m.start() + b, m[0][a:b]) for a, b in spans] for spans in random_spans(m[0], encode, ratio)])
-    base = sorted(found)
-    extra = []
-    for levels in tried:   # of spans within one another the widest that is free
+        tried.append((m.start(), random_spans(m[0], encode, ratio)))
+    base = Taken((a, b) for a, _, b, _ in found)
+    for at, levels in tried:   # of spans within one another the widest that is free
+        mine: list[tuple[int, int]] = []
         for spans in levels:
-            extra += [e for e in spans if not any(b[0] < e[2] and e[0] < b[2] for b in base + extra)]
-    return sorted(base + extra)
+            here = Taken(mine)
+            mine += [(a, b) for a, b in spans if base.free(at + a, at + b) and here.free(a, b)]
+        found += [(at + a, 3, at + b, text[at + a:at + b]) for a, b in mine]
+    return sorted(found)
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:

@@ -1,9 +1,11 @@
 """The operators for training text against brute force on small cases."""
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -260,6 +262,34 @@ def test_secrets_of_letters_parts_and_prefixes():
         assert spans(plain) == []
 
 
+ASSIGNED = r"""((?:p|P)(?:a|A)(?:s|S)(?:s|S)(?:w|W)(?:o|O)(?:r|R)(?:d|D)|(?:p|P)(?:a|A)(?:s|S)(?:s|S)(?:w|W)(?:d|D)|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def test_base_spans_follow_the_patterns(spark):
+    rng = random.Random(11)
+    parts = ["token", "Password", "api_key", "APIKEY", "secret", '"', "'", " ", " ", "=", ":", "AKIA", "\n", "é", "x-", "a.b", "deadbeef" * 4, "0" * 31, "Q7Q7Q7Q7Q7Q7", "abcd1234", "AKIA" + "Z" * 12]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(7, "token=abcdefgh"), (7, "token=abcdefgh"), (None, "secret: abcdefgh")]
+    got = collections.defaultdict(list)
+    for r in secrets.secret_spans(frame(spark, rows)).collect():
+        got[r.doc_id].append([(s.kind, s.start, s.end) for s in r.spans])
+    for i, t in rows:
+        base = [("assign", *m.span()) for m in re.finditer(ASSIGNED, t) if len(m[2]) >= 8]
+        base += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16] + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        want = sorted(base, key=lambda s: (s[1], ["assign", "access", "hex"].index(s[0])))
+        assert want in [[s for s in spans if s[0] != "random"] for spans in got[i]]
+    assert len(got[7]) == 3 and sum(map(len, got.values())) == len(rows)
+
+
+def test_secrets_of_long_texts_are_linear():
+    rng, encode = random.Random(4), secrets.encoder(None).encode_ordinary
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    for between in (" ", "-", " readable "):
+        keys = [key() for _ in range(20_000)]
+        spent = time.process_time()
+        found = [v for _, _, _, v in secrets.text_spans(between.join(keys), encode)]
+        assert time.process_time() - spent < 20 and (found == [between.join(keys)] if between == "-" else set(found) <= set(keys) and len(found) > 19_900)
+
+
 def test_quality(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
@@ -343,6 +373,50 @@ def test_urls(spark):
     assert got[6].host_words == ["cheap", "org", "pills"] and got[6].verdict == "block"
 
 
+def test_segmentation_is_the_best_of_all_splits(spark):
+    rng = random.Random(2)
+    counted = {"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))): rng.randint(1, 500) for _ in range(25)}
+    total = sum(counted.values()) + 1
+    score = lambda w: math.log10(counted[w] / total) if w in counted else math.log10(urls.UNSEEN / total) - len(w)
+    labels = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(60)}) + ["zzzzzzz"]
+    got = {r.label: r.words for r in urls.segment(spark.createDataFrame([(x,) for x in labels], "label string"), spark.createDataFrame(list(counted.items()), "word string, n long")).collect()}
+    for x in labels:
+        cuts = ([x[a:b] for a, b in zip((0, *at), (*at, len(x)))] for k in range(len(x)) for at in itertools.combinations(range(1, len(x)), k))
+        assert "".join(got[x]) == x and math.isclose(sum(map(score, got[x])), max(sum(map(score, c)) for c in cuts))
+
+
+def test_url_verdicts_follow_rules_and_counts(spark):
+    """Rules by plain code on whole tables, naive Bayes by a direct computation, repeated and NULL rows, very long urls."""
+    rng = random.Random(6)
+    hosts = ["a.com", "Example.com", "www.example.com", "x.example.com", "b.net", "notnet", "c.org", "cheap.net", "net", "d.org:80", "ab-cd.org", ""]
+    rows = [(i, "http://" + rng.choice(hosts) + rng.choice(["", "/", "/en/", "/en/x", "/es/", "/fr/a", "/fr", "?q=/en/", "#x", "/cheap/en"]), "ab cd cheap example") for i in range(200)]
+    rows += [(3, rows[3][1], None), (None, None, ""), (500, "x.com", None), (501, "http://" + "cheapexample" * 800 + ".org/" + "p/" * 3000, None)]
+    docs = spark.createDataFrame([(*r, "x", 1.0, 2) for r in rows], "page_id long, url string, html string, word string, odds double, salt long")
+    got = urls.url_verdicts(docs).collect()
+    assert len(got) == len(rows)
+    parts = {}
+    for r in got:
+        parts.setdefault(r.page_id, r)
+    judged = collections.Counter()
+    tokens = lambda r: [("host", w) for w in r.host_words] + [("path", w) for w in re.split("[^a-z0-9]+", r.path.lower()) if w]
+    for i, u, _ in rows:
+        rest = (u or "").partition("://")[2]
+        host = re.match("[^/?#]*", rest)[0].lower()
+        path = re.match("[^?#]*", rest[len(host):])[0]
+        fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (parts[i].host, parts[i].path) == (host, path) and parts[i].rule == (max(fits)[1] if fits else None)
+        if fits:
+            assert parts[i].verdict == max(fits)[2]
+            judged[max(fits)[2]] += 1
+    seen = {v: collections.Counter(w for r in got if r.rule and r.verdict == v for _, w in tokens(r)) for v in ("block", "allow")}
+    known = {w for r in got for _, w in tokens(r)}
+    share = lambda w, v: math.log((seen[v][w] + urls.SMOOTHING) / (sum(seen[v].values()) + urls.SMOOTHING * (len(known) + 1)))
+    for r in got:
+        odds = math.log((judged["block"] + 1) / (judged["allow"] + 1)) + sum(share(w, "block") - share(w, "allow") for _, w in tokens(r))
+        assert math.isclose(r.log_odds, odds, rel_tol=1e-6, abs_tol=1e-6) and (r.rule or (r.verdict == "block") == (odds > 0))
+    assert parts[501].host_words.count("cheap") == 800
+
+
 def test_one_document_of_each_near_component(spark):
     words = lambda c: [f"{c}{k}" for k in range(60)]
     a, b, c, d = (" ".join(words(x)) for x in "abcd")

@@ -10,7 +10,7 @@ from ..sources.versions import Versions
 from ..streaming import arrivals as S
 from . import derived as DI, weekly
 from .pages import WEEK_SQL
-from .registry import query
+from .registry import ORACLES, query
 from .resolve import DAY_SQL, HEURE_SQL, OMDB, TMDB, line
 from .scalars import ANCHOR, URL_SQL
 
@@ -135,6 +135,16 @@ def load_versions(t):
     return star.select("titre", "annee", "cinema", text(F.col("date")).alias("day"), "heure", "version")
 
 
+@query("loaded_checks", f"""WITH {SPOILT_SQL}, k AS (SELECT * FROM a WHERE w >= '1997-03-12' OR supp % 2 = 0), s AS (SELECT DISTINCT titre, annee, supp, day, heure FROM g WHERE w >= '1997-03-12' OR supp % 2 = 0),
+    n AS (SELECT (SELECT count(DISTINCT supp) FROM k) AS n_cinemas, (SELECT count(DISTINCT (titre, annee)) FROM k) AS n_films, (SELECT count(*) FROM s) AS n_joined, (SELECT count(DISTINCT (titre, annee, supp)) FROM s) AS n_groups)
+    SELECT array_to_string(list_filter([CASE WHEN n_cinemas < 4 THEN 'Expected ≥4 cinemas, got ' || n_cinemas END, CASE WHEN n_films < 10 THEN 'Expected ≥10 films, got ' || n_films END,
+        CASE WHEN n_joined < 1 THEN 'No seances found' END, CASE WHEN n_groups < 10 THEN 'Expected ≥10 film+cinema groups, got ' || n_groups END], lambda x: x IS NOT NULL), '; ') AS failures, n_cinemas, n_films, n_joined, 0 AS n_orphans, n_groups FROM n""")
+def loaded_checks(t):
+    """Whether the tables that two loads and a broken one left are fit to be read."""
+    root, _ = two_loads(t, broken=True)
+    return weekly.checked_star(*weekly.open_star(t.spark, root)).withColumn("failures", F.array_join("failures", "; "))
+
+
 @query("ingest_state", f"WITH a AS (SELECT {WEEK_SQL} AS a, l_suppkey FROM lineitem) SELECT DISTINCT {URL_SQL} AS url FROM a WHERE a >= '1997-03-12' OR l_suppkey % 2 = 0")
 def ingest_state(t):
     """Addresses recorded by whole loads; those of a load that broke off are not there."""
@@ -186,6 +196,21 @@ def weekly_documents(t):
     return told.select("cinema_id", "week", "action", F.coalesce("n_films", F.lit(0)).cast("bigint").alias("n_films"), F.coalesce("n_slots", F.lit(0)).cast("bigint").alias("n_slots"))
 
 
+@query("calendar_details", f"""WITH d AS ({ORACLES["detail_page"]}) SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 > 0 THEN p_name END AS titre, CASE WHEN l_linenumber % 2 = 0 THEN 'own' ELSE d.poster END AS poster, d.realisateur,
+    CASE WHEN l_linenumber % 3 = 0 THEN 2001 ELSE coalesce(d.annee, CASE WHEN l_linenumber % 3 = 1 THEN 0 END) END AS annee, d.duree, coalesce(d.actors, '') AS actors, d.synopsis
+    FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN d ON d.page_id = l_partkey AND l_linenumber % 4 > 0 AND l_partkey % 5 > 0""")
+def calendar_details(t):
+    """Films of a calendar filled from the pages of their works: films without a slug, works without a page, own values kept."""
+    n = F.col("l_linenumber")
+    listed = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat_ws("|", text(F.col("l_orderkey")), text(n)).alias("cinema"), F.when(n % 4 > 0, F.col("p_name")).alias("titre"), F.when(n % 4 > 0, text(F.col("l_partkey"))).alias("slug"),
+        F.when(n % 2 == 0, "own").alias("poster"), F.when(n % 3 == 0, 2001).when(n % 3 == 1, 0).alias("annee"), F.lit("").alias("cast"), F.array().cast("array<struct<date:date>>").alias("seances"))
+    pages = DI.detail_pages(t).filter("page_id % 5 > 0").select(text(F.col("page_id")).alias("slug"), "html")
+    films = weekly.weekly_run([("calendar", listed)], None, None, DI.RUN_DATE, filter_week=False, details=pages)
+    key = F.split("cinema", r"\|")
+    return films.select(key[0].cast("bigint").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), "titre", "poster", "realisateur", "annee", "duree", F.col("cast").alias("actors"), "synopsis")
+
+
 @query("read_path", f"""WITH {FILM_SQL}, g AS (SELECT DISTINCT p_brand AS titre, l_suppkey % 20 + 1990 AS annee, 'Salle ' || l_suppkey AS name, day, heure, max(version) AS version FROM f
     WHERE day >= '1997-03-12' AND day < '1997-03-19' GROUP BY p_brand, l_suppkey, day, heure)
     SELECT titre, name, string_agg(day || ' ' || heure || ' ' || version, ';' ORDER BY day, heure) AS slots FROM g GROUP BY titre, annee, name""")

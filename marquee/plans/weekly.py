@@ -2,11 +2,13 @@
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from .. import constants as K, schema
-from ..functions import text as X
+from ..functions import html as H, text as X
 from ..functions.dates import as_date, period_start, programme_week as week_anchor_of_day, recent_weeks, time_minutes, time_seconds, week_anchor, weekly_url
 from ..functions.missing import first_present, is_missing, or_default, present
-from ..operators import calendar as W, documents as O, grouping as G, incremental as I, match as M, upsert as U
+from ..functions.records import detail_page
+from ..operators import calendar as W, documents as O, grouping as G, incremental as I, match as M, profile as P, upsert as U
 from ..operators.dedup import first_per_key
+from ..operators.fill import detail_fill
 from ..operators.skew import spread_lookup
 from ..operators.staging import staged
 from ..sources.readers import film_screenings
@@ -230,9 +232,48 @@ def recorded(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter(F.col("action").isin("record", "loaded")).select("url").distinct()
 
 
-def weekly_run(sources: list[tuple[str, DataFrame]], tmdb: DataFrame | None, omdb: DataFrame | None, run_date, filter_week: bool = True) -> DataFrame:
-    """Films of all sources, enriched and limited to the coming week. Without catalogs the lookup is left out."""
+def detailed(films: DataFrame, pages: DataFrame) -> DataFrame:
+    """Missing fields of films filled from the page of their work; pages (slug, html) and films meet by ``slug``.
+
+    Only the pages that some film names are parsed, each once however many films name it. Films without a slug or
+    without a page stay as they are, and a field that the page lacks too keeps its value.
+    """
+    films = staged(films, "listed")
+    asked = films.filter(~is_missing(F.col("slug"))).select("slug").distinct()
+    wanted = first_per_key(pages.select("slug", "html").join(asked, "slug", "left_semi"), ["slug"], ["html"])
+    details = H.parse_pages(wanted).select("slug", detail_page(F.col("nodes")).alias("d")).select("slug", "d.*")
+    return detail_fill(films, staged(details, "details"), "slug", schema.DETAIL_FIELDS)
+
+
+def checked_star(cinemas: DataFrame, films: DataFrame, seances: DataFrame) -> DataFrame:
+    """One row that tells whether loaded tables are fit to be read: ``failures`` (empty if none) and the numbers behind it.
+
+    n_joined counts the screenings whose film and cinema exist, n_orphans the others, n_groups the pairs of film and
+    cinema that a front end lists. Empty tables give zeros and fail.
+    """
+    known = lambda df, id_, flag: (df.select(F.col("id").alias(id_)).distinct().withColumn(flag, F.lit(True)), id_)
+    rows = M.star_join(seances.select("film_id", "cinema_id"), known(films, "film_id", "film"), known(cinemas, "cinema_id", "hall"), how="left")
+    whole = F.col("film").isNotNull() & F.col("hall").isNotNull()
+    counts = rows.agg(F.count_if(whole).alias("n_joined"), F.count_if(~whole).alias("n_orphans"),
+                      F.count_distinct(F.when(whole, F.struct("film_id", "cinema_id"))).alias("n_groups"))
+    for df, name in ((cinemas, "n_cinemas"), (films, "n_films")):
+        counts = counts.unionByName(df.agg(F.count_distinct("id").alias(name)), allowMissingColumns=True)
+    counts = counts.agg(*[F.max(c).alias(c) for c in counts.columns])                          # of three single rows
+    failures = F.concat(P.dq_failures(*map(F.col, ["n_cinemas", "n_films", "n_joined", "n_groups"])),
+                        F.when(F.col("n_orphans") > 0, F.array(F.concat(F.col("n_orphans").cast("string"), F.lit(" screenings without film or cinema"))))
+                        .otherwise(F.array().cast("array<string>")))
+    return counts.select(failures.alias("failures"), "n_cinemas", "n_films", "n_joined", "n_orphans", "n_groups")
+
+
+def weekly_run(sources: list[tuple[str, DataFrame]], tmdb: DataFrame | None, omdb: DataFrame | None, run_date, filter_week: bool = True,
+               details: DataFrame | None = None) -> DataFrame:
+    """Films of all sources, enriched and limited to the coming week. Without catalogs the lookup is left out.
+
+    ``details`` (slug, html) are pages of single works, which fill what the sources leave out before the catalogs do.
+    """
     films = as_films(union_sources(sources))
+    if details is not None:
+        films = detailed(films, details)
     if tmdb is not None and omdb is not None:
         films = enrich(films, tmdb, omdb)
     return W.current_week_nested(films, as_date(run_date)) if filter_week else films

@@ -194,3 +194,27 @@ def test_fallback_candidates(spark):
 
 def test_schema_of_marker():
     assert schema.MARKER.names == ["table", "part", "at"]
+
+
+def test_checked_star(spark):
+    made = lambda kind, rows: spark.createDataFrame(rows, kind).select(*kind.names)
+    blank = lambda kind, **known: tuple(known.get(f.name) for f in kind)
+    cinemas = made(schema.CINEMAS, [blank(schema.CINEMAS, id=f"c{i}") for i in range(4)])
+    films = made(schema.FILMS, [blank(schema.FILMS, id=f"f{i}") for i in range(10)])
+    slots = [blank(schema.SEANCES, film_id=f"f{i}", cinema_id=f"c{i % 4}") for i in range(10)] * 2
+    lost = [blank(schema.SEANCES, film_id="f1", cinema_id="none"), blank(schema.SEANCES, film_id="none", cinema_id="c1"), blank(schema.SEANCES, film_id=None, cinema_id="c1")]
+    told = lambda *star: weekly.checked_star(*star).collect()
+    assert told(cinemas, films, made(schema.SEANCES, slots)) == [([], 4, 10, 20, 0, 10)]
+    assert told(cinemas, films, made(schema.SEANCES, slots[:9] + lost)) == [(["Expected ≥10 film+cinema groups, got 9", "3 screenings without film or cinema"], 4, 10, 9, 3, 9)]
+    empty = told(*(spark.createDataFrame([], k) for k in (schema.CINEMAS, schema.FILMS, schema.SEANCES)))
+    assert empty[0][1:] == (0, 0, 0, 0, 0) and len(empty[0].failures) == 4
+
+
+def test_details_parse_only_pages_that_films_name(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(weekly.H, "parse_pages", lambda pages, real=weekly.H.parse_pages: (seen.extend(r.slug for r in pages.collect()), real(pages))[1])
+    films = weekly.as_films(spark.createDataFrame([("a", None), ("a", "mine"), (None, None), ("", None), ("z", None)], "slug string, poster string").withColumn("seances", F.array().cast("array<struct<date:date>>")))
+    page = "<figure class='poster'><img data-src='http://x/{}.jpg'></figure>"
+    pages = spark.createDataFrame([("a", page.format("a")), ("a", page.format("b")), ("b", page.format("b")), (None, page.format("c")), ("", page.format("d"))], "slug string, html string")
+    got = sorted((r.slug or "-", r.poster or "-") for r in weekly.detailed(films, pages).collect())
+    assert seen == ["a"] and got == [("-", "-"), ("-", "-"), ("a", "http://x/a.jpg"), ("a", "mine"), ("z", "-")]

@@ -8,8 +8,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): smallest node reachable, for every node of ``edges`` (a, b); nodes of any orderable type.
 
     Large-star, then small-star steps until nothing changes. Neighbours of a node are only ever reduced by a minimum
-    and joined back, so a node with very many of them is spread over tasks by the join. Logarithmically many rounds
-    are needed; the bound only stops a run that could never end.
+    and joined back; adaptive skew joins split a node with very many of them. Logarithmically many rounds are needed;
+    a run that is not done after ``rounds`` raises.
     """
     current = staged(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -26,6 +26,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return current.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).union(
         current.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct().join(
             current.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))

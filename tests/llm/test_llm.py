@@ -118,6 +118,11 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 if i <= 20 else 21 for i in range(41)}
 
 
+def test_unfinished_components_raise(spark):
+    with pytest.raises(RuntimeError):
+        components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"), rounds=2)
+
+
 def test_contamination(spark, texts):
     items = [(1, " ".join(texts[4][1].split(" ")[5:30])), (2, "one TWO"), (3, "never seen words at all"), (4, None), (5, "!!"), (6, texts[4][1]), (7, "two")]
     got = {}

@@ -15,6 +15,32 @@ def plan(df):
     return df._jdf.queryExecution().analyzed().toString()
 
 
+def test_nearest_day_tries_days_of_the_weekday_only(spark):
+    run = dt.date(2026, 3, 11)
+    rows = [(n, w) for n in [None, *range(1, 32)] for w in [None, *range(0, 9)]]
+    found = spark.createDataFrame(rows, "n int, w int").select("n", "w", D.nearest_day(run, F.col("n"), F.col("w")).alias("d"))
+    near = [run + dt.timedelta(x) for x in sorted(range(-28, 29), key=lambda x: (abs(x), x))]
+    for r in found.collect():
+        assert r.d == next((d for d in near if d.day == r.n and d.isoweekday() == r.w), None), r
+    assert plan(found).count(",") < 60          # 57 days were listed before
+
+
+def test_near_date_is_searched_once(spark):
+    cols = spark.createDataFrame([(["", "MERCREDI. 4", "jeu", "x", "samedi 7"],)], "h array<string>").select(
+        G.col_dates(F.col("h"), F.lit(None).cast("date"), "2026-03-11").alias("c"))
+    assert [(c.col, str(c.date)) for c in cols.head().c] == [(1, "2026-03-04"), (2, "2026-03-05"), (4, "2026-03-07")]
+    assert plan(cols).count("dayofmonth") == 1
+
+
+def test_header_row_wherever_it_stands(spark):
+    head, other = ["MER", "jeudi 3", "Ven.", "LUNDI"], ["mercure", "jeudi", None, "-"]
+    grids = [[head], [other, head], [other, None, ["jeu"], head, head], [other], [], None, [None, head]]
+    rows = spark.createDataFrame(list(enumerate(grids)), "i int, g array<array<string>>")
+    assert [r.h for r in rows.select("i", G.header_row(F.col("g")).alias("h")).orderBy("i").collect()] == [0, 1, 3, None, None, None, 1]
+    assert all(bool(re.search(K.NAMED_DAY.replace("(?U)", ""), c)) == any(
+        n in c or re.search(rf"\b{a}\b", c) for n, a, _ in K.PROGRAMME_DAYS) for c in ["mer", "mercure", "xjeudix", "le sam.", "lun2", ""])
+
+
 def test_calendar_rows_open_as_places(spark):
     page = '<table><tr class="days"><th>x</th></tr><tr class="cinema"><th>Fourmi</th></tr><tr class="movie"><th>a</th><td>b</td></tr></table>'
     rows = O.calendar_rows(H.parse_pages(spark.createDataFrame([(1, page), (2, None), (3, "<p>none</p>")], "page_id int, html string")))

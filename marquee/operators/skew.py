@@ -26,6 +26,12 @@ def heavy_keys(df: DataFrame, key_sets: list[list[str]], limit: int = HEAVY_KEYS
     return [found[f"h{i}"] for i in range(len(key_sets))]
 
 
+def spread_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows dealt by key over four tasks a core or more, for work that is heavy per row while the file is small."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _row_hash(df: DataFrame, spread_by: list[str] | None) -> Column:
     usable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
     return F.pmod(F.xxhash64(*(spread_by or usable)), F.lit(SPREAD)) + 1

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import dates as D
 from ..functions.binding import let
 from ..operators.calendar import in_week
-from ..operators.skew import spread_lookup
+from ..operators.skew import spread_lookup, spread_rows
 from .registry import Tables
 
 RUN_DATE = "1997-03-12"
@@ -239,7 +239,7 @@ def blocks(t: Tables) -> DataFrame:
         F.when(k % 3 == 0, "<p>Version sous-titrée</p>").otherwise(""))
     html = F.concat(F.lit("<h2>Du 4 au 10 mars 1998</h2><h5>Films français</h5><p>Réalisé par personne</p><h5 class='t'> "),
                     F.initcap("p_name"), F.lit(" </h5><div>"), prose, F.lit("</div><h5>Soirée</h5><p>débat</p>"))
-    return t.part.select(k.alias("page_id"), html.alias("html"))
+    return spread_rows(t.part, ["p_partkey"]).select(k.alias("page_id"), html.alias("html"))
 
 
 def film_nodes(t: Tables) -> DataFrame:
@@ -252,7 +252,7 @@ def film_nodes(t: Tables) -> DataFrame:
         F.lit("</span><ul><li class='seance'><span class='jour'>mercredi 4 mars 1998</span> <span class='heure'>20h"),
         F.lpad("p_size", 2, "0"), F.lit("</span></li><li class='seance'><time datetime='1998-03-05T10:00'>jeudi</time> 9h05 VO</li>"),
         F.lit("<li class='seance'>complet</li></ul></article>"))
-    return t.part.select(k.alias("page_id"), html.alias("html"))
+    return spread_rows(t.part, ["p_partkey"]).select(k.alias("page_id"), html.alias("html"))
 
 
 def detail_pages(t: Tables) -> DataFrame:

@@ -59,3 +59,11 @@ def test_tags_are_read_once_and_alike():
     assert known and len(known) <= H.KNOWN_TAGS
     H.page_events("".join(f"<p a={i}>" for i in range(3 * H.KNOWN_TAGS)), known)
     assert len(known) <= H.KNOWN_TAGS
+
+
+def test_pages_of_a_small_file_are_dealt_over_tasks(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS p_partkey", "'a b' AS p_name", "'Brand#1' AS p_brand", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    tables = DI.Tables(spark, str(tmp_path))
+    for build in (DI.film_nodes, DI.blocks):
+        filled = build(tables).groupBy(F.spark_partition_id()).count().count()
+        assert filled >= spark.sparkContext.defaultParallelism and build(tables).count() == 1000

@@ -41,12 +41,15 @@ def pattern_profile(pages: DataFrame, text: str, patterns: list[str], keep: list
 def match_contexts(text: Column, pattern: str = K.CLOCK_ANY_CASE, limit: int = K.CONTEXTS_PER_PAGE) -> Column:
     """First matches of a text with what surrounds them, tags removed: array of (no, context)."""
     def located(t):
-        marked = F.regexp_replace(F.translate(t, "\u0001", " "), pattern, "\u0001$0")
-        gaps = F.transform(F.slice(F.split(marked, "\u0001", limit + 1), 1, limit), F.length)
-        hits = F.slice(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), 1, limit)
-        return let(gaps, lambda g: F.transform(hits, lambda h, i: F.struct(
-            (i + 1).alias("no"), F.length(h).alias("size"),
-            F.aggregate(F.slice(g, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x).alias("at"))))
+        # one search of the text: every hit stands between the two marks, so the pieces give sizes and places
+        free = F.when(t.contains("\u0001") | t.contains("\u0002"), F.translate(t, "\u0001\u0002", "  ")).otherwise(t)
+        pieces = F.split(F.regexp_replace(free, pattern, "\u0001$0\u0002"), "\u0001", limit + 2)
+        sizes = F.transform(F.slice(pieces, 1, limit + 1), lambda p, i: F.struct(
+            F.when(i > 0, F.length(F.substring_index(p, "\u0002", 1))).otherwise(0).alias("hit"),
+            (F.length(p) - F.when(i > 0, 1).otherwise(0)).alias("whole")))
+        return let(sizes, lambda s: F.transform(F.slice(s, F.lit(2), F.lit(limit)), lambda h, i: F.struct(
+            (i + 1).alias("no"), h["hit"].alias("size"),
+            F.aggregate(F.slice(s, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x["whole"]).alias("at"))))
 
     def context(t, m):
         begin = F.greatest(m["at"] - K.CONTEXT_CHARS, F.lit(0))

@@ -61,6 +61,16 @@ def test_tags_are_read_once_and_alike():
     assert len(known) <= H.KNOWN_TAGS
 
 
+def test_contexts_from_one_search(spark):
+    texts = ["tiontion x tion", "aa" * 60 + "tion<b>tion</b>", "\u0001tion\u0002 y", "none", "", None, "tion " * 9]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", P.match_contexts(F.col("t"), "tion").alias("m"))
+    for r in found.collect():
+        if r.t is not None:
+            around = [r.t[max(m.start() - K.CONTEXT_CHARS, 0):m.end() + K.CONTEXT_CHARS] for m in re.finditer("tion", r.t)][:K.CONTEXTS_PER_PAGE]
+            assert [c.context for c in r.m] == [re.sub(r"[\s\u0001]+", lambda s: s[0] if "\u0001" in s[0] else " ", re.sub("<[^>]+>", " ", a).strip())[:K.CONTEXT_CUT] for a in around], r
+    assert "regexp_extract_all" not in plan(found)
+
+
 def test_pages_of_a_small_file_are_dealt_over_tasks(spark, tmp_path):
     spark.range(1000).selectExpr("id AS p_partkey", "'a b' AS p_name", "'Brand#1' AS p_brand", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     tables = DI.Tables(spark, str(tmp_path))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import text as X
 from ..functions.missing import is_missing, or_default, present
 from .dedup import first_per_key
-from .skew import heavy_keys, spread_lookup
+from .skew import heavy_keys, is_small, small_lookup, spread_lookup
 from .staging import staged
 
 
@@ -110,10 +110,12 @@ def resolve_fk(facts: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame
     return spread_lookup(facts, parents, on, "inner")
 
 
-def star_join(facts: DataFrame, *dimensions: tuple[DataFrame, str], how: str = "inner") -> DataFrame:
+def star_join(facts: DataFrame, *dimensions: tuple[DataFrame, str], how: str = "inner", small: int = 0) -> DataFrame:
     """Facts with every dimension attached by its id; facts without one are dropped, or kept if ``how`` is left. One
-    sketch serves all dimensions."""
-    hot = heavy_keys(facts, [[on] for _, on in dimensions])
-    for (dimension, on), keys in zip(dimensions, hot):
-        facts = spread_lookup(facts, dimension, [on], how, hot_keys=keys)
+    sketch serves all dimensions; those of at most ``small`` rows are broadcast and need none."""
+    few = [small > 0 and is_small(dimension, small) for dimension, _ in dimensions]
+    keys = [[on] for (_, on), s in zip(dimensions, few) if not s]
+    hot = iter(heavy_keys(facts, keys) if keys else [])
+    for (dimension, on), s in zip(dimensions, few):
+        facts = small_lookup(facts, dimension, [on], how) if s else spread_lookup(facts, dimension, [on], how, hot_keys=next(hot))
     return facts

@@ -10,6 +10,7 @@ than a task should read, adaptive skew joins split it, so leave ``spark.sql.adap
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 HEAVY_KEYS = 256
+SMALL_ROWS = 500_000    # a lookup table of at most so many rows may be broadcast whole
 SKETCH_ITEMS = 8192
 SPREAD = 4096
 
@@ -62,6 +63,22 @@ def spread_lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "
                                         .otherwise(F.lit(0).cast("long"))))
     found = (marked.join(packed.withColumn("_salt", F.lit(0).cast("long")), [*on, "_salt"], "left")
                    .withColumn("_v", F.coalesce("_hv", "_v")))
+    return _picked(left, found, values, how)
+
+
+def small_lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """``spread_lookup`` for a ``right`` of few rows, as ``is_small`` tells: it is broadcast, ``left`` is not shuffled."""
+    values = [c for c in right.columns if c not in on]
+    packed = right.select(*on, F.struct(F.lit(True).alias("_hit"), *values).alias("_v"))
+    return _picked(left, left.join(F.broadcast(packed), on, "left"), values, how)
+
+
+def is_small(df: DataFrame, most: int = SMALL_ROWS) -> bool:
+    return df.count() <= most
+
+
+def _picked(left: DataFrame, found: DataFrame, values: list[str], how: str) -> DataFrame:
+    """Rows of ``left`` with what they ``found`` as ``_v``, in the manner of ``how``."""
     hit = F.col("_v").isNotNull()
     if how in ("inner", "left_semi"):
         found = found.filter(hit)

@@ -8,10 +8,20 @@ from .dedup import first_per_key, last_per_key
 from .skew import spread_lookup
 
 
+def key_text(*parts: Column) -> Column:
+    """A natural key as one text, which ``key_id`` hashes; NULL parts count as a value of their own."""
+    coded = [F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts]
+    return F.concat_ws("\u0001", *coded)
+
+
+def text_id(text: Column) -> Column:
+    """Id of a natural key given as ``key_text``."""
+    return F.sha2(text, 256)
+
+
 def key_id(*parts: Column) -> Column:
     """Deterministic id of a natural key; NULL parts count as a value of their own."""
-    coded = [F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts]
-    return F.sha2(F.concat_ws("\u0001", *coded), 256)
+    return text_id(key_text(*parts))
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: list, keep: str = "first",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import dates as D
 from ..operators import dedup, incremental as I, match as M, upsert as U
+from ..operators.skew import SMALL_ROWS
 from ..operators.staging import shared_folder, staged
 from ..sources import readers, writers
 from ..sources.versions import Versions
@@ -64,7 +65,7 @@ def load_star(t):
     """The loaded star; the later of two list entries wins a slot."""
     cinemas, films, seances = loaded(t)
     star = M.star_join(seances.select("id", "film_id", "cinema_id", "date", "heure", "version"), (films.select(F.col("id").alias("film_id"), "titre", "annee"), "film_id"),
-                       (cinemas.select(F.col("id").alias("cinema_id"), F.col("name").alias("cinema"), "slug"), "cinema_id"))
+                       (cinemas.select(F.col("id").alias("cinema_id"), F.col("name").alias("cinema"), "slug"), "cinema_id"), small=SMALL_ROWS)
     return star.select("titre", "annee", "cinema", "slug", text(F.col("date")).alias("day"), "heure", "version")
 
 
@@ -90,7 +91,7 @@ def load_incremental(t):
     loaded_weeks = nested(F.col("week").between(day("1997-03-12"), day("1997-03-19")))
     writers.write_weeks(*weekly.load(loaded_weeks, opened(), DI.RUN_TS, weeks_only=True), folder)
     cinemas, films, seances = opened()
-    star = M.star_join(seances, (films.select(F.col("id").alias("film_id"), "titre", "annee"), "film_id"), (cinemas.select(F.col("id").alias("cinema_id"), F.col("name").alias("cinema")), "cinema_id"))
+    star = M.star_join(seances, (films.select(F.col("id").alias("film_id"), "titre", "annee"), "film_id"), (cinemas.select(F.col("id").alias("cinema_id"), F.col("name").alias("cinema")), "cinema_id"), small=SMALL_ROWS)
     return star.select("titre", "annee", "cinema", text(F.col("date")).alias("day"), "heure", "version", F.col("film_id").startswith("film-").alias("kept_film"),
                        F.col("cinema_id").startswith("cinema-").alias("kept_cinema"))
 
@@ -131,7 +132,7 @@ def load_versions(t):
     """What readers see after two loads and one that broke off."""
     root, _ = two_loads(t, broken=True)
     cinemas, films, seances = weekly.open_star(t.spark, root)
-    star = M.star_join(seances, (films.select(F.col("id").alias("film_id"), "titre", "annee"), "film_id"), (cinemas.select(F.col("id").alias("cinema_id"), F.col("name").alias("cinema")), "cinema_id"))
+    star = M.star_join(seances, (films.select(F.col("id").alias("film_id"), "titre", "annee"), "film_id"), (cinemas.select(F.col("id").alias("cinema_id"), F.col("name").alias("cinema")), "cinema_id"), small=SMALL_ROWS)
     return star.select("titre", "annee", "cinema", text(F.col("date")).alias("day"), "heure", "version")
 
 

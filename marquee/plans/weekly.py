@@ -1,5 +1,5 @@
 """The three flows: weekly run, batch load, read path. Each is one lazy plan; actions happen only at the sinks."""
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from .. import constants as K, schema
 from ..functions import html as H, text as X
@@ -9,7 +9,7 @@ from ..functions.records import detail_page
 from ..operators import calendar as W, documents as O, grouping as G, incremental as I, match as M, profile as P, upsert as U
 from ..operators.dedup import first_per_key
 from ..operators.fill import detail_fill
-from ..operators.skew import spread_lookup
+from ..operators.skew import SMALL_ROWS, spread_lookup
 from ..operators.staging import staged
 from ..sources.readers import film_screenings
 from ..sources.versions import Versions, hashed_part
@@ -69,19 +69,24 @@ def star_rows(films: DataFrame, run_ts: str) -> tuple[DataFrame, DataFrame, Data
     Screenings name their film and cinema by the hash of the natural key, which is also the id of a new parent.
     """
     cinemas, rows, judged = judged_rows(films, run_ts)
-    return cinemas, rows, good_screenings(judged), judged.filter("reason IS NOT NULL").drop("created_at")
+    return cinemas, rows, hashed_keys(good_screenings(judged)), hashed_keys(judged.filter("reason IS NOT NULL").drop("created_at"))
+
+
+def hashed_keys(slots: DataFrame) -> DataFrame:
+    return slots.withColumns({k: U.text_id(F.col(k)) for k in ("film_key", "cinema_key")})
 
 
 def judged_rows(films: DataFrame, run_ts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cinema and film rows, and all screenings with the ``reason`` of those to be rejected."""
+    """Cinema and film rows, and all screenings with the ``reason`` of those to be rejected; these name their film and
+    cinema by the text of the natural key, which is shorter than its hash."""
     ts = F.lit(run_ts).cast("timestamp")
     base = films.withColumns({"cinema": or_default(F.col("cinema"), F.lit(K.DEFAULT_VENUE))})
-    base = base.withColumns({"film_key": U.key_id(*film_key()), "cinema_key": U.key_id(F.col("cinema"))})
-    cinemas = base.select(F.col("cinema_key").alias("id"), F.col("cinema").alias("name"), X.slugify(F.col("cinema")).alias("slug"), ts.alias("created_at"),
+    base = base.withColumns({"film_key": U.key_text(*film_key()), "cinema_key": U.key_text(F.col("cinema"))})
+    cinemas = base.select(U.text_id(F.col("cinema_key")).alias("id"), F.col("cinema").alias("name"), X.slugify(F.col("cinema")).alias("slug"), ts.alias("created_at"),
                           "src_order", "row_order")
     titre, annee, realisateur = film_key()
     rows = base.select(
-        F.col("film_key").alias("id"), titre.alias("titre"), F.col("titreOriginal").alias("titre_original"), annee.alias("annee"), realisateur.alias("realisateur"),
+        U.text_id(F.col("film_key")).alias("id"), titre.alias("titre"), F.col("titreOriginal").alias("titre_original"), annee.alias("annee"), realisateur.alias("realisateur"),
         "duree", F.coalesce("genres", F.array().cast("array<string>")).alias("genres"), "synopsis", F.col("imdbId").alias("imdb_id"), "poster",
         F.col("imdbRating").try_cast("decimal(3,1)").alias("imdb_rating"), "cast", "source", ts.alias("created_at"), "src_order", "row_order")
     slots = film_screenings(base, ["film_key", "cinema_key", "src_order", "row_order"])
@@ -93,14 +98,56 @@ def good_screenings(judged: DataFrame) -> DataFrame:
                                                   "created_at", "src_order", "row_order", "pos")
 
 
+def with_refs(parents: DataFrame, kind: str, key: Column) -> DataFrame:
+    """(key, id, ref, created_at) of stored films or cinemas, named after ``kind``. The ref stands for the id while
+    screenings are shuffled: the text of the natural key where the id is its hash and no other row has it, else the id."""
+    shared = F.count("id").over(Window.partitionBy("id")) > 1
+    own = (F.col("id") == U.text_id(key)) & ~shared
+    return parents.select(key.alias(f"{kind}_key"), F.col("id").alias(f"{kind}_id"), F.when(own, key).otherwise(id_ref(F.col("id"))).alias(f"{kind}_ref"), "created_at")
+
+
+def id_ref(id_: Column) -> Column:
+    return F.concat(F.lit("!"), id_)                    # a natural key begins with = or -
+
+
+def id_of(ref: Column) -> Column:
+    return F.when(F.startswith(ref, F.lit("!")), F.substring(ref, 2, 1 << 30)).otherwise(U.text_id(ref))
+
+
+def parent_refs(cinemas: DataFrame, films: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (with_refs(cinemas, "cinema", U.key_text(F.col("name"))),
+            with_refs(films, "film", U.key_text(F.col("titre"), F.col("annee"), F.col("realisateur"))))
+
+
 def resolved(slots: DataFrame, cinemas: DataFrame, films: DataFrame, every: bool = False) -> DataFrame:
-    """Screenings with the stored ids of their film and cinema, found by natural key; those without a parent are dropped,
+    """Screenings with the refs of their stored film and cinema, found by natural key; those without a parent are dropped,
     or with ``every`` have NULL there."""
-    one = lambda df, key, id_: first_per_key(df.select(key, F.col("id").alias(id_), "created_at"), [key], ["created_at", id_]).select(key, id_)
-    c = one(cinemas.withColumn("cinema_key", U.key_id(F.col("name"))), "cinema_key", "cinema_id")
-    f = one(films.withColumn("film_key", U.key_id(F.col("titre"), F.col("annee"), F.col("realisateur"))), "film_key", "film_id")
-    return M.star_join(slots, (c, "cinema_key"), (f, "film_key"), how="left" if every else "inner").withColumn(
-        "id", U.key_id(F.col("film_id"), F.col("cinema_id"), F.col("date"), F.col("heure")))
+    one = lambda df, kind: first_per_key(df, [f"{kind}_key"], ["created_at", f"{kind}_id"]).select(f"{kind}_key", f"{kind}_ref")
+    c, f = parent_refs(cinemas, films)
+    return M.star_join(slots, (one(c, "cinema"), "cinema_key"), (one(f, "film"), "film_key"), how="left" if every else "inner", small=SMALL_ROWS)
+
+
+def merged_screenings(target: DataFrame, found: DataFrame, cinemas: DataFrame, films: DataFrame, order: list[str], week: str) -> DataFrame:
+    """Stored screenings after those ``found`` (``resolved``), the last of a slot, laid out by their week in column ``week``.
+
+    An upsert by (film_id, cinema_id, date, heure) which moves the short refs: aggregate and join meet in one shuffle, ids
+    are hashed when the rows lie where they are written.
+    """
+    key = F.struct("film_ref", "cinema_ref", "date", "heure").alias("_key")                        # NULL fields of a struct are equal
+    last = found.select(key, F.struct("version", "resa_url", "created_at").alias("s"), F.struct(*order).alias("_order"))
+    last = last.groupBy("_key").agg(F.max_by("s", "_order").alias("s"))
+    c, f = parent_refs(cinemas, films)
+    held = M.star_join(target, (c.select("cinema_id", "cinema_ref").distinct(), "cinema_id"), (f.select("film_id", "film_ref").distinct(), "film_id"), how="left", small=SMALL_ROWS)
+    held = held.withColumns({f"{k}_ref": F.coalesce(f"{k}_ref", id_ref(F.col(f"{k}_id"))) for k in ("cinema", "film")})
+    held = held.select(key, F.struct("id", "version", "resa_url", "created_at").alias("t"))
+    new = F.col("s").isNotNull()
+    either = lambda c: F.when(new, F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
+    both = held.join(last, "_key", "full_outer").select(
+        "_key.*", F.col("t.id").alias("id"), new.alias("_new"), either("version"), either("resa_url"), F.coalesce("t.created_at", "s.created_at").alias("created_at"))
+    laid = both.withColumn(week, week_part()).hint("rebalance", week)
+    ids = laid.withColumns({"film_id": id_of(F.col("film_ref")), "cinema_id": id_of(F.col("cinema_ref"))})
+    made = F.when(F.col("_new"), U.key_id(F.col("film_id"), F.col("cinema_id"), F.col("date"), F.col("heure")))
+    return ids.withColumn("id", F.coalesce("id", made)).select(*schema.SEANCES.names, week)
 
 
 def load(films: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame], run_ts: str, null_safe: bool = True,
@@ -110,9 +157,10 @@ def load(films: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame], run_t
     First row of a film wins inside a run, last screening of a slot wins. Parents come first: they are written aside with
     the ids they have in ``stored``, and the screenings look these up. All screenings come back, for ``write_star``; with
     ``weeks_only`` those of the weeks from the first to the last one loaded, for ``write_weeks``: other weeks are neither
-    read nor written. ``star_rows`` also gives the rejected screenings.
+    read nor written. Screenings are laid out by their ``week``. ``star_rows`` also gives the rejected ones.
     """
-    cinemas, rows, slots, _ = star_rows(films, run_ts)
+    cinemas, rows, judged = judged_rows(films, run_ts)
+    slots = good_screenings(judged)
     order = ["src_order", "row_order"]
     new_cinemas = staged(U.upsert(stored[0], cinemas, ["name"], order, "first"), "cinemas")
     new_films = staged(U.upsert(stored[1], rows, ["titre", "annee", "realisateur"], order, "first", null_safe=null_safe), "films")
@@ -121,9 +169,8 @@ def load(films: DataFrame, stored: tuple[DataFrame, DataFrame, DataFrame], run_t
         first, last = slots.agg(F.min("date"), F.max("date")).select(*[week_anchor(F.col(c)) for c in ("min(date)", "max(date)")]).first()
         week = F.col("week") if "week" in target.columns else week_anchor(F.col("date"))
         target = target.filter(week.between(F.lit(first), F.lit(last)))
-    target = target.drop("week")
-    merged = U.upsert(target, resolved(slots, new_cinemas, new_films), ["film_id", "cinema_id", "date", "heure"], [*order, "pos"], "last")
-    return new_cinemas, new_films, merged
+    merged = merged_screenings(target.drop("week"), resolved(slots, new_cinemas, new_films), new_cinemas, new_films, [*order, "pos"], "week")
+    return new_cinemas, new_films, merged.withColumn("week", F.col("week").cast("date"))
 
 
 STAR = {"cinemas": schema.CINEMAS, "films": schema.FILMS, "seances": schema.SEANCES}
@@ -159,11 +206,11 @@ def load_version(films: DataFrame, spark: SparkSession, root: str, run_ts: str,
     slots = good_screenings(judged)
     weeks = [r[0] for r in slots.select(week_part()).distinct().collect()]                   # programme weeks of the load
     known = resolved(slots, new_cinemas, new_films, every=True)
-    lost = F.col("film_id").isNull() | F.col("cinema_id").isNull()
-    found = staged(known.observe(kept, F.count_if(~lost).alias("resolved"), F.count_if(lost).alias("unresolved")), "resolved").filter(~lost)
-    merged = U.upsert(tables.read("seances", schema.SEANCES, weeks), found, ["film_id", "cinema_id", "date", "heure"], [*order, "pos"], "last")
-    tables.write("seances", merged.withColumn("part", week_part()), weeks)
-    tables.write("rejects", judged.filter("reason IS NOT NULL").select("film_key", "cinema_key", "date", "heure", "version", "reason", F.lit(mine).alias("part")))
+    lost = F.col("film_ref").isNull() | F.col("cinema_ref").isNull()
+    found = known.observe(kept, F.count_if(~lost).alias("resolved"), F.count_if(lost).alias("unresolved")).filter(~lost)
+    held = tables.read("seances", schema.SEANCES, weeks)
+    tables.write("seances", merged_screenings(held, found, new_cinemas, new_films, [*order, "pos"], "part"), weeks, laid_out=True)
+    tables.write("rejects", hashed_keys(judged.filter("reason IS NOT NULL")).select("film_key", "cinema_key", "date", "heure", "version", "reason", F.lit(mine).alias("part")))
     if urls is not None:
         tables.write("state", urls.select("url").distinct().withColumn("part", F.lit(mine)))
     measured = {**counts.get, **kept.get}
@@ -252,7 +299,7 @@ def checked_star(cinemas: DataFrame, films: DataFrame, seances: DataFrame) -> Da
     cinema that a front end lists. Empty tables give zeros and fail.
     """
     known = lambda df, id_, flag: (df.select(F.col("id").alias(id_)).distinct().withColumn(flag, F.lit(True)), id_)
-    rows = M.star_join(seances.select("film_id", "cinema_id"), known(films, "film_id", "film"), known(cinemas, "cinema_id", "hall"), how="left")
+    rows = M.star_join(seances.select("film_id", "cinema_id"), known(films, "film_id", "film"), known(cinemas, "cinema_id", "hall"), how="left", small=SMALL_ROWS)
     whole = F.col("film").isNotNull() & F.col("hall").isNotNull()
     counts = rows.agg(F.count_if(whole).alias("n_joined"), F.count_if(~whole).alias("n_orphans"),
                       F.count_distinct(F.when(whole, F.struct("film_id", "cinema_id"))).alias("n_groups"))
@@ -285,5 +332,5 @@ def read_path(cinemas: DataFrame, films: DataFrame, seances: DataFrame, run_date
         anchor = week_anchor(as_date(run_date))
         seances = seances.filter(F.col("week").between(anchor, F.date_add(anchor, 7)))
     week = W.current_week(seances, "date", run_date).select("id", "film_id", "cinema_id", "date", time_minutes(F.col("heure")).alias("heure"), "version")
-    joined = M.star_join(week, (films.select(F.col("id").alias("film_id"), "titre"), "film_id"), (cinemas.select(F.col("id").alias("cinema_id"), "name"), "cinema_id"))
+    joined = M.star_join(week, (films.select(F.col("id").alias("film_id"), "titre"), "film_id"), (cinemas.select(F.col("id").alias("cinema_id"), "name"), "cinema_id"), small=SMALL_ROWS)
     return G.nest_screenings(joined, ["film_id", "cinema_id", "titre", "name"])

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from ..schema import MARKER
 
+COMPRESSION = "zstd"    # ids are hashes as hex text: half as long once their letters are coded, which snappy does not do
+
 
 def hashed_part(keys: list[str | Column], folders: int) -> Column:
     """Folder of a key, as text; NULL key parts count as a value of their own."""
@@ -51,15 +53,18 @@ class Versions:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/part={p}/change={v}" for p, v in sorted(chosen.items())])
 
-    def write(self, table: str, rows: DataFrame, replaces: Iterable[str] | None = None) -> None:
+    def write(self, table: str, rows: DataFrame, replaces: Iterable[str] | None = None, laid_out: bool = False) -> None:
         """Write ``rows``, which have a text column ``part`` and none named ``change``, as new folders of those parts.
 
         ``replaces`` names the parts that these rows take the place of, also those left without rows; by default only
-        the parts that occur. Other parts stay. Rebalancing gives a part few files and splits one that is too large.
+        the parts that occur. Other parts stay. Rebalancing gives a part few files and splits one that is too large;
+        rows that are ``laid_out`` by part already are not moved again.
         """
         seen = Observation()
-        target = rows.withColumn("change", F.lit(self.version + 1)).hint("rebalance", "part").observe(seen, F.collect_set("part").alias("parts"))
-        target.write.partitionBy("part", "change").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/{table}")
+        target = rows.withColumn("change", F.lit(self.version + 1))
+        target = (target if laid_out else target.hint("rebalance", "part")).observe(seen, F.collect_set("part").alias("parts"))
+        (target.write.partitionBy("part", "change").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", COMPRESSION)
+               .parquet(f"{self.root}/{table}"))
         left = {p: v for p, v in self.pending.get(table, self.folders.get(table, {})).items() if p not in set(replaces or ())}
         self.pending[table] = {**left, **{p: self.version + 1 for p in seen.get["parts"]}}
 

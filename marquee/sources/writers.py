@@ -3,6 +3,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter, functions as F
 
 from .. import schema
 from ..operators.staging import staged
+from .versions import COMPRESSION
 
 
 def film_struct(films: DataFrame) -> Column:
@@ -52,15 +53,16 @@ def write_weeks(cinemas: DataFrame, films: DataFrame, seances: DataFrame, path:
 
     Everything is written aside first, since it is made of the tables that are replaced.
     """
-    cinemas, films, seances = staged(cinemas, "cinemas"), staged(films, "films"), staged(seances, "seances")
+    cinemas, films, seances = staged(cinemas, "cinemas"), staged(films, "films"), staged(seances.drop("week"), "seances")
     cinemas.write.mode("overwrite").parquet(f"{path}/cinemas")
     films.write.mode("overwrite").parquet(f"{path}/films")
     by_week(seances).option("partitionOverwriteMode", "dynamic").parquet(f"{path}/seances")
 
 
 def by_week(seances: DataFrame) -> DataFrameWriter:
-    weeks = seances.withColumn("week", programme_week(F.col("date")))
-    return weeks.hint("rebalance", "week").write.mode("overwrite").partitionBy("week")
+    """Rows that carry their ``week`` are laid out by it already."""
+    laid = seances if "week" in seances.columns else seances.withColumn("week", programme_week(F.col("date"))).hint("rebalance", "week")
+    return laid.write.mode("overwrite").option("compression", COMPRESSION).partitionBy("week")
 
 
 def append_state(urls: DataFrame, path: str) -> None:

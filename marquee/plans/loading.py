@@ -33,7 +33,7 @@ def programme_flatten(t):
     films = DI.film_rows(t).withColumns({"src_order": F.lit(0), "row_order": F.datediff("week", F.lit("1990-01-01").cast("date"))})
     docs = writers.programme_documents(films, DI.RUN_TS, [DI.SITE], ("cinema", "week", "titre"))
     folder = shared_folder(t.spark, "programme")
-    docs.select("generated_at", "sources", "films").write.json(folder)
+    docs.select("generated_at", "sources", "films").write.option("compression", "gzip").json(folder)
     back = readers.programme_films(readers.read_programme(t.spark, folder, one_per_file=False))
     rows = readers.film_screenings(back, ["titre", "cinema"])
     return rows.select("titre", "cinema", text(F.col("date")).alias("day"), "heure", "version", "resa_url")

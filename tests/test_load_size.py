@@ -78,9 +78,10 @@ def test_loads_write_coded_files(spark, tmp_path, monkeypatch):
     t = tables(spark, tmp_path / "t")
     for module in ("marquee.plans.loading", "marquee.operators.staging"):
         monkeypatch.setattr(f"{module}.shared_folder", lambda spark, name: str(tmp_path / "shared" / f"{name}-{uuid.uuid4().hex}"))
-    for query in (loading.load_star, loading.load_versions):
+    for query in (loading.load_star, loading.load_versions, loading.programme_flatten):
         assert query(t).count() > 0
     written = lambda name, kind: [p.name for p in Path(tmp_path / "shared").glob(f"{name}-*/**/{kind}") if not p.name.startswith(".")]
+    assert written("programme", "*.json*") and all(n.endswith(".json.gz") for n in written("programme", "*.json*"))
     for folder in ("star", "versions"):
         slots = written(folder, "seances/**/*.parquet")
         assert slots and all(".zstd." in n for n in slots)

@@ -9,7 +9,7 @@ from ..functions.records import detail_page
 from ..operators import calendar as W, documents as O, grouping as G, incremental as I, match as M, profile as P, upsert as U
 from ..operators.dedup import first_per_key
 from ..operators.fill import detail_fill
-from ..operators.skew import SMALL_ROWS, spread_lookup
+from ..operators.skew import SMALL_ROWS, spread_lookup, spread_rows
 from ..operators.staging import staged
 from ..sources.readers import film_screenings
 from ..sources.versions import Versions, hashed_part
@@ -284,10 +284,13 @@ def detailed(films: DataFrame, pages: DataFrame) -> DataFrame:
 
     Only the pages that some film names are parsed, each once however many films name it. Films without a slug or
     without a page stay as they are, and a field that the page lacks too keeps its value.
+    Pages are dealt over a stated number of tasks: markup shrinks so much in a shuffle that tasks merged by its size there
+    would hold a multiple of it.
     """
     films = staged(films, "listed")
     asked = films.filter(~is_missing(F.col("slug"))).select("slug").distinct()
-    wanted = first_per_key(pages.select("slug", "html").join(asked, "slug", "left_semi"), ["slug"], ["html"])
+    dealt = spread_rows(pages.select("slug", "html"), ["slug"])
+    wanted = first_per_key(dealt.join(asked, "slug"), ["slug"], ["html"])   # a semi join would be planned before the dealing
     details = H.parse_pages(wanted).select("slug", detail_page(F.col("nodes")).alias("d")).select("slug", "d.*")
     return detail_fill(films, staged(details, "details"), "slug", schema.DETAIL_FIELDS)
 

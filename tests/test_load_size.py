@@ -86,3 +86,27 @@ def test_loads_write_coded_files(spark, tmp_path, monkeypatch):
         slots = written(folder, "seances/**/*.parquet")
         assert slots and all(".zstd." in n for n in slots)
     assert not list(Path(tmp_path / "shared").glob("resolved-*"))   # found screenings are written once, in their week
+
+
+def test_detail_pages_are_dealt_over_a_stated_number_of_tasks(spark):
+    """Tasks merged by the size of compressed markup would hold many times that size."""
+    pages = spark.range(400).selectExpr("CAST(id % 200 AS STRING) AS slug", "concat('<div class=\"section synopsis\"><p>', repeat('a b ', 9), id, '</p></div>') AS html")
+    films = weekly.as_films(spark.createDataFrame([("A", "7", "x"), ("B", None, "x"), ("C", "900", "x")], "titre string, slug string, cinema string")
+                            .select("*", F.array().cast("array<struct<date:date>>").alias("seances")))
+    made = []
+    real = weekly.H.parse_pages
+
+    def seen(df):
+        made.append(df)
+        return real(df)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    weekly.H.parse_pages = seen
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.titre: r.synopsis for r in weekly.detailed(films, pages).collect()}
+        plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        weekly.H.parse_pages = real
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got["A"].endswith("207") and got["B"] is None and got["C"] is None       # of two pages the first by its text
+    assert "REPARTITION_BY_NUM" in plan

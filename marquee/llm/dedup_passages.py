@@ -24,6 +24,7 @@ LENGTH = 50
 GRAM = 24                     # bytes of the rolling hash, a multiple of 8
 MOST = 48                     # strings of one phrase at most: their verdicts are the bits of one integer
 RANGES = 1 << 12              # ranges of trigger hashes at most
+BUCKETS = 256                 # of texts, to which the shared triggers of a range are sent packed
 FLUSH = 16 << 20              # bytes of texts whose phrases a task holds at once
 LAST = (1 << 63) - 1          # rank of a NULL id
 
@@ -136,8 +137,8 @@ def table(rows: list[tuple], *names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], list(names))
 
 
-def shared_triggers(found: DataFrame) -> DataFrame:
-    """(rank, text_key, hashes): of each text, the short hashes of triggers that another text has too."""
+def shared_triggers(found: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, texts, pairs, body): of each text, the short hashes of triggers that another text has too; a row holds a range's of all texts of a bucket."""
     def run(part: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(body, (n, np.uint64), (n, np.uint32), (m, np.int64), (m, np.int64)) for n, m, body in zip(part["pairs"], part["texts"], part["body"])]
         hashed = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in parts])
@@ -147,12 +148,35 @@ def shared_triggers(found: DataFrame) -> DataFrame:
         values, count = np.unique(hashed, return_counts=True)      # pairs are distinct, so two rows are two texts
         keep = np.isin(hashed, values[count > 1])
         hashed, text = hashed[keep], text[keep]
-        order = np.lexsort((hashed, text))
-        hashed, text = hashed[order].astype(np.int64), text[order]
-        starts = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else np.zeros(0, np.int64)
-        return pd.DataFrame({"rank": rank[text[starts]], "text_key": key[text[starts]], "hashes": pd.Series(np.split(hashed, starts[1:]) if len(starts) else [], dtype=object)})
+        bucket = (mix(rank.view(np.uint64) ^ mix(key.view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((hashed, text, bucket[text]))
+        hashed, text = hashed[order], text[order]
+        cut = np.searchsorted(bucket[text], np.arange(buckets + 1))
+        out = []
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            named, times = np.unique(text[cut[b]:cut[b + 1]], return_counts=True)
+            out.append((b, len(named), cut[b + 1] - cut[b], pack(rank[named], key[named], times.astype(np.uint32), hashed[cut[b]:cut[b + 1]])))
+        return pd.DataFrame(out, columns=["bucket", "texts", "pairs", "body"])
 
-    return found.groupBy("range").applyInPandas(run, "rank bigint, text_key bigint, hashes array<bigint>")
+    return found.groupBy("range").applyInPandas(run, "bucket bigint, texts bigint, pairs bigint, body binary")
+
+
+def hashes_of(shared: DataFrame) -> DataFrame:
+    """(rank, text_key, hashes): one row for each text that has triggers in ``shared``."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack(body, (n, np.int64), (n, np.int64), (n, np.uint32), (m, np.uint64)) for n, m, body in zip(part["texts"], part["pairs"], part["body"])]
+        rank, key, times, hashed = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        order = np.lexsort((key, rank))
+        rank, key = rank[order], key[order]
+        new = np.concatenate(([True], (rank[1:] != rank[:-1]) | (key[1:] != key[:-1])))
+        text = np.empty(len(order), np.int64)
+        text[order] = np.cumsum(new) - 1
+        text = np.repeat(text, times)
+        cut = np.cumsum(np.bincount(text))[:-1]
+        hashes = np.split(hashed[np.argsort(text, kind="stable")].astype(np.int64), cut)
+        return pd.DataFrame({"rank": rank[new], "text_key": key[new], "hashes": pd.Series(hashes, dtype=object)})
+
+    return shared.groupBy("bucket").applyInPandas(run, "rank bigint, text_key bigint, hashes array<bigint>")
 
 
 def marked(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,8 +310,7 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranges = min(RANGES, max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(text_col).alias("text_key")).withColumn(
         "rank", F.coalesce("doc_id", F.lit(LAST)))
-    shared = shared_triggers(trigger_rows(plain, ranges))
-    by_text = shared.groupBy("rank", "text_key").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))   # bounded by the text
+    by_text = hashes_of(shared_triggers(trigger_rows(plain, ranges)))
     sent = phrases_of(plain.join(by_text, ["rank", "text_key"], "left").select("rank", "text_key", "text", "hashes", "doc_id"), 4 * ranges)
     marks = suffix_verdicts(sent).groupBy("rank", "text_key").agg(F.collect_list("place").alias("marks"))   # bounded by the text
 

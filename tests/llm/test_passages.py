@@ -47,3 +47,19 @@ def test_phrase_leaves_a_task_once_with_its_smallest_document(spark):
     assert sum(r.places for r in sent) == sum(r.phrases for r in sent) > 5          # not 30 times as many
     assert sorted(r["rank"] for r in marked) == list(range(1, 30))
     assert {tuple(np.frombuffer(r.body, np.int64)) for r in marked} == {(len(text),)}
+
+
+def test_shared_triggers_leave_a_range_packed_and_come_back_a_row_a_text(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    shared = line(150)
+    docs = spark.createDataFrame([(i, 1000 - i, line(5) + shared) for i in range(200)] + [(200, 7, line(40)), (3, 997, line(5) + shared[40:]), (201, 8, None)], "rank long, text_key long, text string").repartition(3)
+    hashes = {}
+    for ranges in (8, 64):
+        packed = dedup_passages.shared_triggers(dedup_passages.trigger_rows(docs, ranges), 4)
+        assert packed.count() <= ranges * 4                                      # not a row for each text and range
+        found = dedup_passages.hashes_of(packed).collect()
+        hashes[ranges] = {(r["rank"], r.text_key): sorted(r.hashes) for r in found}
+        assert len(found) == len(hashes[ranges]) == 200
+    own = np.unique(dedup_passages.short(dedup_passages.triggers(np.frombuffer(shared.encode(), np.uint8), np.array([0, len(shared)]))[1])).astype(np.int64).tolist()
+    assert hashes[8] == hashes[64] and all(len(set(own) & set(h)) > 10 for h in hashes[8].values())

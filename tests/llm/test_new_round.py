@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.llm import main_text, prefix_trie, queries, spellings
+from marquee.llm import lm_score, main_text, prefix_trie, queries, spellings
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -215,3 +215,15 @@ def test_main_text_query(spark):
         inner = re.search("(?s)<article>(.*?)</article>", r.html)[1]
         parts = re.split("</?(?:p|h1)>", re.sub("</?b>", "", inner.replace("<br>", " ")))
         assert got[r.page_id] == "\n".join(t for p in parts if (t := re.sub(r"\s+", " ", html.unescape(p)).strip()))
+
+
+def test_lm_sends_the_tables_of_a_small_corpus_compressed(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(lm_score, "mixed_model", lambda docs, shared, real=lm_score.mixed_model: (sent.append(shared.value), real(docs, shared))[1])
+    docs = spark.createDataFrame([(i, f"text {i} of a small table") for i in range(40)], "doc_id long, text string")
+    assert lm_score.lm_scores(docs).count() == 40
+    assert sum(len(body) for body in sent[0].values()) < 1 << 20                 # opened they take 96 MB
+    tables, plain = lm_score.opened(sent[0]), np.zeros((len(lm_score.PREDICTORS) * (1 << lm_score.TABLE_BITS) // lm_score.RANGE, lm_score.RANGE), "<u2")
+    for row in lm_score.summed(lm_score.counted(docs.filter("crc32(cast(doc_id as string)) % 5 <> 1"))).collect():
+        plain[row["part"]] = np.frombuffer(row["body"], "<u2")
+    assert plain.any() and (tables == plain.reshape(tables.shape)).all()

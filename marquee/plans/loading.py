@@ -414,10 +414,11 @@ def stream_drop(t):
     head = F.when(F.col("name") % 4 == 0, "PK..").otherwise("%PDF-1.4")
     files = t.documents.groupBy(name.alias("name")).agg(F.concat_ws("\n", F.collect_list(F.coalesce("text", F.lit("")))).alias("body"))  # eight documents
     lines = files.select(F.concat_ws("\n", head, "body").alias("value"), "name")
+    arrived = S.dropped_files(t.spark, f"{folder}/in/name=*", DROP_LIMIT)     # while there is no file: the definition lists them all
     for i in range(4):
         if i < 3:
             lines.filter(F.col("name") % 3 == i).write.partitionBy("name").mode("append").text(f"{folder}/in")
-        S.run_available(S.dropped_files(t.spark, f"{folder}/in/name=*/*.txt", DROP_LIMIT), S.drop_log(f"{folder}/log"), f"{folder}/checkpoint")
+        S.run_available(arrived, S.drop_log(f"{folder}/log"), f"{folder}/checkpoint")
     found = S.stored(t.spark, f"{folder}/log", S.DROP_LOG)
     named = found.withColumn("name", F.regexp_extract("path", r"name=(\d+)/", 1).cast("bigint"))
     return named.groupBy("name", "length", F.coalesce("reason", F.lit("admitted")).alias("outcome")).agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -110,3 +110,24 @@ def test_detail_pages_are_dealt_over_a_stated_number_of_tasks(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got["A"].endswith("207") and got["B"] is None and got["C"] is None       # of two pages the first by its text
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_a_stream_is_defined_once_and_lists_in_few_tasks(spark, tmp_path):
+    from marquee.streaming import arrivals as S
+    seen, told = [], {name: spark.conf.get(name) for name in S.LISTING}
+    handle = S.drop_log(str(tmp_path / "log"))
+
+    def watched(batch, batch_id):
+        seen.append({name: batch.sparkSession.conf.get(name) for name in S.LISTING})
+        handle(batch, batch_id)
+
+    stream = S.dropped_files(spark, f"{tmp_path}/in/name=*", 50)                # before there is any file
+    for i in range(3):
+        for k in range(3 * min(i, 1), 3 + 3 * min(i, 1)):
+            (tmp_path / f"in/name={k}").mkdir(parents=True, exist_ok=True)
+            (tmp_path / f"in/name={k}/a.txt").write_bytes(b"%PDF" * (1 + 5 * k))
+        S.run_available(stream, watched, str(tmp_path / "checkpoint"))
+    log = sorted((int(r.path.split("name=")[1].split("/")[0]), r.length, r.reason) for r in S.stored(spark, str(tmp_path / "log"), S.DROP_LOG).collect())
+    assert log == [(k, 4 + 20 * k, None if k < 3 else "too large") for k in range(6)]
+    assert len(seen) == 2 and all(s == S.LISTING for s in seen)
+    assert {name: spark.conf.get(name) for name in S.LISTING} == told

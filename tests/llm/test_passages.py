@@ -63,3 +63,9 @@ def test_shared_triggers_leave_a_range_packed_and_come_back_a_row_a_text(spark):
         assert len(found) == len(hashes[ranges]) == 200
     own = np.unique(dedup_passages.short(dedup_passages.triggers(np.frombuffer(shared.encode(), np.uint8), np.array([0, len(shared)]))[1])).astype(np.int64).tolist()
     assert hashes[8] == hashes[64] and all(len(set(own) & set(h)) > 10 for h in hashes[8].values())
+
+
+def test_rows_of_shared_triggers_grow_with_ranges_and_not_with_texts(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.range(3000).selectExpr("id AS rank", "id AS text_key", f"'{text}' AS text")
+    assert dedup_passages.shared_triggers(dedup_passages.trigger_rows(docs, 16)).count() <= 16 * 256

@@ -29,9 +29,13 @@ def table_scan_pushdown(t):
 
 @query("programme_flatten", f"WITH {FILM_SQL} SELECT p_brand AS titre, 'Salle ' || l_suppkey AS cinema, day, heure, version, CASE WHEN version = 'VO' THEN 'https://x.example/r' END AS resa_url FROM f")
 def programme_flatten(t):
-    """Programme documents written, read back with their schema and flattened to screenings."""
-    films = DI.film_rows(t).withColumns({"src_order": F.lit(0), "row_order": F.datediff("week", F.lit("1990-01-01").cast("date"))})
-    docs = writers.programme_documents(films, DI.RUN_TS, [DI.SITE], ("cinema", "week", "titre"))
+    """Programme documents written, read back with their schema and flattened to screenings.
+
+    A document lists all films that a venue shows in a week, in the order of their first day and then by title; rows come in this order.
+    """
+    first = F.datediff(F.get("seances", F.lit(0))["date"], "week")
+    films = DI.film_rows(t).withColumns({"src_order": F.lit(0), "row_order": first})
+    docs = writers.programme_documents(films, DI.RUN_TS, [DI.SITE], ("cinema", "week"))
     folder = shared_folder(t.spark, "programme")
     docs.select("generated_at", "sources", "films").write.option("compression", "gzip").json(folder)
     back = readers.programme_films(readers.read_programme(t.spark, folder, one_per_file=False))

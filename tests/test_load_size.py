@@ -132,3 +132,21 @@ def test_a_stream_is_defined_once_and_lists_in_few_tasks(spark, tmp_path):
     assert log == [(k, 4 + 20 * k, None if k < 3 else "too large") for k in range(6)]
     assert seen == [["256", "true"]] * 2
     assert [spark.conf.get(name) for name in names] == told
+
+
+def test_a_programme_document_lists_the_week_of_a_venue_in_order(spark, tmp_path, monkeypatch):
+    t = tables(spark, tmp_path / "t", 20)
+    monkeypatch.setattr("marquee.plans.loading.shared_folder", lambda spark, name: str(tmp_path / name))
+    got = [tuple(r) for r in loading.programme_flatten(t).collect()]
+    films = [[(f.cinema, f.titre, [str(s.date) for s in f.seances]) for f in r.films] for r in spark.read.schema(schema.PROGRAMME).json(str(tmp_path / "programme")).collect()]
+    week = lambda day: (d(day) - dt.timedelta((d(day).weekday() - 2) % 7)).isoformat()
+    shown = {(f"Salle {r.l_suppkey}", week(str(r.l_shipdate)[:10])) for r in t.lineitem.collect()}
+    assert sorted((doc[0][0], week(doc[0][2][0])) for doc in films) == sorted(shown)          # one document each
+    assert all(len({(cinema, week(day)) for cinema, _, days in doc for day in days}) == 1 for doc in films) and max(map(len, films)) == 2
+    places = [[(days[0], titre) for _, titre, days in doc] for doc in films]
+    assert all(p == sorted(p) for p in places) and any([x[1] for x in p] != sorted(x[1] for x in p) for p in places)
+    listed = {}
+    for titre, cinema, day, *_ in got:
+        listed.setdefault((cinema, week(day)), {}).setdefault(titre, None)
+    assert {k: [*v] for k, v in listed.items()} == {(doc[0][0], week(doc[0][2][0])): [titre for _, titre, _ in doc] for doc in films}
+    assert len(got) == 20

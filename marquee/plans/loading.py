@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import dates as D
 from ..operators import dedup, incremental as I, match as M, upsert as U
-from ..operators.skew import SMALL_ROWS
+from ..operators.skew import SMALL_ROWS, spread_rows
 from ..operators.staging import shared_folder, staged
 from ..sources import readers, writers
-from ..sources.versions import Versions
+from ..sources.versions import Versions, hashed_part
 from ..streaming import arrivals as S
 from . import derived as DI, weekly
 from .pages import WEEK_SQL
@@ -412,17 +412,21 @@ DROP_SQL = f"""f AS (SELECT doc_id // 8 AS name, CAST(sum(strlen(coalesce(text,
 
 @query("stream_drop", f"""WITH {DROP_SQL} SELECT name, length, CASE WHEN length > {DROP_LIMIT} THEN 'too large' WHEN name % 4 = 0 THEN 'not a PDF' ELSE 'admitted' END AS outcome, 1 AS n FROM f""")
 def stream_drop(t):
-    """Files of eight documents each, dropped in three increments and listed a fourth time: each judged once."""
+    """Files of eight documents each, dropped in three increments and listed a fourth time: each judged once.
+
+    They are dealt to shelves, each a stream of its own, so the listing that the driver holds does not grow with their number.
+    """
     folder = shared_folder(t.spark, "drop")
     name = F.floor(F.col("doc_id") / 8).cast("bigint")
     head = F.when(F.col("name") % 4 == 0, "PK..").otherwise("%PDF-1.4")
     files = t.documents.groupBy(name.alias("name")).agg(F.concat_ws("\n", F.collect_list(F.coalesce("text", F.lit("")))).alias("body"))  # eight documents
-    lines = files.select(F.concat_ws("\n", head, "body").alias("value"), "name")
-    arrived = S.dropped_files(t.spark, f"{folder}/in/name=*", DROP_LIMIT)     # while there is no file: the definition lists them all
+    n = S.shelves(t.documents.select(name).distinct().count())
+    lines = spread_rows(files.select(F.concat_ws("\n", head, "body").alias("value"), hashed_part(["name"], n).alias("shelf"), "name"), ["name"])   # a file takes long to open, however small
+    arrived = S.dropped_shelves(t.spark, f"{folder}/in", n, DROP_LIMIT)        # while there is no file: the definition lists them all
     for i in range(4):
         if i < 3:
-            lines.filter(F.col("name") % 3 == i).write.partitionBy("name").mode("append").text(f"{folder}/in")
-        S.run_available(arrived, S.drop_log(f"{folder}/log"), f"{folder}/checkpoint")
+            lines.filter(F.col("name") % 3 == i).write.partitionBy("shelf", "name").mode("append").text(f"{folder}/in")
+        S.run_shelves(arrived, f"{folder}/log", f"{folder}/checkpoint")
     found = S.stored(t.spark, f"{folder}/log", S.DROP_LOG)
     named = found.withColumn("name", F.regexp_extract("path", r"name=(\d+)/", 1).cast("bigint"))
     return named.groupBy("name", "length", F.coalesce("reason", F.lit("admitted")).alias("outcome")).agg(F.count(F.lit(1)).cast("int").alias("n"))

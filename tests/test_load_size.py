@@ -150,3 +150,20 @@ def test_a_programme_document_lists_the_week_of_a_venue_in_order(spark, tmp_path
         listed.setdefault((cinema, week(day)), {}).setdefault(titre, None)
     assert {k: [*v] for k, v in listed.items()} == {(doc[0][0], week(doc[0][2][0])): [titre for _, titre, _ in doc] for doc in films}
     assert len(got) == 20
+
+
+def test_dropped_files_are_listed_shelf_by_shelf(spark, tmp_path, monkeypatch):
+    from marquee.streaming import arrivals as S
+    spark.range(400).selectExpr("id AS doc_id", "CASE WHEN id % 3 > 0 THEN repeat('x', CAST(id * 10 AS INT)) END AS text").write.parquet(str(tmp_path / "t/documents.parquet"))
+    monkeypatch.setattr("marquee.plans.loading.shared_folder", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(S, "SHELF_FILES", 10, raising=False)
+    handled, real = [], S.drop_log
+
+    def watched(log, on_files=None):
+        handle = real(log, on_files)
+        return lambda batch, batch_id: (handled.append((log, batch.count())), handle(batch, batch_id))
+    monkeypatch.setattr(S, "drop_log", watched)
+    got = sorted(map(tuple, loading.stream_drop(Tables(spark, str(tmp_path / "t"))).collect()))
+    length = lambda k: sum(i * 10 if i % 3 else 0 for i in range(8 * k, 8 * k + 8)) + 8 + (5 if k % 4 == 0 else 9)
+    assert got == [(k, length(k), "too large" if length(k) > 20_000 else "not a PDF" if k % 4 == 0 else "admitted", 1) for k in range(50)]
+    assert len({log for log, _ in handled}) == 5 and sum(n for _, n in handled) == 50 and max(n for _, n in handled) <= 10

@@ -161,9 +161,12 @@ def test_dropped_files_are_listed_shelf_by_shelf(spark, tmp_path, monkeypatch):
 
     def watched(log, on_files=None):
         handle = real(log, on_files)
-        return lambda batch, batch_id: (handled.append((log, batch.count())), handle(batch, batch_id))
+        return lambda batch, batch_id: (handled.append((log, batch.count())), kept.add(batch.sparkSession.conf.get(cache)), handle(batch, batch_id))
     monkeypatch.setattr(S, "drop_log", watched)
+    cache, kept = "spark.sql.hive.filesourcePartitionFileCacheSize", set()
+    told = spark.conf.get(cache)
     got = sorted(map(tuple, loading.stream_drop(Tables(spark, str(tmp_path / "t"))).collect()))
     length = lambda k: sum(i * 10 if i % 3 else 0 for i in range(8 * k, 8 * k + 8)) + 8 + (5 if k % 4 == 0 else 9)
     assert got == [(k, length(k), "too large" if length(k) > 20_000 else "not a PDF" if k % 4 == 0 else "admitted", 1) for k in range(50)]
     assert len({log for log, _ in handled}) == 5 and sum(n for _, n in handled) == 50 and max(n for _, n in handled) <= 10
+    assert kept == {"0"} and spark.conf.get(cache) == told                          # listings of a stream are not kept for the session
